@@ -90,16 +90,22 @@ def renewal_credit(ref_year: int = REF_YEAR) -> Column:
     return ((F.lit(ref_year) - F.col("policy_year") >= 3) & (F.col("prior_claims_3yr") == 0)).cast("int")
 
 
-def frequency_plan(df: DataFrame, base: float = BASE_CLAIM_RATE, out: str = "_lam") -> DataFrame:
+def frequency_normaliser(df: DataFrame, base: float = BASE_CLAIM_RATE) -> float:
+    """Portfolio mean of the unnormalised lambda (one partial aggregate, one row out)."""
+    mean_raw = df.select(frequency_raw(base).alias("r")).agg(F.avg("r")).first()[0]
+    return base if mean_raw is None or mean_raw == 0 else float(mean_raw)
+
+
+def frequency_plan(df: DataFrame, base: float = BASE_CLAIM_RATE, out: str = "_lam",
+                   mean_raw: float | None = None) -> DataFrame:
     """Lambda normalised to a portfolio mean of ``base``, clipped, renewal credit.
 
-    The portfolio mean is one partial aggregate (map-side combine, one row out).
-    Adds ``renewal_credit`` and the unrounded lambda ``out``.
+    ``mean_raw`` defaults to this book's own normaliser; pass the original book's to
+    re-rate edited rows (what-if) on the same scale. Adds ``renewal_credit`` and the
+    unrounded lambda ``out``.
     """
-    raw = df.select(frequency_raw(base).alias("r"))
-    mean_raw = raw.agg(F.avg("r")).first()[0]
-    if mean_raw is None or mean_raw == 0:
-        mean_raw = base
+    if mean_raw is None:
+        mean_raw = frequency_normaliser(df, base)
     lam = clip(frequency_raw(base) / lit_d(mean_raw) * lit_d(base), *LAMBDA_CLIP)
     rc = renewal_credit()
     return df.select("*", rc.alias("renewal_credit"),
