@@ -638,3 +638,7 @@ def q_o6(spark, sf_dir):
 @query("stable_order")
 def q_o7(spark, sf_dir):
     return P.state_peril_matrix(book(spark, sf_dir)).select("state", "row_order")
+
+
+# model queries register themselves on import
+import riskbook.catalog_ml  # noqa: E402,F401
