@@ -938,3 +938,14 @@ def o_o5():
 @oracle("union_train_val")
 def o_o6():
     return with_book(f"SELECT count(*) AS policies, {R('sum(expected_loss_true)', 2)} AS total_el FROM book WHERE {SPLIT} IN ('train', 'val')")
+
+
+@oracle("kendall_tau_b")
+def o_a29():
+    """Brute force over claimant pairs (fine at the check's scale)."""
+    return with_ctes("c AS (SELECT policy_id, expected_loss_true AS x, total_loss AS y FROM book WHERE total_loss > 0)",
+                     f"""SELECT n AS claimants, {R('(nc - nd) / sqrt((n0 - t1) * (n0 - t2))', 8)} AS tau_b, nd::BIGINT AS discordant, nc::BIGINT AS concordant
+FROM (SELECT (SELECT count(*) FROM c) AS n, (SELECT count(*) FROM c) * ((SELECT count(*) FROM c) - 1) / 2 AS n0,
+  sum(CASE WHEN (a.x - b.x) * (a.y - b.y) > 0 THEN 1 ELSE 0 END) AS nc, sum(CASE WHEN (a.x - b.x) * (a.y - b.y) < 0 THEN 1 ELSE 0 END) AS nd,
+  sum(CASE WHEN a.x = b.x THEN 1 ELSE 0 END) AS t1, sum(CASE WHEN a.y = b.y THEN 1 ELSE 0 END) AS t2
+  FROM c a JOIN c b ON a.policy_id < b.policy_id) t""")

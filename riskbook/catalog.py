@@ -642,3 +642,19 @@ def q_o7(spark, sf_dir):
 
 # model queries register themselves on import
 import riskbook.catalog_ml  # noqa: E402,F401
+
+
+@query("fixture_book")
+def q_fixture_book(spark, sf_dir):
+    """The policy book itself (features, rating plan, outcomes, scores)."""
+    return book(spark, sf_dir)
+
+
+@query("kendall_tau_b")
+def q_a29(spark, sf_dir):
+    """A29 over every claimant (the reference samples 3,000; here the whole set)."""
+    claimants = book(spark, sf_dir).where(F.col("total_loss") > 0)
+    r = C.kendall_tau_b(claimants, "expected_loss_true", "total_loss")
+    return spark.createDataFrame([(r["n"], round(r["tau_b"], 8) if r["tau_b"] is not None else None,
+                                   int(r["discordant"]), int(r["concordant"]))],
+                                 "claimants long, tau_b double, discordant long, concordant long")

@@ -59,7 +59,8 @@ def _learners(p: EnsembleParams, light: bool, seed: int) -> list:
     return [rf, gbt, et]
 
 
-T3_ASSEMBLER = VectorAssembler(inputCols=T3, outputCol="t3", handleInvalid="keep")
+def t3_assembler() -> VectorAssembler:
+    return VectorAssembler(inputCols=T3, outputCol="t3", handleInvalid="keep")
 
 
 @dataclass
@@ -92,12 +93,12 @@ def fit_mhat(train: DataFrame, stack: DataFrame, p: EnsembleParams = EnsemblePar
     fold the three light learners are fitted on the other folds and predict the held-out
     fold; the union of out-of-fold predictions trains ridge then isotonic.
     """
-    base = Pipeline(stages=[T3_ASSEMBLER] + _learners(p, light=False, seed=p.seed)).fit(train)
+    base = Pipeline(stages=[t3_assembler()] + _learners(p, light=False, seed=p.seed)).fit(train)
     oof_parts = []
     for f in range(p.folds):
         fit_rows = stack.where(F.col("fold") != f)
         held = stack.where(F.col("fold") == f)
-        m = Pipeline(stages=[T3_ASSEMBLER] + _learners(p, light=True, seed=f)).fit(fit_rows)
+        m = Pipeline(stages=[t3_assembler()] + _learners(p, light=True, seed=f)).fit(fit_rows)
         oof_parts.append(m.transform(held).select("p_rf", "p_gbt", "p_et", "m_target"))
     oof = oof_parts[0]
     for part in oof_parts[1:]:

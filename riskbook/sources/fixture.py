@@ -141,6 +141,12 @@ def policy_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     from riskbook.operators.joins import join_checked
 
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
+    # Stage A is CPU-heavy (md5 per feature). A small input can arrive as one split;
+    # spread its two key columns over the cluster's cores. Large inputs already have
+    # at least that many splits and are left alone (no extra shuffle).
+    cores = spark.sparkContext.defaultParallelism
+    if orders.rdd.getNumPartitions() < cores:
+        orders = orders.repartition(cores)
     cust = (spark.read.parquet(f"{sf_dir}/customer.parquet")
             .select(F.col("c_custkey"), F.pmod(F.col("c_nationkey"), F.lit(10)).alias("k")))
     keyed = join_checked(orders, cust, orders.o_custkey == cust.c_custkey, "inner")
