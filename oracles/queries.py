@@ -29,6 +29,20 @@ def U(key: str, salt: str) -> str:
     return f"(('0x'||substr(md5(({key})::varchar||':{salt}'),1,8))::bigint/4294967296.0::double)"
 
 
+def XMEAN(c: str, decimals: int, out: int, scale: int = 1) -> str:
+    """Exact half-up rounded mean (same integer arithmetic as the Spark side)."""
+    k = scale * 10 ** (out - decimals)
+    s = f"sum(floor({c}::double * {10 ** decimals}e0 + 0.5e0)::HUGEINT)"
+    n = f"count({c})"
+    return f"(CASE WHEN {n} > 0 THEN ((2 * {s} * {k} + {n}) // (2 * {n}))::double / {10 ** out}e0 END)"
+
+
+def XSHARE(cond: str, out: int, scale: int = 1) -> str:
+    k = scale * 10 ** out
+    s = f"sum(CASE WHEN {cond} THEN 1 ELSE 0 END)::HUGEINT"
+    return f"(CASE WHEN count(*) > 0 THEN ((2 * {s} * {k} + count(*)) // (2 * count(*)))::double / {10 ** out}e0 END)"
+
+
 SPLIT = f"CASE WHEN {U('policy_id', 'split')} < 0.6e0 THEN 'train' WHEN {U('policy_id', 'split')} < 0.8e0 THEN 'val' ELSE 'test' END"
 BAND = ("CASE WHEN {s} < 200 THEN 'Very Low' WHEN {s} < 400 THEN 'Low' WHEN {s} < 600 THEN 'Moderate' "
         "WHEN {s} < 800 THEN 'High' ELSE 'Very High' END")
@@ -553,8 +567,8 @@ SELECT policy_id, {R(f"{R('new_lam', 5)} - lam0", 5)} AS d_lambda, {R(f"{R('new_
 @oracle("portfolio_kpis")
 def o_a1():
     return with_book(f"""SELECT count(*) AS total_policies, {R('sum(indicated_premium)', 2)} AS total_premium,
-  {R('sum(expected_loss_true)', 2)} AS total_expected_loss, {R('avg(M_true)', 6)} AS avg_m,
-  {R('avg(CASE WHEN M_true > 1.01e0 THEN 1e0 ELSE 0e0 END) * 100', 4)} AS pct_m_active FROM book""")
+  {R('sum(expected_loss_true)', 2)} AS total_expected_loss, {XMEAN('M_true', 4, 6)} AS avg_m,
+  {XSHARE('M_true > 1.01e0', 4, 100)} AS pct_m_active FROM book""")
 
 
 @oracle("band_distribution")
@@ -566,9 +580,9 @@ LEFT JOIN (SELECT risk_band, count(*) AS n, sum(indicated_premium) AS p FROM boo
 
 @oracle("state_summary")
 def o_a3():
-    return with_book(f"""SELECT state, {R('mean_m', 6)} AS mean_m, policies, {R('total_prem', 2)} AS total_prem, {R('total_el', 2)} AS total_el,
+    return with_book(f"""SELECT state, mean_m, policies, {R('total_prem', 2)} AS total_prem, {R('total_el', 2)} AS total_el,
   (row_number() OVER (ORDER BY mean_m DESC, state))::INTEGER AS rank_mean_m
-FROM (SELECT state, avg(M_true) AS mean_m, count(*) AS policies, sum(indicated_premium) AS total_prem, sum(expected_loss_true) AS total_el
+FROM (SELECT state, {XMEAN('M_true', 4, 6)} AS mean_m, count(*) AS policies, sum(indicated_premium) AS total_prem, sum(expected_loss_true) AS total_el
       FROM book GROUP BY state) t""")
 
 
@@ -576,14 +590,15 @@ FROM (SELECT state, avg(M_true) AS mean_m, count(*) AS policies, sum(indicated_p
 def o_a4():
     return with_book(f"""SELECT state,
   CASE greatest(w, f, e, h) WHEN w THEN 'Wildfire' WHEN f THEN 'Flood' WHEN e THEN 'Earthquake' ELSE 'Hail' END AS top_peril,
-  {R('greatest(w, f, e, h)', 6)} AS top_share
-FROM (SELECT state, avg(CASE WHEN wildfire_zone = 'High' THEN 1e0 ELSE 0e0 END) AS w, avg(CASE WHEN flood_zone = 'High' THEN 1e0 ELSE 0e0 END) AS f,
+  CASE greatest(w, f, e, h) WHEN w THEN xw WHEN f THEN xf WHEN e THEN xe ELSE xh END AS top_share
+FROM (SELECT state, {XSHARE("wildfire_zone = 'High'", 6)} AS xw, {XSHARE("flood_zone = 'High'", 6)} AS xf,
+             {XSHARE("earthquake_zone = 'High'", 6)} AS xe, {XSHARE("hail_zone = 'High'", 6)} AS xh, avg(CASE WHEN wildfire_zone = 'High' THEN 1e0 ELSE 0e0 END) AS w, avg(CASE WHEN flood_zone = 'High' THEN 1e0 ELSE 0e0 END) AS f,
              avg(CASE WHEN earthquake_zone = 'High' THEN 1e0 ELSE 0e0 END) AS e, avg(CASE WHEN hail_zone = 'High' THEN 1e0 ELSE 0e0 END) AS h
       FROM book GROUP BY state) t""")
 
 
-SP_LONG = """sp_long AS (
-  SELECT state, peril, avg(M_true) AS mean_m, count(*) AS policies FROM (
+SP_LONG = f"""sp_long AS (
+  SELECT state, peril, {XMEAN('M_true', 4, 6)} AS mean_m, count(*) AS policies FROM (
     SELECT state, 'Wildfire High' AS peril, M_true FROM book WHERE wildfire_zone = 'High' UNION ALL
     SELECT state, 'Flood High', M_true FROM book WHERE flood_zone = 'High' UNION ALL
     SELECT state, 'Earthquake High', M_true FROM book WHERE earthquake_zone = 'High' UNION ALL
@@ -594,7 +609,7 @@ def _matrix_sql() -> str:
     cols = []
     for lbl in ["Wildfire", "Flood", "Earthquake", "Hail"]:
         k = lbl.lower()
-        cols.append(f"{R(f"max(CASE WHEN peril = '{lbl} High' AND policies >= 20 THEN mean_m END)", 6)} AS {k}_high_m")
+        cols.append(f"max(CASE WHEN peril = '{lbl} High' AND policies >= 20 THEN mean_m END) AS {k}_high_m")
         cols.append(f"coalesce(max(CASE WHEN peril = '{lbl} High' THEN policies END), 0) AS {k}_high_n")
     return (f"wide AS (SELECT state, {', '.join(cols)} FROM sp_long GROUP BY state),\n"
             "wm AS (SELECT *, greatest(wildfire_high_m, flood_high_m, earthquake_high_m, hail_high_m) AS row_max FROM wide)")
@@ -614,7 +629,7 @@ def o_o7():
 
 @oracle("hottest_cell")
 def o_a6():
-    return with_ctes(SP_LONG, f"SELECT state, peril, {R('mean_m', 6)} AS mean_m, policies FROM sp_long WHERE policies >= 20 ORDER BY mean_m DESC, state, peril LIMIT 1")
+    return with_ctes(SP_LONG, "SELECT state, peril, mean_m, policies FROM sp_long WHERE policies >= 20 ORDER BY mean_m DESC, state, peril LIMIT 1")
 
 
 @oracle("loss_ratio_by_band")
@@ -683,10 +698,9 @@ def o_a13():
 def o_a14():
     ps = [(0.0, "p0"), (0.25, "p25"), (0.5, "p50"), (0.75, "p75"), (0.9, "p90"), (0.95, "p95"), (0.99, "p99")]
     q = ", ".join(f"{R(f'quantile_cont(m_hat, {p})', 6)} AS {n}" for p, n in ps)
-    sh = lambda c: R(f"avg(CASE WHEN {c} THEN 1e0 ELSE 0e0 END)", 6)
-    return with_pair(f"""SELECT {q}, {R('avg(m_hat)', 6)} AS mean, {sh('m_hat < 0.95e0')} AS protective_share,
-  {sh('m_hat >= 0.95e0 AND m_hat < 1.05e0')} AS neutral_share, {sh('m_hat >= 1.05e0 AND m_hat < 1.30e0')} AS mild_share,
-  {sh('m_hat >= 1.30e0 AND m_hat < 2.0e0')} AS moderate_share, {sh('m_hat >= 2.0e0')} AS severe_share FROM pair""")
+    return with_pair(f"""SELECT {q}, {XMEAN('m_hat', 4, 6)} AS mean, {XSHARE('m_hat < 0.95e0', 6)} AS protective_share,
+  {XSHARE('m_hat >= 0.95e0 AND m_hat < 1.05e0', 6)} AS neutral_share, {XSHARE('m_hat >= 1.05e0 AND m_hat < 1.30e0', 6)} AS mild_share,
+  {XSHARE('m_hat >= 1.30e0 AND m_hat < 2.0e0', 6)} AS moderate_share, {XSHARE('m_hat >= 2.0e0', 6)} AS severe_share FROM pair""")
 
 
 @oracle("premium_uplift")
@@ -697,10 +711,9 @@ def o_a15():
 
 @oracle("reclassification")
 def o_a16():
-    sh = lambda c: R(f"avg(CASE WHEN {c} THEN 1e0 ELSE 0e0 END)", 6)
-    return with_pair(f"""SELECT {sh('band_baseline <> band_full')} AS reclassified_share,
-  {sh('band_baseline <> band_full AND score_full > score_baseline')} AS upgraded_share,
-  {sh('band_baseline <> band_full AND score_full < score_baseline')} AS downgraded_share FROM pairb""")
+    return with_pair(f"""SELECT {XSHARE('band_baseline <> band_full', 6)} AS reclassified_share,
+  {XSHARE('band_baseline <> band_full AND score_full > score_baseline', 6)} AS upgraded_share,
+  {XSHARE('band_baseline <> band_full AND score_full < score_baseline', 6)} AS downgraded_share FROM pairb""")
 
 
 @oracle("reclass_matrix")
@@ -724,9 +737,9 @@ def o_a18():
     d = "score_full - score_baseline > 50"
     g = "score_full - score_baseline < -50"
     dp = "premium_full - premium_baseline"
-    return with_pair(f"""SELECT {R(f'avg(CASE WHEN {d} THEN 1e0 ELSE 0e0 END) * 100', 4)} AS hidden_danger_pct,
-  {R(f'avg(CASE WHEN {g} THEN 1e0 ELSE 0e0 END) * 100', 4)} AS hidden_gem_pct,
-  {R(f'coalesce(avg(CASE WHEN {d} THEN {dp} END), 0e0)', 2)} AS avg_underpricing,
+    return with_pair(f"""SELECT {XSHARE(d, 4, 100)} AS hidden_danger_pct,
+  {XSHARE(g, 4, 100)} AS hidden_gem_pct,
+  coalesce({XMEAN(f'CASE WHEN {d} THEN {dp} END', 2, 2)}, 0e0) AS avg_underpricing,
   {R(f'coalesce(sum(CASE WHEN {d} THEN {dp} END), 0e0)', 2)} AS total_leakage,
   {R(f'coalesce(sum(CASE WHEN {d} THEN {dp} END), 0e0) * 1e0', 2)} AS book_leakage FROM pair""")
 
@@ -779,7 +792,7 @@ def o_a21():
 @oracle("health_checks")
 def o_a22():
     return with_ctes(
-        """a AS (SELECT avg(CASE WHEN total_loss = 0 THEN 1e0 ELSE 0e0 END) * 100 AS z, avg(CASE WHEN total_loss > 0 THEN total_loss END) AS s,
+        f"""a AS (SELECT {XSHARE('total_loss = 0', 4, 100)} AS z, {XMEAN('CASE WHEN total_loss > 0 THEN total_loss END', 2, 4)} AS s,
   sum(total_loss) / sum(indicated_premium) * 100 AS lr, sum(CASE WHEN indicated_premium <= 0 THEN 1 ELSE 0 END)::double AS neg FROM book)""",
         f"""SELECT 'zero_claim_pct' AS "check", {R('z', 4)} AS value, CASE WHEN abs(z - 94.5e0) < 1.5e0 THEN 1 ELSE 0 END AS pass FROM a UNION ALL
   SELECT 'mean_severity', {R('s', 4)}, CASE WHEN s BETWEEN 15000 AND 22000 THEN 1 ELSE 0 END FROM a UNION ALL
@@ -812,9 +825,9 @@ def o_a24():
 
 @oracle("missingness_profile")
 def o_a25():
-    return with_book(f"""SELECT state, {R('avg(CASE WHEN defensible_space_score IS NULL THEN 1e0 ELSE 0e0 END) * 100', 4)} AS ds_null_pct,
-  {R("avg(CASE WHEN vegetation_risk_composite = 'Unknown' THEN 1e0 ELSE 0e0 END) * 100", 4)} AS veg_unknown_pct,
-  {R('avg(CASE WHEN dist_to_fire_station_mi < 0 THEN 1e0 ELSE 0e0 END) * 100', 4)} AS fire_sentinel_pct, count(*) AS policies FROM book GROUP BY state""")
+    return with_book(f"""SELECT state, {XSHARE('defensible_space_score IS NULL', 4, 100)} AS ds_null_pct,
+  {XSHARE("vegetation_risk_composite = 'Unknown'", 4, 100)} AS veg_unknown_pct,
+  {XSHARE('dist_to_fire_station_mi < 0', 4, 100)} AS fire_sentinel_pct, count(*) AS policies FROM book GROUP BY state""")
 
 
 def _hist(src: str, col: str, n: int, lo: float, hi: float, clip: bool, name: str) -> str:
@@ -949,3 +962,4 @@ FROM (SELECT (SELECT count(*) FROM c) AS n, (SELECT count(*) FROM c) * ((SELECT
   sum(CASE WHEN (a.x - b.x) * (a.y - b.y) > 0 THEN 1 ELSE 0 END) AS nc, sum(CASE WHEN (a.x - b.x) * (a.y - b.y) < 0 THEN 1 ELSE 0 END) AS nd,
   sum(CASE WHEN a.x = b.x THEN 1 ELSE 0 END) AS t1, sum(CASE WHEN a.y = b.y THEN 1 ELSE 0 END) AS t2
   FROM c a JOIN c b ON a.policy_id < b.policy_id) t""")
+

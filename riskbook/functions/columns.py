@@ -43,3 +43,29 @@ def hash_normal(key: Column, salt: str) -> Column:
     """Approximate standard normal: (U1 + U2 + U3 - 1.5) * 2."""
     s = hash_uniform(key, salt + "1") + hash_uniform(key, salt + "2") + hash_uniform(key, salt + "3")
     return (s - F.lit(1.5)) * F.lit(2.0)
+
+
+# ── exact rounded means and shares ────────────────────────────────────────
+# A mean of fixed-decimal values (or a count ratio) is a rational with a small
+# denominator and can land exactly on a rounding tie, where floating-point noise
+# would decide the result. These helpers sum scaled integers and round with an
+# integer division, so every engine returns the same digits.
+def mean_parts(name: str, c: Column, decimals: int) -> list[Column]:
+    """Aggregate parts of an exact mean of ``c`` (at most ``decimals`` decimals)."""
+    scaled = F.floor(c.cast("double") * F.lit(float(10 ** decimals)) + F.lit(0.5))
+    return [F.sum(scaled.cast("decimal(38,0)")).alias(f"{name}__s"), F.count(c).alias(f"{name}__n")]
+
+
+def share_parts(name: str, cond: Column) -> list[Column]:
+    """Aggregate parts of an exact share of rows where ``cond`` holds."""
+    return [F.sum(F.when(cond, 1).otherwise(0).cast("decimal(38,0)")).alias(f"{name}__s"),
+            F.count(F.lit(1)).alias(f"{name}__n")]
+
+
+def exact_round(name: str, decimals: int, out_decimals: int, scale: int = 1) -> Column:
+    """Half-up rounding of scale x S / (n 10^decimals) to ``out_decimals``, in integers."""
+    k = scale * 10 ** (out_decimals - decimals) if out_decimals >= decimals else None
+    if k is None:
+        raise ValueError("out_decimals must be >= decimals")
+    s, n = f"`{name}__s`", f"`{name}__n`"
+    return F.expr(f"CASE WHEN {n} > 0 THEN cast((2 * {s} * {k} + {n}) div (2 * {n}) AS double) / {float(10 ** out_decimals)!r}D END")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from riskbook.functions.bands import BAND_ORDER, band_rank, risk_band
-from riskbook.functions.columns import lit_d, rnd, safe_div
+from riskbook.functions.columns import exact_round, lit_d, mean_parts, rnd, safe_div, share_parts
 from riskbook.operators.quantiles import exact_quantiles
 from riskbook.plans import rating as R
 
@@ -30,12 +30,13 @@ def _stack(cols: list[tuple[str, Column]], key: str = "metric", val: str = "valu
 # ── A1-A8 ─────────────────────────────────────────────────────────────────
 def kpis(book: DataFrame) -> DataFrame:
     """A1: count, total premium, total E, mean M, % of policies with M > 1.01."""
-    return book.agg(
+    a = book.agg(
         F.count("*").alias("total_policies"),
         rnd(F.sum("indicated_premium"), 2).alias("total_premium"),
         rnd(F.sum("expected_loss_true"), 2).alias("total_expected_loss"),
-        rnd(F.avg("M_true"), 6).alias("avg_m"),
-        rnd(F.avg((F.col("M_true") > 1.01).cast("double")) * 100, 4).alias("pct_m_active"))
+        *mean_parts("avg_m", F.col("M_true"), 4), *share_parts("pct", F.col("M_true") > 1.01))
+    return a.select("total_policies", "total_premium", "total_expected_loss",
+                    exact_round("avg_m", 4, 6).alias("avg_m"), exact_round("pct", 0, 4, 100).alias("pct_m_active"))
 
 
 def band_distribution(book: DataFrame, band: str = "risk_band", premium: str = "indicated_premium") -> DataFrame:
@@ -52,10 +53,11 @@ def band_distribution(book: DataFrame, band: str = "risk_band", premium: str = "
 def state_summary(book: DataFrame) -> DataFrame:
     """A3: per state mean M, count, premium, E; rank 1 = highest mean M (top state)."""
     agg = book.groupBy("state").agg(
-        F.avg("M_true").alias("mean_m"), F.count("*").alias("policies"),
+        *mean_parts("m", F.col("M_true"), 4), F.count("*").alias("policies"),
         F.sum("indicated_premium").alias("total_prem"), F.sum("expected_loss_true").alias("total_el"))
+    agg = agg.select("*", exact_round("m", 4, 6).alias("mean_m"))
     w = Window.orderBy(F.col("mean_m").desc(), F.col("state"))   # over <= #states rows
-    return agg.select("state", rnd(F.col("mean_m"), 6).alias("mean_m"), "policies",
+    return agg.select("state", "mean_m", "policies",
                       rnd(F.col("total_prem"), 2).alias("total_prem"), rnd(F.col("total_el"), 2).alias("total_el"),
                       F.row_number().over(w).alias("rank_mean_m"))
 
@@ -68,16 +70,22 @@ def state_top_peril(book: DataFrame) -> DataFrame:
     top = F.lit(None).cast("string")
     for _, lbl in reversed(PERILS):
         top = F.when(F.col(lbl) == best, F.lit(lbl)).otherwise(top)
-    return agg.select("state", top.alias("top_peril"), rnd(best, 6).alias("top_share"))
+    cnt = book.groupBy("state").agg(*[p for c, lbl in PERILS for p in share_parts(lbl.lower(), F.col(c) == "High")])
+    exact = F.lit(None).cast("double")
+    for _, lbl in reversed(PERILS):
+        exact = F.when(F.col("top_peril") == lbl, exact_round(lbl.lower(), 0, 6)).otherwise(exact)
+    joined = agg.select("state", top.alias("top_peril")).join(cnt, "state")     # both: one row per state
+    return joined.select("state", "top_peril", exact.alias("top_share"))
 
 
 def _state_peril_long(book: DataFrame, m: str = "M_true") -> DataFrame:
     """One pass: unpivot the four zones, keep High, aggregate per state x peril."""
     ex = book.select("state", F.col(m).alias("m"), F.explode(F.array(*[
         F.struct(F.lit(lbl + " High").alias("peril"), F.col(c).alias("zone")) for c, lbl in PERILS])).alias("p"))
-    return (ex.where(F.col("p.zone") == "High")
-            .groupBy("state", F.col("p.peril").alias("peril"))
-            .agg(F.avg("m").alias("mean_m"), F.count("*").alias("policies")))
+    g = (ex.where(F.col("p.zone") == "High")
+         .groupBy("state", F.col("p.peril").alias("peril"))
+         .agg(*mean_parts("m", F.col("m"), 4), F.count("*").alias("policies")))
+    return g.select("state", "peril", exact_round("m", 4, 6).alias("mean_m"), "policies")
 
 
 def state_peril_matrix(book: DataFrame, min_n: int = 20) -> DataFrame:
@@ -90,7 +98,7 @@ def state_peril_matrix(book: DataFrame, min_n: int = 20) -> DataFrame:
     out = []
     for (_, lbl), nm in zip(PERILS, names):
         key = lbl.lower()
-        out += [rnd(F.col(f"`{nm}_first(mean_m)`"), 6).alias(f"{key}_high_m"),
+        out += [F.col(f"`{nm}_first(mean_m)`").alias(f"{key}_high_m"),
                 F.coalesce(F.col(f"`{nm}_first(policies)`"), F.lit(0)).alias(f"{key}_high_n")]
     wide = wide.select("state", *out)
     row_max = F.greatest(*[F.col(f"{lbl.lower()}_high_m") for _, lbl in PERILS])
@@ -102,7 +110,7 @@ def hottest_cell(book: DataFrame, min_n: int = 20) -> DataFrame:
     """The credible state x peril cell with the largest mean M."""
     long = _state_peril_long(book).where(F.col("policies") >= min_n)
     return (long.orderBy(F.col("mean_m").desc(), "state", "peril").limit(1)
-            .select("state", "peril", rnd(F.col("mean_m"), 6).alias("mean_m"), "policies"))
+            .select("state", "peril", "mean_m", "policies"))
 
 
 def loss_ratio_by_band(book: DataFrame, band: str = "risk_band", el: str = "expected_loss_true",
@@ -185,12 +193,12 @@ def m_distribution(df: DataFrame, m: str = "m_hat") -> DataFrame:
     """Percentiles, mean and impact-tier shares of a multiplier column."""
     q = exact_quantiles(df, m, M_PROBS)
     x = F.col(m)
-    agg = df.agg(rnd(F.avg(x), 6).alias("mean"),
-                 rnd(F.avg((x < 0.95).cast("double")), 6).alias("protective_share"),
-                 rnd(F.avg(((x >= 0.95) & (x < 1.05)).cast("double")), 6).alias("neutral_share"),
-                 rnd(F.avg(((x >= 1.05) & (x < 1.30)).cast("double")), 6).alias("mild_share"),
-                 rnd(F.avg(((x >= 1.30) & (x < 2.0)).cast("double")), 6).alias("moderate_share"),
-                 rnd(F.avg((x >= 2.0).cast("double")), 6).alias("severe_share"))
+    tiers = [("protective_share", x < 0.95), ("neutral_share", (x >= 0.95) & (x < 1.05)),
+             ("mild_share", (x >= 1.05) & (x < 1.30)), ("moderate_share", (x >= 1.30) & (x < 2.0)),
+             ("severe_share", x >= 2.0)]
+    parts = mean_parts("mean", x, 4) + [p for nm, c in tiers for p in share_parts(nm, c)]
+    agg = df.agg(*parts).select(exact_round("mean", 4, 6).alias("mean"),
+                                *[exact_round(nm, 0, 6).alias(nm) for nm, _ in tiers])
     pcols = [rnd(lit_d(q[("", p)]) if q[("", p)] is not None else F.lit(None).cast("double"), 6)
              .alias(f"p{int(round(p * 100))}") for p in M_PROBS]
     return agg.select(*pcols, "*")
@@ -209,10 +217,11 @@ def premium_uplift(pair: DataFrame) -> DataFrame:
 def reclassification(pair: DataFrame) -> DataFrame:
     """Share of policies changing band, upgraded and downgraded."""
     changed = F.col("band_baseline") != F.col("band_full")
-    return pair.agg(
-        rnd(F.avg(changed.cast("double")), 6).alias("reclassified_share"),
-        rnd(F.avg((changed & (F.col("score_full") > F.col("score_baseline"))).cast("double")), 6).alias("upgraded_share"),
-        rnd(F.avg((changed & (F.col("score_full") < F.col("score_baseline"))).cast("double")), 6).alias("downgraded_share"))
+    conds = [("reclassified_share", changed),
+             ("upgraded_share", changed & (F.col("score_full") > F.col("score_baseline"))),
+             ("downgraded_share", changed & (F.col("score_full") < F.col("score_baseline")))]
+    return pair.agg(*[p for nm, c in conds for p in share_parts(nm, c)]).select(
+        *[exact_round(nm, 0, 6).alias(nm) for nm, _ in conds])
 
 
 def reclass_matrix(pair: DataFrame) -> DataFrame:
@@ -239,13 +248,12 @@ def leakage(pair: DataFrame, thresh: float = 50.0, book_size: int | None = None)
     ds = F.col("score_full") - F.col("score_baseline")
     dp = F.col("premium_full") - F.col("premium_baseline")
     danger, gem = ds > thresh, ds < -thresh
-    agg = pair.agg(F.count("*").alias("n"),
-                   F.avg(danger.cast("double")).alias("d"), F.avg(gem.cast("double")).alias("g"),
-                   F.avg(F.when(danger, dp)).alias("avg_under"), F.sum(F.when(danger, dp)).alias("tot"))
+    agg = pair.agg(F.count("*").alias("n"), *share_parts("d", danger), *share_parts("g", gem),
+                   *mean_parts("avg_under", F.when(danger, dp), 2), F.sum(F.when(danger, dp)).alias("tot"))
     scale = F.lit(float(book_size)) / F.col("n") if book_size else lit_d(1.0)
-    return agg.select(rnd(F.col("d") * 100, 4).alias("hidden_danger_pct"),
-                      rnd(F.col("g") * 100, 4).alias("hidden_gem_pct"),
-                      rnd(F.coalesce("avg_under", lit_d(0.0)), 2).alias("avg_underpricing"),
+    return agg.select(exact_round("d", 0, 4, 100).alias("hidden_danger_pct"),
+                      exact_round("g", 0, 4, 100).alias("hidden_gem_pct"),
+                      F.coalesce(exact_round("avg_under", 2, 2), lit_d(0.0)).alias("avg_underpricing"),
                       rnd(F.coalesce("tot", lit_d(0.0)), 2).alias("total_leakage"),
                       rnd(F.coalesce("tot", lit_d(0.0)) * scale, 2).alias("book_leakage"))
 
@@ -323,10 +331,11 @@ def book_report(book: DataFrame) -> DataFrame:
 def health_checks(book: DataFrame) -> DataFrame:
     """Zero-claim share, mean severity, loss ratio, non-positive premiums."""
     tl = F.col("total_loss")
-    a = book.agg((F.avg((tl == 0).cast("double")) * 100).alias("zero_claim_pct"),
-                 F.avg(F.when(tl > 0, tl)).alias("mean_severity"),
-                 (F.sum(tl) / F.sum("indicated_premium") * 100).alias("loss_ratio_pct"),
+    a = book.agg(*share_parts("z", tl == 0), *mean_parts("s", F.when(tl > 0, tl), 2),
+                 F.sum(tl).alias("_tl"), F.sum("indicated_premium").alias("_pr"),
                  F.sum((F.col("indicated_premium") <= 0).cast("int")).cast("double").alias("negative_premiums"))
+    a = a.select(exact_round("z", 0, 4, 100).alias("zero_claim_pct"), exact_round("s", 2, 4).alias("mean_severity"),
+                 (F.col("_tl") / F.col("_pr") * 100).alias("loss_ratio_pct"), "negative_premiums")
     checks = [("zero_claim_pct", F.abs(F.col("zero_claim_pct") - 94.5) < 1.5),
               ("mean_severity", F.col("mean_severity").between(15000, 22000)),
               ("loss_ratio_pct", F.col("loss_ratio_pct").between(55, 70)),
@@ -381,11 +390,12 @@ def benchmarks(book: DataFrame) -> DataFrame:
 
 def missingness(book: DataFrame, by: str | None = None) -> DataFrame:
     """NULL, 'Unknown' and sentinel rates (optionally per group)."""
-    aggs = [rnd(F.avg(F.col("defensible_space_score").isNull().cast("double")) * 100, 4).alias("ds_null_pct"),
-            rnd(F.avg((F.col("vegetation_risk_composite") == "Unknown").cast("double")) * 100, 4).alias("veg_unknown_pct"),
-            rnd(F.avg((F.col("dist_to_fire_station_mi") < 0).cast("double")) * 100, 4).alias("fire_sentinel_pct"),
-            F.count("*").alias("policies")]
-    return book.groupBy(by).agg(*aggs) if by else book.agg(*aggs)
+    conds = [("ds_null_pct", F.col("defensible_space_score").isNull()),
+             ("veg_unknown_pct", F.col("vegetation_risk_composite") == "Unknown"),
+             ("fire_sentinel_pct", F.col("dist_to_fire_station_mi") < 0)]
+    aggs = [p for nm, c in conds for p in share_parts(nm, c)] + [F.count("*").alias("policies")]
+    a = book.groupBy(by).agg(*aggs) if by else book.agg(*aggs)
+    return a.select(*([by] if by else []), *[exact_round(nm, 0, 4, 100).alias(nm) for nm, _ in conds], "policies")
 
 
 def histogram(df: DataFrame, col: str, n: int, lo: float, hi: float, clip_values: bool = False) -> DataFrame:
