@@ -22,7 +22,7 @@ from riskbook.plans import interactions as IX
 from riskbook.plans import rating as R
 from riskbook.plans import rules as V
 from riskbook.sources import io as IO
-from riskbook.sources.book import build_book, winsorize
+from riskbook.sources.book import build_book, release_cached, winsorize
 from riskbook.sources.fixture import state_dim
 
 QUERIES: dict = {}
@@ -40,7 +40,10 @@ def book(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scored book for ``sf_dir``, built once per application and persisted."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _BOOKS:
-        _BOOKS[key] = build_book(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+        bk = build_book(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+        bk.count()                 # materialise the cache, then drop the pre-cap intermediate
+        release_cached()
+        _BOOKS[key] = bk
     return _BOOKS[key]
 
 

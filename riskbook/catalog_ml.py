@@ -167,3 +167,41 @@ def q_m16(spark, sf_dir):
     IO.write_policies(te.repartition(4), src)
     out = run_submissions(spark, b, src, IO.scratch_path(spark, "scored"), IO.scratch_path(spark, "stream-ckpt"))
     return out.select("policy_id", "m_hat", "expected_loss", "risk_score_a1", "premium", "risk_band")
+
+
+@query("save_model")
+def q_s4_save(spark, sf_dir):
+    """S4 (write): parameter tables and pipelines of the fitted bundle; lists what was saved."""
+    from riskbook.sources.models import save_model
+    path = save_model(bundle(spark, sf_dir), spark, IO.scratch_path(spark, "model"))
+    parts = ["encoder", "impute_means", "scaler", "glm", "cells", "scalars"]
+    rows = [(p, spark.read.parquet(f"{path}/{p}").count()) for p in parts]
+    return spark.createDataFrame(rows, "part string, rows long")
+
+
+@query("load_model")
+def q_s4_load(spark, sf_dir):
+    """S4 (read): reload a saved bundle and score the whole book with it."""
+    from riskbook.sources.models import load_model, save_model
+    path = save_model(bundle(spark, sf_dir), spark, IO.scratch_path(spark, "model"))
+    return score_book(book(spark, sf_dir), load_model(spark, path)).select(
+        "policy_id", "m_hat", "expected_loss", "risk_score_a1", "premium", "risk_band")
+
+
+@query("predict_whatif")
+def q_m9_whatif(spark, sf_dir):
+    """M9 (what-if): the same edit applied to every policy, scored by the model chain,
+    with deltas against the unedited scores (both from one projection each, joined on key)."""
+    from riskbook.catalog import WHATIF_CHANGES
+    from riskbook.operators.joins import with_overrides
+    b = bundle(spark, sf_dir)
+    bk = book(spark, sf_dir)
+    base = scored(spark, sf_dir).select("policy_id", "expected_loss", "risk_score_a1", "premium", "m_hat")
+    new = score_book(with_overrides(bk, WHATIF_CHANGES), b).select(
+        "policy_id", F.col("expected_loss").alias("el_new"), F.col("risk_score_a1").alias("score_new"),
+        F.col("premium").alias("premium_new"), F.col("m_hat").alias("m_new"))
+    j = base.join(new, "policy_id")
+    return j.select("policy_id", rnd(F.col("el_new") - F.col("expected_loss"), 2).alias("d_el"),
+                    rnd(F.col("score_new") - F.col("risk_score_a1"), 1).alias("d_score"),
+                    rnd(F.col("premium_new") - F.col("premium"), 2).alias("d_premium"),
+                    rnd(F.col("m_new") - F.col("m_hat"), 3).alias("d_m"))

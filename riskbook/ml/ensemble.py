@@ -42,6 +42,7 @@ class EnsembleParams:
     ridge_alpha: float = 1.0
     max_bins: int = 64
     seed: int = 42
+    parallelism: int = 4
 
 
 def _learners(p: EnsembleParams, light: bool, seed: int) -> list:
@@ -93,13 +94,20 @@ def fit_mhat(train: DataFrame, stack: DataFrame, p: EnsembleParams = EnsemblePar
     fold the three light learners are fitted on the other folds and predict the held-out
     fold; the union of out-of-fold predictions trains ridge then isotonic.
     """
-    base = Pipeline(stages=[t3_assembler()] + _learners(p, light=False, seed=p.seed)).fit(train)
-    oof_parts = []
-    for f in range(p.folds):
+    from concurrent.futures import ThreadPoolExecutor
+
+    def fit_fold(f: int) -> DataFrame:
         fit_rows = stack.where(F.col("fold") != f)
         held = stack.where(F.col("fold") == f)
         m = Pipeline(stages=[t3_assembler()] + _learners(p, light=True, seed=f)).fit(fit_rows)
-        oof_parts.append(m.transform(held).select("p_rf", "p_gbt", "p_et", "m_target"))
+        return m.transform(held).select("p_rf", "p_gbt", "p_et", "m_target")
+
+    # The full-size learners and the k fold fits are independent Spark jobs; submitting
+    # them from a few threads keeps the cluster busy between each fit's small stages.
+    with ThreadPoolExecutor(max_workers=min(p.parallelism, p.folds + 1)) as pool:
+        base_f = pool.submit(lambda: Pipeline(stages=[t3_assembler()] + _learners(p, light=False, seed=p.seed)).fit(train))
+        oof_parts = list(pool.map(fit_fold, range(p.folds)))
+        base = base_f.result()
     oof = oof_parts[0]
     for part in oof_parts[1:]:
         oof = oof.unionByName(part)

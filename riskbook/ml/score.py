@@ -78,8 +78,11 @@ def train_all(book: DataFrame, params: EnsembleParams = EnsembleParams(), alpha:
     cols = KEEP + list(dict.fromkeys(prep_cols(prep))) + ["cell", "m_target"]
     stack = union_train_val(tr_t.select(*cols), va_t.select(*cols)).withColumn("fold", fold_id(params.folds))
     stack = stack.persist(StorageLevel.MEMORY_AND_DISK)
-    mhat = fit_mhat(tr_t, stack, params)
-    display = fit_display(tr_t)
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=2) as pool:       # independent fits, concurrent jobs
+        disp_f = pool.submit(fit_display, tr_t)
+        mhat = fit_mhat(tr_t, stack, params)
+        display = disp_f.result()
     # anchors and evaluation on the test split
     te = _with_glm(_cell(prep.scaled(sp["test"], keep=KEEP)), poisson, gamma)
     te = mhat.transform(te).withColumn("el_baseline", F.col("glm_el")) \

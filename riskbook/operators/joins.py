@@ -4,8 +4,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Broadcast only what is proven small: 64 MiB of estimated plan size by default.
-BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
+# Broadcast only what is proven small: 32 MiB of estimated plan size by default
+# (Catalyst estimates scans from compressed file sizes, so keep head-room).
+BROADCAST_LIMIT_BYTES = 32 * 1024 * 1024
 
 
 def estimated_bytes(df: DataFrame) -> int | None:
