@@ -346,7 +346,7 @@ def q_v6(spark, sf_dir):
 @query("state_dimension_join")
 def q_j1(spark, sf_dir):
     dim = state_dim(spark).drop("k")
-    return J.join_dim(book(spark, sf_dir).select("policy_id", "state"), dim, "state", "left")
+    return J.join_dim(book(spark, sf_dir).select("policy_id", "state"), dim, "state", "left", rows_bound=10)
 
 
 @query("cell_oe_lookup")
@@ -355,7 +355,7 @@ def q_j2(spark, sf_dir):
     withcell = lambda d: d.select("policy_id", "claim_amount", FE.encoded_cell_key(enc).alias("cell"),
                                   rnd(F.col("lambda_true") * F.col("mu_true"), 2).alias("glm_el"))
     cells = X.group_oe(withcell(sp["train"]))
-    out = J.apply_cell_oe(withcell(sp["test"]), cells)
+    out = J.apply_cell_oe(withcell(sp["test"]), cells, rows_bound=FE.cell_bound(enc))
     return out.select("policy_id", "cell", rnd(F.col("cell_oe"), 6).alias("cell_oe"))
 
 
@@ -482,8 +482,8 @@ def q_a11(spark, sf_dir):
 
 @query("oe_normalise")
 def q_a12(spark, sf_dir):
-    _, tr, te = _oe_inputs(spark, sf_dir)
-    study = X.oe_normalise(tr, X.group_oe(tr))
+    sp, tr, te = _oe_inputs(spark, sf_dir)
+    study = X.oe_normalise(tr, X.group_oe(tr), rows_bound=FE.cell_bound(FE.Encoder.fit(sp["train"])))
     tgt = X.normalised_target(tr, study)
     return tgt.agg(rnd(lit_d(study.scale_factor), 6).alias("scale_factor"),
                    rnd(lit_d(study.overall_oe), 6).alias("overall_oe"),
@@ -492,9 +492,9 @@ def q_a12(spark, sf_dir):
 
 @query("oe_percentiles")
 def q_a13(spark, sf_dir):
-    _, tr, _ = _oe_inputs(spark, sf_dir)
+    sp, tr, _ = _oe_inputs(spark, sf_dir)
     cells = X.group_oe(tr)
-    study = X.oe_normalise(tr, cells)
+    study = X.oe_normalise(tr, cells, rows_bound=FE.cell_bound(FE.Encoder.fit(sp["train"])))
     return X.oe_percentiles(cells, X.normalised_target(tr, study))
 
 

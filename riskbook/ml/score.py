@@ -23,7 +23,7 @@ from riskbook.operators import experience as X
 from riskbook.operators.quantiles import exact_quantiles
 from riskbook.operators.sampling import fold_id, split, union_train_val
 from riskbook.plans import rating as R
-from riskbook.plans.features import cell_key
+from riskbook.plans.features import cell_bound, cell_key
 from riskbook.plans.interactions import active_interactions
 from riskbook.plans.rules import input_warnings
 
@@ -71,7 +71,7 @@ def train_all(book: DataFrame, params: EnsembleParams = EnsembleParams(), alpha:
     cells = X.group_oe(tr_g, "claim_amount", "glm_el", "cell", X.MIN_GROUP_TRAIN)
     cells_rows = [tuple(r) for r in cells.collect()]                   # one row per cell
     cells_df = book.sparkSession.createDataFrame(cells_rows, cells.schema)
-    study = X.oe_normalise(tr_g, cells_df, "claim_amount", "glm_el", "cell")
+    study = X.oe_normalise(tr_g, cells_df, "claim_amount", "glm_el", "cell", rows_bound=len(cells_rows))
     tr_t = X.normalised_target(tr_g, study).persist(StorageLevel.MEMORY_AND_DISK)
     va = _cell(prep.scaled(sp["val"], keep=KEEP))
     va_t = X.normalised_target(va, study)
@@ -159,7 +159,7 @@ def evaluate(b: ModelBundle) -> list[tuple[str, float]]:
     out += [("gini_baseline", gb), ("gini_full", gf), ("gini_delta", gf - gb)]
     te_cells = X.group_oe(te, "claim_amount", "glm_el", "cell", X.MIN_GROUP_TEST)
     from riskbook.operators.joins import apply_cell_oe
-    te_t = apply_cell_oe(te, te_cells, "cell", "oe", "te_oe") \
+    te_t = apply_cell_oe(te, te_cells, "cell", "oe", "te_oe", rows_bound=cell_bound(b.prep.encoder)) \
         .withColumn("te_target", clip(F.col("te_oe") / lit_d(b.scale_factor), 0.10, 8.0))
     m = X.reg_metrics(te_t, "te_target", "m_hat").first()
     out += [("mhat_r2_vs_test_oe", m["r2"]), ("mhat_mae", m["mae"]), ("mhat_rmse", m["rmse"])]

@@ -38,21 +38,22 @@ class OEStudy:
     cells: DataFrame          # A11 table on the fitting split
     scale_factor: float       # A12 policy-weighted mean O/E (1.0 if < 0.05)
     overall_oe: float
+    rows_bound: int | None = None   # proven bound on the number of cells
 
 
 def oe_normalise(train: DataFrame, cells: DataFrame, claim: str = "claim_amount",
-                 expected: str = "glm_el", cell: str = "cell") -> OEStudy:
+                 expected: str = "glm_el", cell: str = "cell", rows_bound: int | None = None) -> OEStudy:
     """Scale factor = policy-weighted mean of the cell O/E over the fitting rows."""
-    mapped = apply_cell_oe(train, cells, cell_col=cell, oe_col="oe", out="policy_oe")
+    mapped = apply_cell_oe(train, cells, cell_col=cell, oe_col="oe", out="policy_oe", rows_bound=rows_bound)
     r = mapped.agg(F.avg("policy_oe").alias("m"), F.sum(claim).alias("c"), F.sum(expected).alias("e")).first()
     scale = r["m"] if r["m"] is not None and r["m"] >= 0.05 else 1.0
     overall = (r["c"] or 0.0) / max(r["e"] or 0.0, 1.0)
-    return OEStudy(cells, float(scale), float(overall))
+    return OEStudy(cells, float(scale), float(overall), rows_bound)
 
 
 def normalised_target(df: DataFrame, study: OEStudy, cell: str = "cell", out: str = "m_target") -> DataFrame:
     """Map cell O/E onto rows (1.0 for unseen cells), divide by the scale factor, clip."""
-    mapped = apply_cell_oe(df, study.cells, cell_col=cell, oe_col="oe", out="_policy_oe")
+    mapped = apply_cell_oe(df, study.cells, cell_col=cell, oe_col="oe", out="_policy_oe", rows_bound=study.rows_bound)
     return mapped.withColumn(out, clip(F.col("_policy_oe") / lit_d(study.scale_factor), *OE_CLIP)).drop("_policy_oe")
 
 

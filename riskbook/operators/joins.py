@@ -18,29 +18,38 @@ def estimated_bytes(df: DataFrame) -> int | None:
         return None
 
 
+BROADCAST_MAX_ROWS = 1_000_000
+
+
 def join_checked(left: DataFrame, right: DataFrame, on, how: str = "inner",
-                 limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
-    """Broadcast ``right`` only when its estimated size is under ``limit``.
+                 limit: int = BROADCAST_LIMIT_BYTES, rows_bound: int | None = None) -> DataFrame:
+    """Broadcast ``right`` only when its size is proven small.
 
-    Beyond the bound the join stays a shuffle join (sort-merge or shuffled hash,
-    chosen by Catalyst); AQE's skew-join handling splits a hot key on the big side.
+    Proof is either a caller-supplied row bound (fixed dimensions, tables bounded by
+    category cardinalities) or Catalyst's size estimate under ``limit`` (DataFrames
+    made from local Python data carry no usable estimate). Otherwise the join stays a
+    shuffle join chosen by Catalyst; AQE's skew-join handling splits a hot key.
     """
-    size = estimated_bytes(right)
-    if size is not None and size <= limit:
+    if rows_bound is not None and rows_bound <= BROADCAST_MAX_ROWS:
         right = F.broadcast(right)
+    else:
+        size = estimated_bytes(right)
+        if size is not None and size <= limit:
+            right = F.broadcast(right)
     return left.join(right, on, how)
 
 
-def join_dim(df: DataFrame, dim: DataFrame, on, how: str = "left") -> DataFrame:
+def join_dim(df: DataFrame, dim: DataFrame, on, how: str = "left", rows_bound: int | None = None) -> DataFrame:
     """Attach a small dimension table (state parameters, rating factors)."""
-    return join_checked(df, dim, on, how)
+    return join_checked(df, dim, on, how, rows_bound=rows_bound)
 
 
-def apply_cell_oe(df: DataFrame, cells: DataFrame, cell_col: str = "cell",
-                  oe_col: str = "oe", out: str = "cell_oe") -> DataFrame:
-    """Cell O/E lookup, 1.0 for cells unseen in the fitting set."""
+def apply_cell_oe(df: DataFrame, cells: DataFrame, cell_col: str = "cell", oe_col: str = "oe",
+                  out: str = "cell_oe", rows_bound: int | None = None) -> DataFrame:
+    """Cell O/E lookup, 1.0 for cells unseen in the fitting set. ``rows_bound`` is
+    the number of possible cells (product of the encoded cardinalities x 2)."""
     c = cells.select(F.col(cell_col).alias("_cell"), F.col(oe_col).alias("_oe"))
-    joined = join_checked(df, c, df[cell_col] == c["_cell"], "left")
+    joined = join_checked(df, c, df[cell_col] == c["_cell"], "left", rows_bound=rows_bound)
     return joined.withColumn(out, F.coalesce(F.col("_oe"), F.lit(1.0))).drop("_cell", "_oe")
 
 

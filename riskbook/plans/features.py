@@ -177,3 +177,11 @@ def cell_key(wf: Column, roof: Column, flood: Column, eq: Column, slope: Column)
 def encoded_cell_key(enc: Encoder) -> Column:
     return cell_key(enc.code("wildfire_zone"), enc.code("roof_material"), enc.code("flood_zone"),
                     enc.code("earthquake_zone"), F.col("slope_steepness_pct"))
+
+
+def cell_bound(enc: Encoder) -> int:
+    """Number of possible cell keys: product of the four encoded cardinalities x 2."""
+    n = 2
+    for c in ("wildfire_zone", "roof_material", "flood_zone", "earthquake_zone"):
+        n *= max(1, len(enc.classes.get(c, [])))
+    return n
