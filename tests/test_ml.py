@@ -47,7 +47,7 @@ def test_scoring_identity_and_ranges(book, bundle):
     s = score_book(book, bundle)
     r = s.agg(F.min("m_hat"), F.max("m_hat"), F.min("risk_score_a1"), F.max("risk_score_a1"),
               F.max(F.abs(F.col("expected_loss") - F.col("el_baseline") * F.col("m_hat"))
-                    - F.col("el_baseline") * 0.0005 - 0.01),
+                    - F.col("el_baseline") * 0.0005 - F.col("m_hat") * 0.005 - 0.01),
               F.count("*")).first()
     assert 0.10 <= r[0] and r[1] <= 8.0
     assert 50 <= r[2] and r[3] <= 950
