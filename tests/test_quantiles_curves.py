@@ -105,7 +105,8 @@ def test_kendall_tau_b_heavy_ties(spark):
     y = np.where(rng.random(400) < 0.3, 7.0, rng.integers(0, 40, 400)).astype(float)   # one hot value
     df = spark.createDataFrame([(f"K{i:04d}", float(a), float(b)) for i, (a, b) in enumerate(zip(x, y))],
                                "policy_id string, x double, y double")
-    r = kendall_tau_b(df, "x", "y", blocks=5)
     tau, nd = _brute_tau_b(list(x), list(y))
-    assert r["discordant"] == nd
-    assert r["tau_b"] == pytest.approx(tau, abs=1e-12)
+    for limit, yb in ((1000, 4), (60, 3), (25, 2)):        # single group, grid + recursion
+        r = kendall_tau_b(df, "x", "y", limit=limit, yblocks=yb)
+        assert r["discordant"] == nd
+        assert r["tau_b"] == pytest.approx(tau, abs=1e-12)
