@@ -58,7 +58,7 @@ def main() -> None:
     small = ["portfolio_kpis", "loss_ratio_by_band", "band_distribution", "state_summary", "state_peril_matrix",
              "correlation_matrix", "column_summary", "group_oe", "m_distribution", "reclassification",
              "generation_report", "peril_severity", "roi_grid", "drift_psi", "gini", "gini_oracle",
-             "decile_loss_ratio", "decile_lift", "interaction_contribution"]
+             "decile_loss_ratio", "decile_lift", "interaction_contribution", "kendall_tau_b"]
     big = ["active_interactions", "reason_codes", "premium_attribution", "risk_narrative", "scenario_cross",
            "whatif_delta", "score_a1_percentile"]
     for k in small:

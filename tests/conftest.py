@@ -27,3 +27,13 @@ def spark():
 def book(spark):
     from riskbook.catalog import book as cached_book
     return cached_book(spark, SF_SMALL)
+
+
+@pytest.fixture(scope="session")
+def bundle(book):
+    """One small fitted model bundle shared by the model and API tests."""
+    from riskbook.ml.ensemble import EnsembleParams
+    from riskbook.ml.score import train_all
+    small = EnsembleParams(rf_trees=8, gbt_iter=5, et_trees=8, oof_rf_trees=4, oof_gbt_iter=3, oof_et_trees=4,
+                           max_bins=16)
+    return train_all(book, small)

@@ -13,11 +13,6 @@ from riskbook.plans.features import T12
 SMALL = EnsembleParams(rf_trees=8, gbt_iter=5, et_trees=8, oof_rf_trees=4, oof_gbt_iter=3, oof_et_trees=4, max_bins=16)
 
 
-@pytest.fixture(scope="module")
-def bundle(book):
-    return train_all(book, SMALL)
-
-
 def test_poisson_score_equations(spark, book, bundle):
     """At the penalised optimum: X'(y - mu)/n = alpha * beta (intercept row: 0)."""
     tr = bundle.prep.scaled(split(book)["train"], keep=["claim_occurred"])
