@@ -24,6 +24,7 @@ from riskbook.plans import rules as V
 from riskbook.sources import io as IO
 from riskbook.sources.book import build_book, release_cached, winsorize
 from riskbook.sources.fixture import state_dim
+from riskbook.session import cut_lineage
 
 QUERIES: dict = {}
 _BOOKS: dict = {}
@@ -40,9 +41,12 @@ def book(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scored book for ``sf_dir``, built once per application and persisted."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _BOOKS:
-        bk = build_book(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
-        bk.count()                 # materialise the cache, then drop the pre-cap intermediate
-        release_cached()
+        # Reliable checkpoint into the shared spark.checkpoint.dir: the lineage (hash
+        # features, joins, cap passes) is cut, so a lost executor re-reads files instead
+        # of recomputing the book; the cache on top serves the many reports quickly.
+        bk = cut_lineage(build_book(spark, sf_dir)).persist(StorageLevel.MEMORY_AND_DISK)
+        bk.count()
+        release_cached()           # the pre-cap intermediate is no longer needed
         _BOOKS[key] = bk
     return _BOOKS[key]
 
