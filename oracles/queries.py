@@ -843,7 +843,9 @@ def _hist(src: str, col: str, n: int, lo: float, hi: float, clip: bool, name: st
 @oracle("histogram")
 def o_a26():
     up = "(SELECT (el_full - el_baseline) / (el_baseline + 1) * 100 AS uplift FROM pair) u"
-    return with_pair(_hist("pair", "m_hat", 60, 0.7, 3.5, False, "m_60") + " UNION ALL " + _hist(up, "uplift", 50, 0.0, 300.0, True, "uplift_50"))
+    return with_pair(_hist("pair", "m_hat", 60, 0.7, 3.5, False, "m_60") + " UNION ALL "
+                     + _hist("pair", "m_hat", 35, 0.7, 3.5, False, "m_35") + " UNION ALL "
+                     + _hist(up, "uplift", 50, 0.0, 300.0, True, "uplift_50"))
 
 
 @oracle("roi_grid")
@@ -940,7 +942,9 @@ def o_o2():
 
 @oracle("stratified_split")
 def o_o4():
-    return with_book(f"SELECT {SPLIT} AS split, claim_occurred, count(*) AS policies FROM book GROUP BY 1, 2")
+    s80 = f"CASE WHEN {U('policy_id', 'split80')} < 0.8e0 THEN 'train' ELSE 'test' END"
+    return with_book(f"""SELECT '60/20/20' AS scheme, {SPLIT} AS split, claim_occurred, count(*) AS policies FROM book GROUP BY 2, 3
+UNION ALL SELECT '80/20', {s80}, claim_occurred, count(*) FROM book GROUP BY 2, 3""")
 
 
 @oracle("kfold")

@@ -571,6 +571,7 @@ def q_a25(spark, sf_dir):
 def q_a26(spark, sf_dir):
     pr = pair(spark, sf_dir)
     m = P.histogram(pr, "m_hat", 60, 0.7, 3.5).select(F.lit("m_60").alias("hist"), "*")
+    m = m.unionByName(P.histogram(pr, "m_hat", 35, 0.7, 3.5).select(F.lit("m_35").alias("hist"), "*"))
     up = pr.select(((F.col("el_full") - F.col("el_baseline")) / (F.col("el_baseline") + 1) * 100).alias("uplift"))
     u = P.histogram(up, "uplift", 50, 0.0, 300.0, clip_values=True).select(F.lit("uplift_50").alias("hist"), "*")
     return m.unionByName(u)
@@ -626,7 +627,11 @@ def q_o2(spark, sf_dir):
 @query("stratified_split")
 def q_o4(spark, sf_dir):
     bk = book(spark, sf_dir)
-    return (bk.select(O.split_label().alias("split"), "claim_occurred").groupBy("split", "claim_occurred")
+    labels = F.array(F.struct(F.lit("60/20/20").alias("scheme"), O.split_label().alias("split")),
+                     F.struct(F.lit("80/20").alias("scheme"),
+                              O.split_label((0.8, 0.2), ("train", "test"), salt="split80").alias("split")))
+    return (bk.select(F.explode(labels).alias("s"), "claim_occurred")
+            .groupBy(F.col("s.scheme").alias("scheme"), F.col("s.split").alias("split"), "claim_occurred")
             .agg(F.count("*").alias("policies")))
 
 
