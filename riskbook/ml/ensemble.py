@@ -42,7 +42,7 @@ class EnsembleParams:
     ridge_alpha: float = 1.0
     max_bins: int = 64
     seed: int = 42
-    parallelism: int = 4
+    parallelism: int = 6
 
 
 def _learners(p: EnsembleParams, light: bool, seed: int) -> list:
@@ -89,30 +89,48 @@ def _meta_pipeline(p: EnsembleParams, n: int, y_std: float) -> Pipeline:
 def fit_mhat(train: DataFrame, stack: DataFrame, p: EnsembleParams = EnsembleParams()) -> MHatModel:
     """M6 + M7.
 
-    ``train``: encoded rows with ``m_target`` (base learners are fitted here).
+    ``train``: encoded rows with ``m_target`` (the three full-size base learners).
     ``stack``: train + validation rows with ``m_target`` and ``fold`` (0..k-1); for each
     fold the three light learners are fitted on the other folds and predict the held-out
     fold; the union of out-of-fold predictions trains ridge then isotonic.
+
+    The T3 vector is assembled once and persisted; the 3 + 3k learner fits are
+    independent Spark jobs submitted from a small thread pool (as CrossValidator's
+    ``parallelism``), so the short per-tree stages of different fits overlap.
     """
     from concurrent.futures import ThreadPoolExecutor
-
-    def fit_fold(f: int) -> DataFrame:
-        fit_rows = stack.where(F.col("fold") != f)
-        held = stack.where(F.col("fold") == f)
-        m = Pipeline(stages=[t3_assembler()] + _learners(p, light=True, seed=f)).fit(fit_rows)
-        return m.transform(held).select("p_rf", "p_gbt", "p_et", "m_target")
-
-    # The full-size learners and the k fold fits are independent Spark jobs; submitting
-    # them from a few threads keeps the cluster busy between each fit's small stages.
-    with ThreadPoolExecutor(max_workers=min(p.parallelism, p.folds + 1)) as pool:
-        base_f = pool.submit(lambda: Pipeline(stages=[t3_assembler()] + _learners(p, light=False, seed=p.seed)).fit(train))
-        oof_parts = list(pool.map(fit_fold, range(p.folds)))
-        base = base_f.result()
-    oof = oof_parts[0]
-    for part in oof_parts[1:]:
-        oof = oof.unionByName(part)
-    st = oof.agg(F.count("*").alias("n"), F.stddev_pop("m_target").alias("s")).first()
-    meta = _meta_pipeline(p, st["n"], st["s"] or 1.0).fit(oof)
+    from pyspark import StorageLevel
+
+    asm = t3_assembler()
+    tr = asm.transform(train).select("t3", "m_target").persist(StorageLevel.MEMORY_AND_DISK)
+    st = asm.transform(stack).select("t3", "m_target", "fold").persist(StorageLevel.MEMORY_AND_DISK)
+    jobs = [("base", None, est) for est in _learners(p, light=False, seed=p.seed)]
+    for f in range(p.folds):
+        jobs += [("fold", f, est) for est in _learners(p, light=True, seed=f)]
+
+    def fit(job):
+        kind, f, est = job
+        data = tr if kind == "base" else st.where(F.col("fold") != f)
+        return est.fit(data)
+
+    try:
+        with ThreadPoolExecutor(max_workers=p.parallelism) as pool:
+            models = list(pool.map(fit, jobs))
+        base = PipelineModel(stages=[asm] + models[:3])
+        oof_parts = []
+        for f in range(p.folds):
+            fm = PipelineModel(stages=models[3 + 3 * f: 6 + 3 * f])
+            oof_parts.append(fm.transform(st.where(F.col("fold") == f)).select("p_rf", "p_gbt", "p_et", "m_target"))
+        oof = oof_parts[0]
+        for part in oof_parts[1:]:
+            oof = oof.unionByName(part)
+        oof = oof.persist(StorageLevel.MEMORY_AND_DISK)
+        agg = oof.agg(F.count("*").alias("n"), F.stddev_pop("m_target").alias("s")).first()
+        meta = _meta_pipeline(p, agg["n"], agg["s"] or 1.0).fit(oof)
+        oof.unpersist()
+    finally:
+        tr.unpersist()
+        st.unpersist()
     return MHatModel(base, meta, p)
 
 
@@ -133,12 +151,15 @@ class DisplayModels:
 def fit_display(train: DataFrame, iters: int = 30, depth: int = 5, seed: int = 42) -> DisplayModels:
     fa = VectorAssembler(inputCols=T12, outputCol="x_t12", handleInvalid="keep")
     sa = VectorAssembler(inputCols=SEV_FEATS, outputCol="x_sev", handleInvalid="keep")
-    freq = Pipeline(stages=[fa, GBTRegressor(maxIter=iters, maxDepth=depth, stepSize=0.1, minInstancesPerNode=30,
-                                             seed=seed, featuresCol="x_t12", labelCol="lambda_true",
-                                             predictionCol="p_freq")]).fit(train)
-    sev = Pipeline(stages=[sa, GBTRegressor(maxIter=iters, maxDepth=depth, stepSize=0.1, minInstancesPerNode=25,
-                                            seed=seed, featuresCol="x_sev", labelCol="mu_true",
-                                            predictionCol="p_sev")]).fit(train)
+    from concurrent.futures import ThreadPoolExecutor
+    freq_p = Pipeline(stages=[fa, GBTRegressor(maxIter=iters, maxDepth=depth, stepSize=0.1, minInstancesPerNode=30,
+                                               seed=seed, featuresCol="x_t12", labelCol="lambda_true",
+                                               predictionCol="p_freq")])
+    sev_p = Pipeline(stages=[sa, GBTRegressor(maxIter=iters, maxDepth=depth, stepSize=0.1, minInstancesPerNode=25,
+                                              seed=seed, featuresCol="x_sev", labelCol="mu_true",
+                                              predictionCol="p_sev")])
+    with ThreadPoolExecutor(max_workers=2) as pool:      # two independent fits
+        freq, sev = pool.map(lambda pl: pl.fit(train), [freq_p, sev_p])
     return DisplayModels(freq, sev)
 
 

@@ -61,12 +61,24 @@ def _with_glm(df: DataFrame, poisson: GLM, gamma: GLM) -> DataFrame:
 
 def train_all(book: DataFrame, params: EnsembleParams = EnsembleParams(), alpha: float = 0.01,
               with_tweedie: bool = True) -> ModelBundle:
+    import time
+    clock = {"t": time.time()}
+    timings: dict = {}
+
+    def lap(name):
+        now = time.time()
+        timings[name] = round(now - clock["t"], 2)
+        clock["t"] = now
+
     sp = split(book)
     prep = Prep.fit(sp["train"])
     tr = _cell(prep.scaled(sp["train"], keep=KEEP)).persist(StorageLevel.MEMORY_AND_DISK)
+    lap("prep")
     poisson = fit_poisson(tr, alpha)
     gamma = fit_gamma(tr, alpha)
+    lap("poisson_gamma")
     tweedie = fit_tweedie(tr, 1.65, alpha) if with_tweedie else GLM("tweedie", 0.0, {})
+    lap("tweedie")
     tr_g = _with_glm(tr, poisson, gamma)
     cells = X.group_oe(tr_g, "claim_amount", "glm_el", "cell", X.MIN_GROUP_TRAIN)
     cells_rows = [tuple(r) for r in cells.collect()]                   # one row per cell
@@ -78,11 +90,13 @@ def train_all(book: DataFrame, params: EnsembleParams = EnsembleParams(), alpha:
     cols = KEEP + list(dict.fromkeys(prep_cols(prep))) + ["cell", "m_target"]
     stack = union_train_val(tr_t.select(*cols), va_t.select(*cols)).withColumn("fold", fold_id(params.folds))
     stack = stack.persist(StorageLevel.MEMORY_AND_DISK)
+    lap("oe_study")
     from concurrent.futures import ThreadPoolExecutor
     with ThreadPoolExecutor(max_workers=2) as pool:       # independent fits, concurrent jobs
         disp_f = pool.submit(fit_display, tr_t)
         mhat = fit_mhat(tr_t, stack, params)
         display = disp_f.result()
+    lap("ensemble_and_display")
     # anchors and evaluation on the test split
     te = _with_glm(_cell(prep.scaled(sp["test"], keep=KEEP)), poisson, gamma)
     te = mhat.transform(te).withColumn("el_baseline", F.col("glm_el")) \
@@ -91,8 +105,9 @@ def train_all(book: DataFrame, params: EnsembleParams = EnsembleParams(), alpha:
     el_max = exact_quantiles(te, "el_full", [0.99])[("", 0.99)] or 2.0
     bundle = ModelBundle(prep, poisson, gamma, tweedie, mhat, display, cells_rows, study.scale_factor,
                          float(el_min), float(el_max))
+    lap("test_anchors")
     bundle.metrics = {"n_train": tr.count(), "n_cells": len(cells_rows), "scale_factor": study.scale_factor,
-                      "overall_oe_train": study.overall_oe}
+                      "overall_oe_train": study.overall_oe, **{"sec_" + k: v for k, v in timings.items()}}
     bundle._test = te            # kept for evaluate(); not persisted by save_model
     bundle._study = study
     for d in (tr, tr_t, stack):

@@ -107,3 +107,15 @@ def test_lrt_pvalue_helper():
     from riskbook.ml.attribution import _chi2_sf
     assert _chi2_sf(12.5916, 6) == pytest.approx(0.05, abs=1e-4)
     assert _chi2_sf(3.84146, 1) == pytest.approx(0.05, abs=1e-4)
+
+
+def test_tweedie_score_equations(book, bundle):
+    """At the IRLS optimum: X'((y - mu) mu^(1-p))/n = alpha * beta (intercept row: 0)."""
+    tr = bundle.prep.scaled(split(book)["train"], keep=["claim_amount"])
+    g, p = bundle.tweedie, 1.65
+    mu = F.exp(g.eta())
+    r_ = (F.col("claim_amount") - mu) * F.pow(mu, 1 - p)
+    r = tr.agg(F.avg(r_).alias("g0"), *[F.avg(r_ * F.col("z_" + c)).alias("g_" + c) for c in T12]).first()
+    assert abs(r["g0"]) < 1e-6 * max(1.0, abs(g.intercept))
+    for c in T12:
+        assert r["g_" + c] == pytest.approx(0.01 * g.coef[c], abs=1e-6)
