@@ -16,8 +16,28 @@ FOLD_SALT = "fold"
 
 
 def seeded_sample(df: DataFrame, n: int, salt: str = "42", key: str = "policy_id") -> DataFrame:
-    """O2: n rows without replacement, repeatable: the n smallest md5(key || salt)."""
-    return df.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(salt))), F.col(key)).limit(n)
+    """O2: n rows without replacement, repeatable: the n smallest md5(key || salt).
+
+    The first 8 hex digits of the digest, read as a uniform u in [0, 1), order rows
+    exactly as the digest string does up to ties. Rows with u below a threshold a few
+    standard deviations above n / N are kept (one filtered count; the threshold widens
+    until at least n rows pass), and only those ~n candidates are sorted. A plain
+    orderBy().limit(n) would merge n rows from every partition in one task.
+    """
+    digest = F.md5(F.concat(F.col(key).cast("string"), F.lit(salt)))
+    u = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
+    total = df.count()
+    if n <= 0:
+        return df.limit(0)
+    ordered = lambda d: d.orderBy(digest, F.col(key)).limit(n)
+    if n >= total:
+        return df                  # the whole set; no order is needed for a sample
+    t = min(1.0, (n + 6.0 * n ** 0.5 + 64.0) / total)
+    while True:
+        cand = df.where(u <= F.lit(t))
+        if t >= 1.0 or cand.count() >= n:
+            return ordered(cand)
+        t = min(1.0, t * 2.0)
 
 
 def split_label(fracs: tuple[float, ...] = (0.6, 0.2, 0.2), names: tuple[str, ...] = ("train", "val", "test"),
