@@ -759,13 +759,13 @@ def o_a20():
 @oracle("generation_report")
 def o_a21():
     from riskbook.operators.portfolio import GENERATION_TARGETS, INFO_METRICS
-    pct = lambda c: f"avg(CASE WHEN {c} THEN 1e0 ELSE 0e0 END) * 100"
+    pct = lambda c: XSHARE(c, 4, 100)
     exprs = {
-        "claim_rate_pct": pct("claim_occurred = 1"), "avg_mu": "avg(mu_true)",
-        "avg_severity": "avg(CASE WHEN total_loss > 0 THEN total_loss END)", "zero_loss_pct": pct("total_loss = 0"),
-        "cat_pct": pct("is_cat_event = 1"), "avg_premium": "avg(indicated_premium)",
+        "claim_rate_pct": pct("claim_occurred = 1"), "avg_mu": XMEAN("mu_true", 0, 4),
+        "avg_severity": XMEAN("CASE WHEN total_loss > 0 THEN total_loss END", 2, 4), "zero_loss_pct": pct("total_loss = 0"),
+        "cat_pct": pct("is_cat_event = 1"), "avg_premium": XMEAN("indicated_premium", 2, 4),
         "median_premium": "quantile_cont(indicated_premium, 0.5)", "actual_lr": "sum(total_loss) / sum(indicated_premium)",
-        "m_mean": "avg(M_true)", "m_std": "stddev_samp(M_true)", "m_max": "max(M_true)",
+        "m_mean": XMEAN("M_true", 4, 4), "m_std": "stddev_samp(M_true)", "m_max": "max(M_true)",
         "subprime_pct": pct("credit_score < 620"), "recent_roof_pct": pct("roof_age_yr <= 3"),
         "canopy_unknown_pct": pct("vegetation_risk_composite = 'Unknown'"), "ds_missing_pct": pct("defensible_space_score IS NULL"),
         "fire_sentinel_pct": pct("dist_to_fire_station_mi < 0"), "knob_tube_pct": pct("has_knob_tube_wiring = 1"),
@@ -773,8 +773,8 @@ def o_a21():
         "data_vintage_pct": pct("data_vintage_flag = 1"), "rcv_vintage_pct": pct("rcv_vintage_flag = 1"),
         "renewal_pct": pct("renewal_credit = 1"),
         "three_way_pct": pct("wildfire_zone = 'High' AND slope_steepness_pct > 55 AND post_burn_rainfall_intensity > 60"),
-        "slope_mean": "avg(slope_steepness_pct)", "rain_mean": "avg(post_burn_rainfall_intensity)",
-        "roof_age_mean": "avg(roof_age_yr)", "credit_p10": "quantile_cont(credit_score::double, 0.1)",
+        "slope_mean": XMEAN("slope_steepness_pct", 1, 4), "rain_mean": XMEAN("post_burn_rainfall_intensity", 1, 4),
+        "roof_age_mean": XMEAN("roof_age_yr", 0, 4), "credit_p10": "quantile_cont(credit_score::double, 0.1)",
         "credit_p50": "quantile_cont(credit_score::double, 0.5)", "credit_p90": "quantile_cont(credit_score::double, 0.9)",
         "roof_age_median": "quantile_cont(roof_age_yr::double, 0.5)",
     }
@@ -806,9 +806,9 @@ def o_a23():
     cat = "total_loss > 0 AND is_cat_event = 1"
     hail = f"total_loss > 0 AND hail_zone = 'High' AND NOT ({cat})"
     water = f"total_loss > 0 AND NOT ({cat}) AND NOT ({hail})"
-    vals = [f"avg(CASE WHEN {cat} THEN total_loss END)", f"avg(CASE WHEN {hail} THEN total_loss END)",
-            f"avg(CASE WHEN {water} THEN total_loss END)", "avg(CASE WHEN total_loss > 0 THEN total_loss END)",
-            "avg(claim_occurred::double) * 100", "avg(CASE WHEN total_loss = 0 THEN 1e0 ELSE 0e0 END) * 100"]
+    vals = [XMEAN(f"CASE WHEN {cat} THEN total_loss END", 2, 4), XMEAN(f"CASE WHEN {hail} THEN total_loss END", 2, 4),
+            XMEAN(f"CASE WHEN {water} THEN total_loss END", 2, 4), XMEAN("CASE WHEN total_loss > 0 THEN total_loss END", 2, 4),
+            XSHARE("claim_occurred = 1", 4, 100), XSHARE("total_loss = 0", 4, 100)]
     parts = [f"SELECT '{name}' AS peril, {R(v, 4)} AS value, {lo!r}e0 AS lo, {hi!r}e0 AS hi FROM book"
              for (name, lo, hi), v in zip(PERIL_RANGES, vals)]
     return with_ctes(f"pv AS ({' UNION ALL '.join(parts)}), pp AS (SELECT *, CASE WHEN value IS NOT NULL THEN (CASE WHEN value BETWEEN lo AND hi THEN 1 ELSE 0 END) END AS pass FROM pv)",
@@ -817,8 +817,8 @@ def o_a23():
 
 @oracle("benchmark_table")
 def o_a24():
-    items = [("annual_claim_rate", "avg(lambda_true)", 0.053), ("avg_severity_all", "avg(mu_true)", 18000.0),
-             ("zero_claim_pct", "avg(CASE WHEN total_loss = 0 THEN 1e0 ELSE 0e0 END)", 0.945),
+    items = [("annual_claim_rate", XMEAN("lambda_true", 5, 6), 0.053), ("avg_severity_all", XMEAN("mu_true", 0, 6), 18000.0),
+             ("zero_claim_pct", XSHARE("total_loss = 0", 6), 0.945),
              ("target_loss_ratio", "sum(total_loss) / sum(indicated_premium)", 0.63), ("tweedie_power_p", "max(1.65e0)", 1.65)]
     return with_book(" UNION ALL ".join(f"SELECT '{k}' AS metric, {R(v, 6)} AS dataset, {b!r}e0 AS benchmark FROM book" for k, v, b in items))
 

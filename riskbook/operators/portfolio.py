@@ -282,34 +282,34 @@ INFO_METRICS = ["renewal_pct", "three_way_pct", "slope_mean", "rain_mean", "roof
 
 
 def book_report(book: DataFrame) -> DataFrame:
-    """~30 generation metrics with target range and pass flag (one wide aggregate)."""
-    pct = lambda c: F.avg(c.cast("double")) * 100
+    """~30 generation metrics with target range and pass flag (one wide aggregate).
+    Shares and means of fixed-decimal columns are rounded exactly (integer arithmetic)."""
     tl = F.col("total_loss")
-    agg = book.agg(
-        pct(F.col("claim_occurred") == 1).alias("claim_rate_pct"),
-        F.avg("mu_true").alias("avg_mu"),
-        F.avg(F.when(tl > 0, tl)).alias("avg_severity"),
-        pct(tl == 0).alias("zero_loss_pct"),
-        pct(F.col("is_cat_event") == 1).alias("cat_pct"),
-        F.avg("indicated_premium").alias("avg_premium"),
-        (F.sum(tl) / F.sum("indicated_premium")).alias("actual_lr"),
-        F.avg("M_true").alias("m_mean"), F.stddev_samp("M_true").alias("m_std"), F.max("M_true").alias("m_max"),
-        pct(F.col("credit_score") < 620).alias("subprime_pct"),
-        pct(F.col("roof_age_yr") <= 3).alias("recent_roof_pct"),
-        pct(F.col("vegetation_risk_composite") == "Unknown").alias("canopy_unknown_pct"),
-        pct(F.col("defensible_space_score").isNull()).alias("ds_missing_pct"),
-        pct(F.col("dist_to_fire_station_mi") < 0).alias("fire_sentinel_pct"),
-        pct(F.col("has_knob_tube_wiring") == 1).alias("knob_tube_pct"),
-        pct(F.col("has_polybutylene_pipe") == 1).alias("polybutylene_pct"),
-        pct(F.col("is_near_duplicate") == 1).alias("near_duplicate_pct"),
-        pct(F.col("data_vintage_flag") == 1).alias("data_vintage_pct"),
-        pct(F.col("rcv_vintage_flag") == 1).alias("rcv_vintage_pct"),
-        pct(F.col("renewal_credit") == 1).alias("renewal_pct"),
-        pct((F.col("wildfire_zone") == "High") & (F.col("slope_steepness_pct") > 55)
-            & (F.col("post_burn_rainfall_intensity") > 60)).alias("three_way_pct"),
-        F.avg("slope_steepness_pct").alias("slope_mean"),
-        F.avg("post_burn_rainfall_intensity").alias("rain_mean"),
-        F.avg("roof_age_yr").alias("roof_age_mean"))
+    shares = {
+        "claim_rate_pct": F.col("claim_occurred") == 1, "zero_loss_pct": tl == 0,
+        "cat_pct": F.col("is_cat_event") == 1, "subprime_pct": F.col("credit_score") < 620,
+        "recent_roof_pct": F.col("roof_age_yr") <= 3,
+        "canopy_unknown_pct": F.col("vegetation_risk_composite") == "Unknown",
+        "ds_missing_pct": F.col("defensible_space_score").isNull(),
+        "fire_sentinel_pct": F.col("dist_to_fire_station_mi") < 0,
+        "knob_tube_pct": F.col("has_knob_tube_wiring") == 1, "polybutylene_pct": F.col("has_polybutylene_pipe") == 1,
+        "near_duplicate_pct": F.col("is_near_duplicate") == 1, "data_vintage_pct": F.col("data_vintage_flag") == 1,
+        "rcv_vintage_pct": F.col("rcv_vintage_flag") == 1, "renewal_pct": F.col("renewal_credit") == 1,
+        "three_way_pct": (F.col("wildfire_zone") == "High") & (F.col("slope_steepness_pct") > 55)
+        & (F.col("post_burn_rainfall_intensity") > 60),
+    }
+    means = {  # metric -> (column, decimals of the column)
+        "avg_mu": (F.col("mu_true"), 0), "avg_severity": (F.when(tl > 0, tl), 2),
+        "avg_premium": (F.col("indicated_premium"), 2), "m_mean": (F.col("M_true"), 4),
+        "slope_mean": (F.col("slope_steepness_pct"), 1), "rain_mean": (F.col("post_burn_rainfall_intensity"), 1),
+        "roof_age_mean": (F.col("roof_age_yr"), 0),
+    }
+    parts = [p for k, c in shares.items() for p in share_parts(k, c)] + \
+            [p for k, (c, d) in means.items() for p in mean_parts(k, c, d)]
+    agg = book.agg(*parts, (F.sum(tl) / F.sum("indicated_premium")).alias("actual_lr"),
+                   F.stddev_samp("M_true").alias("m_std"), F.max("M_true").alias("m_max"))
+    agg = agg.select(*[exact_round(k, 0, 4, 100).alias(k) for k in shares],
+                     *[exact_round(k, d, 4).alias(k) for k, (_, d) in means.items()], "actual_lr", "m_std", "m_max")
     qp = exact_quantiles(book, "indicated_premium", [0.5])
     qc = exact_quantiles(book, "credit_score", [0.1, 0.5, 0.9])
     qr = exact_quantiles(book, "roof_age_yr", [0.5])
@@ -359,10 +359,11 @@ def peril_severity(book: DataFrame) -> DataFrame:
     cat = claimed & (F.col("is_cat_event") == 1)
     hail = claimed & (F.col("hail_zone") == "High") & ~cat
     water = claimed & ~cat & ~hail
-    a = book.agg(F.avg(F.when(cat, tl)).alias("p0"), F.avg(F.when(hail, tl)).alias("p1"),
-                 F.avg(F.when(water, tl)).alias("p2"), F.avg(F.when(claimed, tl)).alias("p3"),
-                 (F.avg(F.col("claim_occurred").cast("double")) * 100).alias("p4"),
-                 (F.avg((tl == 0).cast("double")) * 100).alias("p5"))
+    a = book.agg(*mean_parts("p0", F.when(cat, tl), 2), *mean_parts("p1", F.when(hail, tl), 2),
+                 *mean_parts("p2", F.when(water, tl), 2), *mean_parts("p3", F.when(claimed, tl), 2),
+                 *share_parts("p4", F.col("claim_occurred") == 1), *share_parts("p5", tl == 0))
+    a = a.select(*[exact_round(f"p{i}", 2, 4).alias(f"p{i}") for i in range(4)],
+                 exact_round("p4", 0, 4, 100).alias("p4"), exact_round("p5", 0, 4, 100).alias("p5"))
     s = a.select(F.explode(F.array(*[F.struct(F.lit(name).alias("peril"), rnd(F.col(f"p{i}"), 4).alias("value"),
                                               lit_d(lo).alias("lo"), lit_d(hi).alias("hi"))
                                      for i, (name, lo, hi) in enumerate(PERIL_RANGES)])).alias("s")).select("s.*")
@@ -379,9 +380,12 @@ BENCHMARKS = {"annual_claim_rate": 0.053, "avg_severity_all": 18000.0, "zero_cla
 def benchmarks(book: DataFrame) -> DataFrame:
     """Dataset averages next to industry benchmark constants."""
     tl = F.col("total_loss")
-    a = book.agg(F.avg("lambda_true").alias("annual_claim_rate"), F.avg("mu_true").alias("avg_severity_all"),
-                 F.avg((tl == 0).cast("double")).alias("zero_claim_pct"),
-                 (F.sum(tl) / F.sum("indicated_premium")).alias("target_loss_ratio"),
+    a = book.agg(*mean_parts("annual_claim_rate", F.col("lambda_true"), 5),
+                 *mean_parts("avg_severity_all", F.col("mu_true"), 0), *share_parts("zero_claim_pct", tl == 0),
+                 (F.sum(tl) / F.sum("indicated_premium")).alias("target_loss_ratio"))
+    a = a.select(exact_round("annual_claim_rate", 5, 6).alias("annual_claim_rate"),
+                 exact_round("avg_severity_all", 0, 6).alias("avg_severity_all"),
+                 exact_round("zero_claim_pct", 0, 6).alias("zero_claim_pct"), "target_loss_ratio",
                  lit_d(1.65).alias("tweedie_power_p"))
     return a.select(F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), rnd(F.col(k), 6).alias("dataset"),
                                                  lit_d(v).alias("benchmark")) for k, v in BENCHMARKS.items()])).alias("s")
