@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from riskbook.functions.columns import lit_d, rnd
 from riskbook.plans.rating import PricingConfig
@@ -154,12 +153,19 @@ def premium_attribution(book: DataFrame, lam: str = "lambda_true", el: str = "ex
                         premium: str = "indicated_premium", top: int = 10,
                         cfg: PricingConfig = PricingConfig()) -> DataFrame:
     """Top ``top`` drivers per policy by |value| with a running total from the
-    portfolio average premium (one scalar aggregate)."""
+    portfolio average premium (one scalar aggregate).
+
+    A policy's drivers live in one row, so ranking is a built-in ``sort_array`` on
+    (-|value|, seq) and a ``slice`` inside the row: no shuffle, no window.
+    """
     avg_prem = book.agg(F.avg(premium)).first()[0] or 0.0
-    ex = book.select("policy_id", F.explode(premium_drivers(F.col(lam), F.col(el), cfg)).alias("d"))
-    ex = ex.select("policy_id", "d.driver", "d.value", "d.seq")
-    w = Window.partitionBy("policy_id").orderBy(F.abs("value").desc(), F.col("seq"))
-    ranked = ex.select("*", F.row_number().over(w).alias("rank")).where(F.col("rank") <= top)
-    run = Window.partitionBy("policy_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    return ranked.select("policy_id", "rank", "driver", rnd(F.col("value"), 4).alias("value"),
-                         rnd(lit_d(avg_prem) + F.sum("value").over(run), 2).alias("running_total"))
+
+    keyed = F.transform(premium_drivers(F.col(lam), F.col(el), cfg), lambda d: F.struct(
+        (-F.abs(d["value"])).alias("k"), d["seq"].alias("seq"), d["driver"].alias("driver"), d["value"].alias("value")))
+    ranked = F.slice(F.sort_array(keyed), 1, top)      # natural struct order = (-|value|, seq)
+    with_run = F.transform(ranked, lambda d, i: F.struct(
+        (i + 1).alias("rank"), d["driver"].alias("driver"), d["value"].alias("value"),
+        F.aggregate(F.slice(ranked, 1, i + 1), lit_d(0.0), lambda acc, x: acc + x["value"]).alias("run")))
+    ex = book.select("policy_id", F.explode(with_run).alias("d"))
+    return ex.select("policy_id", "d.rank", "d.driver", rnd(F.col("d.value"), 4).alias("value"),
+                     rnd(lit_d(avg_prem) + F.col("d.run"), 2).alias("running_total"))
