@@ -42,3 +42,25 @@ def test_sparse_cells_fall_back_to_one(spark):
     cells = {r["cell"]: r["oe"] for r in X.group_oe(df, min_group=10).collect()}
     assert cells["A"] == 1.0                       # 9 policies: neutral
     assert cells["B"] == 8.0                       # 1000 / max(100, 50) = 10, clipped to 8
+
+
+def test_coverage_ratio_value_not_positive(spark):
+    from riskbook.plans.features import coverage_ratio
+    df = spark.createDataFrame([(0, 100000), (-5, 100000), (200000, 250000)], "home_value long, coverage_amount long")
+    got = [r[0] for r in df.select(coverage_ratio("single")).collect()]
+    assert got == [1.0, 1.0, 1.25]
+    batch = [r[0] for r in df.select(coverage_ratio("batch")).collect()]
+    assert batch == [2.0, 2.0, 1.25]          # max(value, 1), clipped to [0.5, 2]
+
+
+def test_submission_with_missing_optional_fields(spark, bundle):
+    from riskbook.api import predict
+    minimal = {"state": "FL", "construction_type": "Masonry", "occupancy": "Owner Occupied",
+               "home_value": 300000, "coverage_amount": 320000, "square_footage": 1800, "stories": 1,
+               "protection_class": 4, "roof_material": "Tile", "roof_age_yr": 10, "credit_score": 760,
+               "deductible": 1000, "wildfire_zone": "Low", "flood_zone": "High", "earthquake_zone": "Low",
+               "hail_zone": "Low", "vegetation_risk_composite": "Moderate", "dist_to_coast_mi": 2.0,
+               "dist_to_fire_station_mi": 2.0}
+    r = predict(spark, bundle, minimal)
+    assert r["expected_loss"] > 0 and 50 <= r["risk_score_a1"] <= 950
+    assert r["interactions"][0][0] == "High Flood × Coastal Surge <5mi"
