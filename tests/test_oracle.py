@@ -41,9 +41,17 @@ def con():
     return c
 
 
+FAMILY = {"IntegerType()": "int32", "LongType()": "int64", "DoubleType()": "double", "StringType()": "string",
+          "INTEGER": "int32", "BIGINT": "int64", "DOUBLE": "double", "VARCHAR": "string"}
+
+
 @pytest.mark.parametrize("key", sorted(ORACLES))
 def test_query_matches_oracle(spark, con, key):
-    s = E.queries()[key](spark, SF_SMALL).toPandas()
+    sdf = E.queries()[key](spark, SF_SMALL)
+    spark_types = {f.name.lower(): FAMILY.get(str(f.dataType), str(f.dataType)) for f in sdf.schema.fields}
+    duck_types = {r[0].lower(): FAMILY.get(r[1], r[1]) for r in con.execute(f"DESCRIBE ({ORACLES[key]})").fetchall()}
+    assert spark_types == duck_types
+    s = sdf.toPandas()
     d = con.execute(ORACLES[key]).df()
     assert sorted(s.columns) == sorted(d.columns)
     assert len(s) == len(d)
