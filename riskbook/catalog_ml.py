@@ -11,7 +11,7 @@ from riskbook.functions.columns import rnd
 from riskbook.ml import attribution as AT
 from riskbook.ml import glm as G
 from riskbook.ml.ensemble import tree_importances
-from riskbook.ml.score import KEEP, evaluate, ml_pair, score_book, train_all
+from riskbook.ml.score import evaluate, ml_pair, score_book, train_all
 from riskbook.operators.sampling import split
 from riskbook.sources import io as IO
 

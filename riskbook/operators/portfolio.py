@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from riskbook.functions.bands import BAND_ORDER, band_rank, risk_band
+from riskbook.functions.bands import BAND_ORDER, risk_band
 from riskbook.functions.columns import exact_round, lit_d, mean_parts, rnd, safe_div, share_parts
 from riskbook.operators.quantiles import exact_quantiles
 from riskbook.plans import rating as R
