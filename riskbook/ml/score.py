@@ -186,5 +186,19 @@ def evaluate(b: ModelBundle) -> list[tuple[str, float]]:
     sc = te.select("risk_score_true", R.score_a1(F.col("el_full"), lo, hi).alias("score_full"))
     s = X.reg_metrics(sc, "risk_score_true", "score_full").first()
     out += [("score_r2_vs_true", s["r2"]), ("score_mae", s["mae"])]
+    # M-hat distribution, premium uplift and reclassification on the test split (the
+    # same report functions as the book-level reports, fed with the model pair)
+    from riskbook.functions.bands import risk_band
+    from riskbook.operators import portfolio as P
+    sb = rnd(R.score_a1(F.col("el_baseline"), lo, hi), 1)
+    sf = rnd(R.score_a1(F.col("el_full"), lo, hi), 1)
+    pair = te.select("policy_id", "el_baseline", "el_full", "m_hat", sb.alias("score_baseline"),
+                     sf.alias("score_full"), risk_band(sb).alias("band_baseline"), risk_band(sf).alias("band_full"))
+    md = P.m_distribution(pair.withColumn("m_hat", rnd(F.col("m_hat"), 4))).first().asDict()
+    out += [(f"mhat_{k}", v) for k, v in md.items()]
+    up = P.premium_uplift(pair).first().asDict()
+    out += [(f"uplift_{k}", v) for k, v in up.items()]
+    rc = P.reclassification(pair).first().asDict()
+    out += [(k, v) for k, v in rc.items()]
     out += [(k, float(v)) for k, v in b.metrics.items()]
     return [(k, None if v is None else float(v)) for k, v in out]
