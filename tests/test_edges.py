@@ -64,3 +64,15 @@ def test_submission_with_missing_optional_fields(spark, bundle):
     r = predict(spark, bundle, minimal)
     assert r["expected_loss"] > 0 and 50 <= r["risk_score_a1"] <= 950
     assert r["interactions"][0][0] == "High Flood × Coastal Surge <5mi"
+
+
+def test_holdout_file_preferred_over_sample(spark, book):
+    from riskbook.operators.sampling import holdout_or_sample
+    from riskbook.sources.io import read_policies, scratch_path, write_policies
+    path = scratch_path(spark, "holdout")
+    assert read_policies(spark, path) is None                  # absent file -> nothing
+    part = book.where(F.col("state") == "CA")
+    write_policies(part, path)
+    got = holdout_or_sample(spark, book, path, n=10)
+    assert got.count() == part.count()                         # the file, not a 10-row sample
+    assert holdout_or_sample(spark, book, None, n=10).count() == 10
