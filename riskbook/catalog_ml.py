@@ -205,3 +205,45 @@ def q_m9_whatif(spark, sf_dir):
                     rnd(F.col("score_new") - F.col("risk_score_a1"), 1).alias("d_score"),
                     rnd(F.col("premium_new") - F.col("premium"), 2).alias("d_premium"),
                     rnd(F.col("m_new") - F.col("m_hat"), 3).alias("d_m"))
+
+
+# ── the reports of A14-A18 and W5 on the model-scored pair (reference: test split
+#    and batch scores of the model); same functions as the plan-pair reports ──────
+def _model_pair(spark, sf_dir):
+    return ml_pair(scored(spark, sf_dir))
+
+
+@query("m_distribution_model")
+def q_a14_model(spark, sf_dir):
+    from riskbook.operators import portfolio as P
+    return P.m_distribution(_model_pair(spark, sf_dir))
+
+
+@query("premium_uplift_model")
+def q_a15_model(spark, sf_dir):
+    from riskbook.operators import portfolio as P
+    return P.premium_uplift(_model_pair(spark, sf_dir))
+
+
+@query("reclassification_model")
+def q_a16_model(spark, sf_dir):
+    from riskbook.operators import portfolio as P
+    return P.reclassification(_model_pair(spark, sf_dir))
+
+
+@query("reclass_threshold_model")
+def q_a17_model(spark, sf_dir):
+    from riskbook.operators import portfolio as P
+    return P.reclass_threshold(_model_pair(spark, sf_dir))
+
+
+@query("hidden_danger_leakage_model")
+def q_a18_model(spark, sf_dir):
+    from riskbook.operators import portfolio as P
+    return P.leakage(_model_pair(spark, sf_dir))
+
+
+@query("decile_lift_model")
+def q_w5_model(spark, sf_dir):
+    from riskbook.operators import curves as C
+    return C.decile_lift(_model_pair(spark, sf_dir))
