@@ -34,7 +34,7 @@ def _long_values(df: DataFrame, col: str, by: str | None) -> DataFrame:
 
 
 def exact_quantiles(df: DataFrame, col: str, probs: list[float], by: str | None = None,
-                    bins: int = 2048, leaf: int = 20_000, max_passes: int = 12
+                    bins: int = 2048, leaf: int = 4096, max_passes: int = 12
                     ) -> dict:
     """Return {(group, p): value} (group is '' when ``by`` is None; value None if empty)."""
     spark = df.sparkSession
