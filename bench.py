@@ -32,6 +32,7 @@ def main() -> None:
              .config("spark.sql.adaptive.enabled", "true")
              .config("spark.driver.memory", os.environ.get("BENCH_DRIVER_MEMORY", "16g"))
              .config("spark.eventLog.enabled", "false")
+             .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     if not spark.sparkContext.getCheckpointDir():
