@@ -2,8 +2,8 @@
 
 Jobs: one aggregate for the frequency normaliser, the exact p99.5 of positive
 losses (histogram narrowing, see ``operators.quantiles``) and one aggregate for the
-score anchors. The pre-cap book is persisted (MEMORY_AND_DISK) only for the duration
-of those passes, so stage A's hashes are computed once.
+score anchors. Stage A with the raw rating plan is persisted (MEMORY_AND_DISK) for
+the duration of those passes, so the hash features are computed once.
 """
 from __future__ import annotations
 
@@ -45,7 +45,16 @@ def winsorize(df: DataFrame, col: str, q: float = LOSS_CAP_Q, floor_pos: float =
 def build_book(spark: SparkSession, sf_dir: str, keep_internal: bool = False) -> DataFrame:
     """Return the scored policy book (one row per order)."""
     feats = build_features(spark, sf_dir)
-    planned = R.interaction_plan(R.severity_plan(R.frequency_plan(feats)))
+    # One pass over the hash features: unnormalised lambda, mu and M are materialised
+    # in the cache; the frequency normaliser and every later pass read the cache.
+    base = feats.select("*", R.frequency_raw().alias("_lam_raw"), R.severity_expr().alias("_mu"),
+                        R.interaction_expr().alias("_m")).persist(StorageLevel.MEMORY_AND_DISK)
+    _PERSISTED.append(base)
+    mean_raw = base.agg(F.avg("_lam_raw")).first()[0] or R.BASE_CLAIM_RATE
+    lam = clip(F.col("_lam_raw") / lit_d(mean_raw) * lit_d(R.BASE_CLAIM_RATE), *R.LAMBDA_CLIP)
+    rc = R.renewal_credit()
+    planned = base.select("*", rc.alias("renewal_credit"),
+                          (lam * F.when(rc > 0, lit_d(R.RENEWAL_CREDIT)).otherwise(lit_d(1.0))).alias("_lam"))
     key = F.col("o_orderkey")
     u = lambda s: hash_uniform(key, s)
     lam_t = rnd(F.col("_lam"), 5)
@@ -66,28 +75,25 @@ def build_book(spark: SparkSession, sf_dir: str, keep_internal: bool = False) ->
         (occurred * (1 + (ucnt < 0.10).cast("int") + (ucnt < 0.02).cast("int"))).alias("claim_count"),
         cat.cast("int").alias("is_cat_event"),
         F.when(occurred == 1, raw * F.col("trend_factor")).otherwise(lit_d(0.0)).alias("_raw_loss"),
-    ).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        capped, _ = winsorize(staged, "_raw_loss", cap_col="coverage_amount", out="total_loss")
-        lo, hi = R.minmax_log_anchors(staged, "expected_loss_true")
-        el = F.col("expected_loss_true")
-        score = rnd(R.score_a1(el, lo, hi), 1)
-        book = capped.select(
-            *[c for c in capped.columns if c not in ("_raw_loss", "total_loss")],
-            rnd(F.col("total_loss"), 2).alias("claim_amount"),
-            rnd(F.col("total_loss"), 2).alias("total_loss"),
-            score.alias("risk_score_true"),
-            risk_band(score).alias("risk_band"),
-            rnd(R.score_a2(F.col("_lam"), F.col("_mu") * F.col("_m"), R.BOOK_A2), 1).alias("risk_score_a2"),
-            rnd(el / lit_d(0.67), 2).alias("indicated_premium"),
-            lit_d(0.67).alias("expected_loss_ratio"),
-        )
-        cols = BOOK_COLUMNS + (["o_orderkey", "_lam", "_mu", "_m"] if keep_internal else [])
-        return book.select(*cols)
-    finally:
-        # results above are lazily defined on `staged`; keep it cached until the
-        # caller's first action has materialised what it needs.
-        _PERSISTED.append(staged)
+    )
+    capped, _ = winsorize(staged, "_raw_loss", cap_col="coverage_amount", out="total_loss")
+    lo, hi = R.minmax_log_anchors(staged, "expected_loss_true")
+    el = F.col("expected_loss_true")
+    score = rnd(R.score_a1(el, lo, hi), 1)
+    book = capped.select(
+        *[c for c in capped.columns if c not in ("_raw_loss", "total_loss")],
+        rnd(F.col("total_loss"), 2).alias("claim_amount"),
+        rnd(F.col("total_loss"), 2).alias("total_loss"),
+        score.alias("risk_score_true"),
+        risk_band(score).alias("risk_band"),
+        rnd(R.score_a2(F.col("_lam"), F.col("_mu") * F.col("_m"), R.BOOK_A2), 1).alias("risk_score_a2"),
+        rnd(el / lit_d(0.67), 2).alias("indicated_premium"),
+        lit_d(0.67).alias("expected_loss_ratio"),
+    )
+    # the result is lazily defined on the cached `base`, which stays cached until the
+    # caller has materialised what it needs (see release_cached)
+    cols = BOOK_COLUMNS + (["o_orderkey", "_lam", "_mu", "_m"] if keep_internal else [])
+    return book.select(*cols)
 
 
 _PERSISTED: list[DataFrame] = []
