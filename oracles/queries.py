@@ -165,7 +165,7 @@ def o_p8():
 @oracle("mean_impute")
 def o_p9():
     return with_ctes(SPLIT_CTES, f"""SELECT policy_id, {R("coalesce(defensible_space_score, (SELECT avg(defensible_space_score) FROM sp WHERE split = 'train'))", 8)} AS defensible_space_score
-FROM sp WHERE split = 'test'""")
+FROM sp""")
 
 
 T12 = ["construction_type", "home_age", "home_value", "coverage_amount", "coverage_ratio",
@@ -187,7 +187,7 @@ def o_p10():
     stats = ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in T12)
     sel = ", ".join(f"{R(f'({c} - m_{c}) / CASE WHEN s_{c} > 0 THEN s_{c} ELSE 1e0 END', 6)} AS {c}" for c in T12)
     extra = SPLIT_CTES + f",\nx AS ({_t12_encoded('sp')}),\nst AS (SELECT {stats} FROM x WHERE split = 'train')"
-    return with_ctes(extra, f"SELECT policy_id, {sel} FROM x, st WHERE split = 'test'")
+    return with_ctes(extra, f"SELECT policy_id, {sel} FROM x, st")
 
 
 @oracle("sentinel_neutralise")
@@ -517,7 +517,7 @@ tgt AS (SELECT tr.*, least(8.0e0, greatest(0.10e0, policy_oe / sf)) AS m_target
 
 @oracle("cell_oe_lookup")
 def o_j2():
-    return with_ctes(_oe_ctes(), f"SELECT o.policy_id, o.cell, {R('coalesce(c.oe, 1e0)', 6)} AS cell_oe FROM oe_in o LEFT JOIN cells c ON c.cell = o.cell WHERE o.split = 'test'")
+    return with_ctes(_oe_ctes(), f"SELECT o.policy_id, o.cell, {R('coalesce(c.oe, 1e0)', 6)} AS cell_oe FROM oe_in o LEFT JOIN cells c ON c.cell = o.cell")
 
 
 @oracle("baseline_full_align")

@@ -156,8 +156,8 @@ def q_p8(spark, sf_dir):
 @query("mean_impute")
 def q_p9(spark, sf_dir):
     sp, _ = _fitted_split(spark, sf_dir)
-    imp = FE.Imputer.fit(sp["train"])
-    out = imp.transform(sp["test"].select("policy_id", "defensible_space_score"))
+    imp = FE.Imputer.fit(sp["train"])                       # fitted on train, applied to every policy
+    out = imp.transform(book(spark, sf_dir).select("policy_id", "defensible_space_score"))
     return out.select("policy_id", rnd(F.col("defensible_space_score"), 8).alias("defensible_space_score"))
 
 
@@ -166,8 +166,8 @@ def q_p10(spark, sf_dir):
     sp, enc = _fitted_split(spark, sf_dir)
     tr = enc.transform(sp["train"].select(*FE.T12))
     sc = FE.Scaler.fit(tr, FE.T12)
-    te = enc.transform(sp["test"].select("policy_id", *FE.T12))
-    return te.select("policy_id", *[rnd(sc.col(c), 6).alias(c) for c in FE.T12])
+    allp = enc.transform(book(spark, sf_dir).select("policy_id", *FE.T12))     # applied to every policy
+    return allp.select("policy_id", *[rnd(sc.col(c), 6).alias(c) for c in FE.T12])
 
 
 @query("sentinel_neutralise")
@@ -358,8 +358,8 @@ def q_j2(spark, sf_dir):
     sp, enc = _fitted_split(spark, sf_dir)
     withcell = lambda d: d.select("policy_id", "claim_amount", FE.encoded_cell_key(enc).alias("cell"),
                                   rnd(F.col("lambda_true") * F.col("mu_true"), 2).alias("glm_el"))
-    cells = X.group_oe(withcell(sp["train"]))
-    out = J.apply_cell_oe(withcell(sp["test"]), cells, rows_bound=FE.cell_bound(enc))
+    cells = X.group_oe(withcell(sp["train"]))               # train-set cell O/E ...
+    out = J.apply_cell_oe(withcell(book(spark, sf_dir)), cells, rows_bound=FE.cell_bound(enc))   # ... to every policy
     return out.select("policy_id", "cell", rnd(F.col("cell_oe"), 6).alias("cell_oe"))
 
 

@@ -75,8 +75,8 @@ def q_m5(spark, sf_dir):
 @query("mhat_base_learners")
 def q_m6(spark, sf_dir):
     b = bundle(spark, sf_dir)
-    te = b.prep.encoded(split(book(spark, sf_dir))["test"], keep=["policy_id"])
-    out = b.mhat.base.transform(te)
+    allp = b.prep.encoded(book(spark, sf_dir), keep=["policy_id"])
+    out = b.mhat.base.transform(allp)
     return out.select("policy_id", rnd(F.col("p_rf"), 6).alias("p_rf"), rnd(F.col("p_gbt"), 6).alias("p_gbt"),
                       rnd(F.col("p_et"), 6).alias("p_et"))
 
@@ -84,8 +84,8 @@ def q_m6(spark, sf_dir):
 @query("mhat_stack")
 def q_m7(spark, sf_dir):
     b = bundle(spark, sf_dir)
-    te = b.prep.encoded(split(book(spark, sf_dir))["test"], keep=["policy_id", "M_true"])
-    return b.mhat.transform(te).select("policy_id", rnd(F.col("m_hat"), 6).alias("m_hat"), "M_true")
+    allp = b.prep.encoded(book(spark, sf_dir), keep=["policy_id", "M_true"])
+    return b.mhat.transform(allp).select("policy_id", rnd(F.col("m_hat"), 6).alias("m_hat"), "M_true")
 
 
 @query("score_book")
@@ -142,7 +142,7 @@ def q_m14(spark, sf_dir):
 @query("interaction_lrt")
 def q_m15(spark, sf_dir):
     b = bundle(spark, sf_dir)
-    tr = AT.interaction_terms(split(book(spark, sf_dir))["train"])
+    tr = AT.interaction_terms(book(spark, sf_dir))          # the whole book
     res = AT.interaction_lrt(b.prep.scaled(tr, keep=["policy_id", "claim_occurred", *AT.INTERACTION_TERMS]))
     return spark.createDataFrame([tuple(res.values())],
                                  "deviance_reduced double, deviance_full double, lr_statistic double, df int, p_value double")
@@ -154,8 +154,7 @@ def q_s4(spark, sf_dir):
     b = bundle(spark, sf_dir)
     path = save_model(b, spark, IO.scratch_path(spark, "model"))
     b2 = load_model(spark, path)
-    te = split(book(spark, sf_dir))["test"]
-    return score_book(te, b2).select("policy_id", "m_hat", "expected_loss", "risk_score_a1", "premium")
+    return score_book(book(spark, sf_dir), b2).select("policy_id", "m_hat", "expected_loss", "risk_score_a1", "premium")
 
 
 @query("submission_stream")
@@ -163,8 +162,7 @@ def q_m16(spark, sf_dir):
     from riskbook.streaming.submissions import run_submissions
     b = bundle(spark, sf_dir)
     src = IO.scratch_path(spark, "submissions")
-    te = split(book(spark, sf_dir))["test"]
-    IO.write_policies(te.repartition(4), src)
+    IO.write_policies(book(spark, sf_dir), src)          # every policy arrives as a submission file
     out = run_submissions(spark, b, src, IO.scratch_path(spark, "scored"), IO.scratch_path(spark, "stream-ckpt"))
     return out.select("policy_id", "m_hat", "expected_loss", "risk_score_a1", "premium", "risk_band")
 
