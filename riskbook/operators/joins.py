@@ -26,15 +26,17 @@ def join_checked(left: DataFrame, right: DataFrame, on, how: str = "inner",
     """Broadcast ``right`` only when its size is proven small.
 
     Proof is either a caller-supplied row bound (fixed dimensions, tables bounded by
-    category cardinalities) or Catalyst's size estimate under ``limit`` (DataFrames
-    made from local Python data carry no usable estimate). Otherwise the join stays a
+    category cardinalities) or, when Catalyst's size estimate is under ``limit``, an
+    actual row count of the small side under ``BROADCAST_MAX_ROWS`` (the estimate
+    alone comes from compressed file sizes and is not a bound; DataFrames made from
+    local Python data carry no usable estimate at all). Otherwise the join stays a
     shuffle join chosen by Catalyst; AQE's skew-join handling splits a hot key.
     """
     if rows_bound is not None and rows_bound <= BROADCAST_MAX_ROWS:
         right = F.broadcast(right)
     else:
         size = estimated_bytes(right)
-        if size is not None and size <= limit:
+        if size is not None and size <= limit and right.count() <= BROADCAST_MAX_ROWS:
             right = F.broadcast(right)
     return left.join(right, on, how)
 
