@@ -318,11 +318,13 @@ def book_report(book: DataFrame) -> DataFrame:
                    F.stddev_samp("M_true").alias("m_std"), F.max("M_true").alias("m_max"))
     agg = agg.select(*[exact_round(k, 0, 4, 100).alias(k) for k in shares],
                      *[exact_round(k, d, 4).alias(k) for k, (_, d) in means.items()], "actual_lr", "m_std", "m_max")
-    qp = exact_quantiles(book, "indicated_premium", [0.5])
-    qc = exact_quantiles(book, "credit_score", [0.1, 0.5, 0.9])
-    qr = exact_quantiles(book, "roof_age_yr", [0.5])
-    extra = {"median_premium": qp[("", 0.5)], "credit_p10": qc[("", 0.1)], "credit_p50": qc[("", 0.5)],
-             "credit_p90": qc[("", 0.9)], "roof_age_median": qr[("", 0.5)]}
+    # the quantiles of three columns in one set of passes (long form, grouped)
+    long = book.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v"))
+                                           for c in ("indicated_premium", "credit_score", "roof_age_yr")])).alias("s"))
+    q = exact_quantiles(long.select("s.*"), "v", [0.1, 0.5, 0.9], by="c")
+    extra = {"median_premium": q[("indicated_premium", 0.5)], "credit_p10": q[("credit_score", 0.1)],
+             "credit_p50": q[("credit_score", 0.5)], "credit_p90": q[("credit_score", 0.9)],
+             "roof_age_median": q[("roof_age_yr", 0.5)]}
     agg = agg.select("*", *[lit_d(v).alias(k) if v is not None else F.lit(None).cast("double").alias(k)
                             for k, v in extra.items()])
     targets = dict((m, (lo, hi)) for m, lo, hi in GENERATION_TARGETS)
