@@ -76,3 +76,20 @@ def test_holdout_file_preferred_over_sample(spark, book):
     got = holdout_or_sample(spark, book, path, n=10)
     assert got.count() == part.count()                         # the file, not a 10-row sample
     assert holdout_or_sample(spark, book, None, n=10).count() == 10
+
+
+def test_single_cell_study(spark):
+    rows = [("A", float(i % 3) * 100.0, 50.0) for i in range(30)]
+    df = spark.createDataFrame(rows, "cell string, claim_amount double, glm_el double")
+    cells = X.group_oe(df, min_group=10)
+    assert cells.count() == 1
+    study = X.oe_normalise(df, cells, rows_bound=1)
+    tgt = X.normalised_target(df, study).select("m_target").distinct().collect()
+    assert len(tgt) == 1 and tgt[0][0] == 1.0               # one cell: normalised to the mean
+
+
+def test_zero_premium_band_is_null_not_error(spark):
+    df = spark.createDataFrame([("Low", 10.0, 0.0), ("High", 20.0, 40.0)],
+                               "risk_band string, expected_loss_true double, indicated_premium double")
+    got = {r["risk_band"]: r["loss_ratio_pct"] for r in P.loss_ratio_by_band(df).collect()}
+    assert got["Low"] is None and got["High"] == 50.0
