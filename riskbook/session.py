@@ -1,13 +1,15 @@
 """Spark session helpers.
 
 The library never creates machine-local scratch folders on a cluster: the
-checkpoint directory is read from ``spark.checkpoint.dir`` and only set to a
-fresh temporary folder when it is unset (local tests and benchmarks).
+checkpoint directory is read from ``spark.checkpoint.dir``; it is set to a fresh
+temporary folder only when it is unset on a local master (tests and benchmarks).
 """
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,19 +38,45 @@ def get_spark(master: str | None = None, app: str = "riskbook",
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder; create a scratch one only if unset."""
+    """Return the shared checkpoint folder of the session.
+
+    Unset on a local master (tests, benchmarks): a fresh temporary folder is set. Unset on a
+    cluster: raises, since a machine-local folder would be lost with its machine.
+    """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if current:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
+    if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     path = tempfile.mkdtemp(prefix="riskbook-ckpt-")
     sc.setCheckpointDir(path)
     return path
 
 
+def scratch_folder(spark: SparkSession, prefix: str) -> str:
+    """A new folder name below the shared checkpoint folder (not created yet)."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{prefix}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def materialize(df: DataFrame, prefix: str) -> DataFrame:
+    """Write as Parquet into the shared checkpoint folder and read back: cuts lineage, keeps
+    columns prunable and filters pushable."""
+    spark = df.sparkSession
+    path = scratch_folder(spark, prefix)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder of this library through the Hadoop file system that holds it."""
+    hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hpath, True)
