@@ -470,7 +470,7 @@ def o_v4():
 
 @oracle("risk_narrative")
 def o_v5():
-    top = ("coalesce('The dominant Tier 3 interaction is ' || t.label || ' (M ×' || printf('%.2f', " + R("t.mult", 2)
+    top = ("coalesce('The dominant Tier 3 interaction is ' || t.label || ' (M̂ ×' || printf('%.2f', " + R("t.mult", 2)
            + ") || ').', 'No Tier 3 interactions active — clean attritional risk profile.')")
     prior = ("CASE WHEN prior_claims_3yr > 0 THEN prior_claims_3yr || ' prior claim' || CASE WHEN prior_claims_3yr <> 1 THEN 's' ELSE '' END"
              f" || ' (frequency ×' || printf('%.2f', {R('power(1.32e0, prior_claims_3yr::double)', 2)}) || ')' ELSE 'No prior claims (preferred frequency)' END")
@@ -481,7 +481,7 @@ def o_v5():
            f"', driven by claim probability ' || printf('%.1f', {R('lambda_true * 100', 1)}) || '% and expected severity $' || {_money('mu_true')} || "
            f"'. ' || {top} || ' Interaction effects raise expected loss by ' || {t3} || '% above the Tier 1+2 base estimate. Key drivers: ' || "
            f"{prior} || '; credit score ' || credit_score || ' (' || {credit} || '); protection class ' || protection_class || "
-           f"'. Indicated premium: $' || {_money('indicated_premium')} || '/year.'")
+           f"'. Indicated premium: $' || {_money('indicated_premium')} || '/year (target LR: 67%).'")
     return with_ctes(ix_rows_sql(), f"SELECT b.policy_id, {txt} AS narrative FROM book b LEFT JOIN (SELECT * FROM ixr WHERE pos = 0) t ON t.policy_id = b.policy_id")
 
 
@@ -552,6 +552,8 @@ def o_j5():
            "CASE WHEN 2024 - policy_year >= 3 AND prior_claims_3yr = 0 THEN 0.95e0 ELSE 1e0 END")
     sc1 = R(SCORE.format(e="expected_loss_true"), 1)
     sc2 = R(SCORE.format(e="el2"), 1)
+    by_lam = f"(({R('new_lam', 5)} - lam0) / (lam0 + 0.000000001e0) * ds * 0.4e0)"
+    by_mu = f"(({R('new_mu', 0)} - mu0) / (mu0 + 0.000000001e0) * ds * 0.3e0)"
     return with_book("").rstrip() + f""",
 ed AS (SELECT * REPLACE ('Metal' AS roof_material, 1 AS sprinkler_system, 1 AS security_system, 0 AS prior_claims_3yr),
               lambda_true AS lam0, mu_true AS mu0, M_true AS m0, expected_loss_true AS el0, indicated_premium AS p0 FROM book),
@@ -560,7 +562,7 @@ wr2 AS (SELECT *, {R('new_lam * new_mu * new_m', 2)} AS el2 FROM wr),
 wr3 AS (SELECT *, {sc2} - {R(SCORE.format(e="el0"), 1)} AS ds FROM wr2, {ANCH})
 SELECT policy_id, {R(f"{R('new_lam', 5)} - lam0", 5)} AS d_lambda, {R(f"{R('new_mu', 0)} - mu0", 0)} AS d_mu, {R(f"{R('new_m', 4)} - m0", 4)} AS d_m,
   {R('el2 - el0', 2)} AS d_el, {R('ds', 1)} AS d_score, {R('el2 / 0.67e0 - p0', 2)} AS d_premium,
-  {R('ds * 0.4e0', 2)} AS d_score_lambda, {R('ds * 0.3e0', 2)} AS d_score_mu, {R('ds - ds * 0.4e0 - ds * 0.3e0', 2)} AS d_score_m FROM wr3"""
+  {R(by_lam, 2)} AS d_score_lambda, {R(by_mu, 2)} AS d_score_mu, {R(f'ds - {by_lam} - {by_mu}', 2)} AS d_score_m FROM wr3"""
 
 
 # ── A ─────────────────────────────────────────────────────────────────────
@@ -607,11 +609,10 @@ SP_LONG = f"""sp_long AS (
 
 def _matrix_sql() -> str:
     cols = []
-    for lbl in ["Wildfire", "Flood", "Earthquake", "Hail"]:
-        k = lbl.lower()
-        cols.append(f"max(CASE WHEN peril = '{lbl} High' AND policies >= 20 THEN mean_m END) AS {k}_high_m")
-        cols.append(f"coalesce(max(CASE WHEN peril = '{lbl} High' THEN policies END), 0) AS {k}_high_n")
-    return (f"wide AS (SELECT state, {', '.join(cols)} FROM sp_long GROUP BY state),\n"
+    for c, k in [("wildfire_zone", "wildfire"), ("flood_zone", "flood"), ("earthquake_zone", "earthquake"), ("hail_zone", "hail")]:
+        n = f"count(*) FILTER (WHERE {c} = 'High')"
+        cols.append(f"CASE WHEN {n} >= 20 THEN {XMEAN(f"CASE WHEN {c} = 'High' THEN M_true END", 4, 6)} END AS {k}_high_m, {n} AS {k}_high_n")
+    return (f"wide AS (SELECT state, {', '.join(cols)} FROM book GROUP BY state),\n"
             "wm AS (SELECT *, greatest(wildfire_high_m, flood_high_m, earthquake_high_m, hail_high_m) AS row_max FROM wide)")
 
 
@@ -853,7 +854,9 @@ def o_a27():
     saving = "book_m * 1000000e0 * (lr_improvement_pts / 100e0)"
     cost = "1030000e0"
     return with_book(f"""SELECT state, lr_improvement_pts, {R('book_m', 6)} AS book_m, {R('current_lr', 4)} AS current_lr,
-  {R(saving, 4)} AS annual_saving, {R(f'{saving} * 0.5e0', 5)} AS year1_benefit, {R(f'({saving} - {cost}) / {cost}', 6)} AS year1_roi,
+  {R(saving, 4)} AS annual_saving, {R(f'{saving} * 0.5e0', 5)} AS year1_benefit, {R(f'({saving} - {cost}) / {cost}', 6)} AS full_year_roi,
+  {R(f'({saving} * 0.5e0 - {cost}) / {cost}', 6)} AS year1_roi,
+  {R(f'((current_lr - 98e0) / 100e0 * book_m * 1000000e0 * 0.5e0 - {cost}) / {cost}', 6)} AS headline_roi,
   {R(f'CASE WHEN {saving} > 0 THEN 850000e0 / ({saving} / 12) ELSE 999e0 END', 4)} AS payback_months,
   {R(f'{saving} * 3 - 540000e0 - 850000e0', 4)} AS npv_3yr
 FROM (SELECT state, sum(indicated_premium) / 1000000e0 AS book_m, sum(total_loss) / sum(indicated_premium) * 100 AS current_lr FROM book GROUP BY state) s
@@ -871,11 +874,14 @@ def o_a28():
         parts.append(f"SELECT policy_year, '{c}' AS feature, {b} AS bin FROM two")
     parts += [f"SELECT policy_year, '{c}', {c}::varchar FROM two" for c in cat]
     eps = "0.0001e0"
-    return with_ctes(f"""two AS (SELECT * FROM book WHERE policy_year IN (2020, 2024)),
+    return with_ctes(f"""two AS (SELECT * FROM book),
 ex AS ({' UNION ALL '.join(parts)}),
-cnt AS (SELECT feature, bin, sum(CASE WHEN policy_year = 2020 THEN 1 ELSE 0 END) AS nb, sum(CASE WHEN policy_year = 2024 THEN 1 ELSE 0 END) AS nc FROM ex GROUP BY feature, bin),
-sh AS (SELECT feature, nb::double / sum(nb) OVER (PARTITION BY feature) + {eps} AS b, nc::double / sum(nc) OVER (PARTITION BY feature) + {eps} AS c FROM cnt)""",
-                     f"SELECT feature, {R('sum((c - b) * ln(c / b))', 6)} AS psi, count(*) AS bins FROM sh GROUP BY feature")
+yrs AS (SELECT DISTINCT policy_year FROM two WHERE policy_year <> 2020),
+cnt AS (SELECT y.policy_year, feature, bin, sum(CASE WHEN e.policy_year = 2020 THEN 1 ELSE 0 END) AS nb, sum(CASE WHEN e.policy_year = y.policy_year THEN 1 ELSE 0 END) AS nc
+  FROM yrs y JOIN ex e ON e.policy_year IN (2020, y.policy_year) GROUP BY ALL),
+sh AS (SELECT policy_year, feature, nb::double / sum(nb) OVER (PARTITION BY policy_year, feature) + {eps} AS b,
+  nc::double / sum(nc) OVER (PARTITION BY policy_year, feature) + {eps} AS c FROM cnt)""",
+                     f"SELECT policy_year, feature, {R('sum((c - b) * ln(c / b))', 6)} AS psi, count(*) AS bins FROM sh GROUP BY policy_year, feature")
 
 
 # ── W ─────────────────────────────────────────────────────────────────────

@@ -188,17 +188,19 @@ def q_s4_load(spark, sf_dir):
 
 @query("predict_whatif")
 def q_m9_whatif(spark, sf_dir):
-    """M9 (what-if): the same edit applied to every policy, scored by the model chain,
-    with deltas against the unedited scores (both from one projection each, joined on key)."""
+    """M9 (what-if): the same edit applied to every policy, scored by the model chain, with deltas
+    against the unedited scores; a row carries its first scores and raw fields to the second scoring."""
     from riskbook.catalog import WHATIF_CHANGES
     from riskbook.operators.joins import with_overrides
     b = bundle(spark, sf_dir)
     bk = book(spark, sf_dir)
-    base = scored(spark, sf_dir).select("policy_id", "expected_loss", "risk_score_a1", "premium", "m_hat")
-    new = score_book(with_overrides(bk, WHATIF_CHANGES), b).select(
-        "policy_id", F.col("expected_loss").alias("el_new"), F.col("risk_score_a1").alias("score_new"),
-        F.col("premium").alias("premium_new"), F.col("m_hat").alias("m_new"))
-    j = base.join(new, "policy_id")
+    fields = [c for c in bk.columns if c != "policy_id"]
+    base = score_book(bk.withColumn("raw", F.struct(*fields)), b, keep=["policy_id", "raw"])
+    first = F.struct("expected_loss", "risk_score_a1", "premium", "m_hat")
+    edited = with_overrides(base.select("policy_id", first.alias("first"), "raw.*"), WHATIF_CHANGES)
+    new = score_book(edited, b, keep=["policy_id", "first"])
+    j = new.select("policy_id", "first.*", F.col("expected_loss").alias("el_new"), F.col("risk_score_a1").alias("score_new"),
+                   F.col("premium").alias("premium_new"), F.col("m_hat").alias("m_new"))
     return j.select("policy_id", rnd(F.col("el_new") - F.col("expected_loss"), 2).alias("d_el"),
                     rnd(F.col("score_new") - F.col("risk_score_a1"), 1).alias("d_score"),
                     rnd(F.col("premium_new") - F.col("premium"), 2).alias("d_premium"),

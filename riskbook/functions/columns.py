@@ -11,11 +11,13 @@ def lit_d(x: float) -> Column:
 
 
 def clip(c: Column, lo: float | None = None, hi: float | None = None) -> Column:
+    """``c`` held between ``lo`` and ``hi``; NULL stays NULL (``greatest`` / ``least`` skip it)."""
+    out = c
     if lo is not None:
-        c = F.greatest(c, lit_d(lo))
+        out = F.greatest(out, lit_d(lo))
     if hi is not None:
-        c = F.least(c, lit_d(hi))
-    return c
+        out = F.least(out, lit_d(hi))
+    return F.when(c.isNotNull(), out)
 
 
 def rnd(c: Column, digits: int) -> Column:

@@ -158,16 +158,19 @@ def fit_log_glm(train_z: DataFrame, p: float, alpha: float, label: str, name: st
     for _ in range(max_iter):
         grad = -v / n + alpha * (D @ beta)
         step = np.linalg.solve(H / n + alpha * D, -grad)
-        for _half in range(30):
+        while True:
             cand = beta + step
             H2, v2, dev2 = _newton_parts(train_z, feats, label, cand, p)
             obj2 = objective(dev2, cand)
-            if obj2 <= obj + 1e-12 * abs(obj):
+            if obj2 <= obj + 1e-12 * abs(obj) or np.max(np.abs(step)) < tol:
                 break
             step = step / 2
-        beta, H, v, obj = cand, H2, v2, obj2
+        if obj2 <= obj + 1e-12 * abs(obj):
+            beta, H, v, obj = cand, H2, v2, obj2
         if np.max(np.abs(step)) < tol:
             break
+    else:
+        raise RuntimeError(f"{name}: Newton's method did not converge in {max_iter} iterations")
     return GLM(name, float(beta[0]), {f: float(x) for f, x in zip(T12, beta[1:])})
 
 

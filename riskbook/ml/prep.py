@@ -37,6 +37,8 @@ class Prep:
                 x = F.coalesce(x.try_cast("double"), F.lit(float(self.imputer.means[c])))
             if c in self.encoder.classes:
                 x = self.encoder.code(c)
+            else:  # absent: the fitted mean where there is one, else 0
+                x = F.coalesce(x.cast("double"), F.lit(0.0))
             cols.append(x.cast("double").alias(c))
         return df.select(*[k for k in keep if k not in feats], *cols)
 

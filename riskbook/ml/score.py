@@ -136,15 +136,17 @@ def score_book(book: DataFrame, b: ModelBundle, cfg: R.PricingConfig = R.Pricing
     sb, sf = R.score_a1(el_b, lo, hi), R.score_a1(el_f, lo, hi)
     f_sc, s_sc = R.sub_scores(F.col("lambda_disp"), F.col("mu_disp") * F.col("m_hat"), cfg)
     a2 = R.score_a2(F.col("lambda_disp"), F.col("mu_disp") * F.col("m_hat"), cfg)
-    band_b, band_f = risk_band(rnd(sb, 1)), risk_band(rnd(sf, 1))
+    band_b, band_f = risk_band(sb), risk_band(sf)
     return z.select(
         *keep,
         rnd(F.col("lambda_glm"), 5).alias("lambda_pred"), rnd(F.col("mu_glm"), 2).alias("mu_pred"),
         rnd(F.col("m_hat"), 3).alias("m_hat"),
+        rnd(F.col("lambda_disp"), 5).alias("lambda_display"), rnd(F.col("mu_disp"), 2).alias("mu_display"),
+        rnd(el_f, 2).alias("pure_premium"),
         rnd(el_b, 2).alias("el_baseline"), rnd(el_f, 2).alias("expected_loss"),
         rnd(sb, 1).alias("score_baseline"), rnd(sf, 1).alias("risk_score_a1"),
         rnd(R.premium(el_b, cfg), 2).alias("premium_baseline"), rnd(R.premium(el_f, cfg), 2).alias("premium"),
-        band_b.alias("band_baseline"), band_f.alias("risk_band"), uw_action(band_f).alias("uw_action"),
+        band_b.alias("band_baseline"), band_f.alias("risk_band"), uw_action(band_f).alias("uw_action"), uw_action(band_b).alias("uw_action_baseline"),
         rnd(a2, 1).alias("risk_score_a2"), rnd(f_sc, 1).alias("f_score"), rnd(s_sc, 1).alias("s_score"),
         rnd(R.tier3_share(F.col("m_hat")), 1).alias("pct_from_tier3"),
         "interactions", "warnings")
@@ -190,11 +192,11 @@ def evaluate(b: ModelBundle) -> list[tuple[str, float]]:
     # same report functions as the book-level reports, fed with the model pair)
     from riskbook.functions.bands import risk_band
     from riskbook.operators import portfolio as P
-    sb = rnd(R.score_a1(F.col("el_baseline"), lo, hi), 1)
-    sf = rnd(R.score_a1(F.col("el_full"), lo, hi), 1)
+    sb = R.score_a1(F.col("el_baseline"), lo, hi)
+    sf = R.score_a1(F.col("el_full"), lo, hi)
     pair = te.select("policy_id", "el_baseline", "el_full", "m_hat", sb.alias("score_baseline"),
                      sf.alias("score_full"), risk_band(sb).alias("band_baseline"), risk_band(sf).alias("band_full"))
-    md = P.m_distribution(pair.withColumn("m_hat", rnd(F.col("m_hat"), 4))).first().asDict()
+    md = P.m_distribution(pair).first().asDict()
     out += [(f"mhat_{k}", v) for k, v in md.items()]
     up = P.premium_uplift(pair).first().asDict()
     out += [(f"uplift_{k}", v) for k, v in up.items()]

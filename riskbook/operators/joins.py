@@ -19,6 +19,7 @@ def estimated_bytes(df: DataFrame) -> int | None:
 
 
 BROADCAST_MAX_ROWS = 1_000_000
+INLINE_SCENARIOS = 200
 
 
 def join_checked(left: DataFrame, right: DataFrame, on, how: str = "inner",
@@ -59,9 +60,7 @@ def align(base: DataFrame, full: DataFrame, key: str = "policy_id",
           base_suffix: str = "_base", full_suffix: str = "_full") -> DataFrame:
     """Align baseline and full scores per policy by an equi-join on the key.
 
-    Both inputs are usually derived from the same scan; when they are, prefer computing
-    both score sets in one projection (see ``riskbook.plans.rating.score_pair``), which
-    needs no join at all.
+    For inputs from different sources; two score sets of one scan belong in one projection.
     """
     b = base.select(key, *[F.col(c).alias(c + base_suffix) for c in base.columns if c != key])
     f = full.select(key, *[F.col(c).alias(c + full_suffix) for c in full.columns if c != key])
@@ -72,13 +71,18 @@ def scenario_cross(df: DataFrame, scenarios: list[dict], override_cols: list[str
                    label: str = "scenario") -> DataFrame:
     """Every policy x every scenario override.
 
-    The scenarios are a fixed, short list (the 2x2 cards); they are expanded with
-    ``explode`` of a literal array, so there is no join and no shuffle: each task
-    multiplies its own rows by len(scenarios). A missing override keeps the policy's
-    own value.
+    A short list (the 2x2 cards) is expanded with ``explode`` of a literal array, so there is
+    no join and no shuffle: each task multiplies its own rows by len(scenarios). A list too
+    long to stand in the plan becomes a table that every task joins (a broadcast of the list
+    itself, which is local to the driver already). A missing override keeps the policy's value.
     """
-    if len(scenarios) > 1_000:
-        raise ValueError("scenario list must be short: it is inlined into every task")
+    if len(scenarios) > INLINE_SCENARIOS:
+        kinds = ", ".join(f"_ov_{c} {df.schema[c].dataType.simpleString()}" for c in override_cols)
+        rows = [(str(s[label]), *[s.get(c) for c in override_cols]) for s in scenarios]
+        cards = df.sparkSession.createDataFrame(rows, f"{label} string, {kinds}")
+        joined = df.join(F.broadcast(cards))
+        return joined.select(*[c for c in df.columns if c not in override_cols], label,
+                             *[F.coalesce(F.col("_ov_" + c), F.col(c)).alias(c) for c in override_cols])
     structs = []
     for s in scenarios:
         fields = [F.lit(s[label]).cast("string").alias(label)]

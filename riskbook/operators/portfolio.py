@@ -63,19 +63,16 @@ def state_summary(book: DataFrame) -> DataFrame:
 
 
 def state_top_peril(book: DataFrame) -> DataFrame:
-    """A4: peril with the highest share of High zones per state (ties: wildfire, flood, quake, hail)."""
-    shares = [F.avg((F.col(c) == "High").cast("double")).alias(lbl) for c, lbl in PERILS]
-    agg = book.groupBy("state").agg(*shares)
-    best = F.greatest(*[F.col(lbl) for _, lbl in PERILS])
-    top = F.lit(None).cast("string")
+    """A4: peril with the highest share of High zones per state (ties: wildfire, flood, quake, hail).
+    All shares of a state have the same denominator, so the counts decide."""
+    agg = book.groupBy("state").agg(*[p for c, lbl in PERILS for p in share_parts(lbl.lower(), F.col(c) == "High")])
+    best = F.greatest(*[F.col(f"{lbl.lower()}__s") for _, lbl in PERILS])
+    top, exact = F.lit(None).cast("string"), F.lit(None).cast("double")
     for _, lbl in reversed(PERILS):
-        top = F.when(F.col(lbl) == best, F.lit(lbl)).otherwise(top)
-    cnt = book.groupBy("state").agg(*[p for c, lbl in PERILS for p in share_parts(lbl.lower(), F.col(c) == "High")])
-    exact = F.lit(None).cast("double")
-    for _, lbl in reversed(PERILS):
-        exact = F.when(F.col("top_peril") == lbl, exact_round(lbl.lower(), 0, 6)).otherwise(exact)
-    joined = agg.select("state", top.alias("top_peril")).join(cnt, "state")     # both: one row per state
-    return joined.select("state", "top_peril", exact.alias("top_share"))
+        is_top = F.col(f"{lbl.lower()}__s") == best
+        top = F.when(is_top, F.lit(lbl)).otherwise(top)
+        exact = F.when(is_top, exact_round(lbl.lower(), 0, 6)).otherwise(exact)
+    return agg.select("state", top.alias("top_peril"), exact.alias("top_share"))
 
 
 def _state_peril_long(book: DataFrame, m: str = "M_true") -> DataFrame:
@@ -89,19 +86,17 @@ def _state_peril_long(book: DataFrame, m: str = "M_true") -> DataFrame:
 
 
 def state_peril_matrix(book: DataFrame, min_n: int = 20) -> DataFrame:
-    """A5: mean M per state x peril-High (NULL below ``min_n`` policies), wide form,
-    states ordered by their row maximum (rank 1 = largest)."""
-    long = _state_peril_long(book).select(
-        "state", "peril", F.when(F.col("policies") >= min_n, F.col("mean_m")).alias("mean_m"), "policies")
-    names = [lbl + " High" for _, lbl in PERILS]
-    wide = long.groupBy("state").pivot("peril", names).agg(F.first("mean_m"), F.first("policies"))
+    """A5: mean M per state x peril-High (NULL below ``min_n`` policies), wide form, one row for
+    every state of the book (count 0 without High zones); states ordered by their row maximum
+    (rank 1 = largest). One conditional aggregate by state."""
+    high = {lbl.lower(): F.when(F.col(c) == "High", F.col("M_true")) for c, lbl in PERILS}
+    wide = book.groupBy("state").agg(*[p for k, m in high.items() for p in mean_parts(k, m, 4)])
     out = []
-    for (_, lbl), nm in zip(PERILS, names):
-        key = lbl.lower()
-        out += [F.col(f"`{nm}_first(mean_m)`").alias(f"{key}_high_m"),
-                F.coalesce(F.col(f"`{nm}_first(policies)`"), F.lit(0)).alias(f"{key}_high_n")]
+    for k in high:
+        n = F.col(f"{k}__n")
+        out += [F.when(n >= min_n, exact_round(k, 4, 6)).alias(f"{k}_high_m"), n.alias(f"{k}_high_n")]
     wide = wide.select("state", *out)
-    row_max = F.greatest(*[F.col(f"{lbl.lower()}_high_m") for _, lbl in PERILS])
+    row_max = F.greatest(*[F.col(f"{k}_high_m") for k in high])
     w = Window.orderBy(row_max.desc_nulls_last(), F.col("state"))     # over <= #states rows
     return wide.select("*", row_max.alias("row_max"), F.row_number().over(w).alias("row_order"))
 
@@ -438,8 +433,9 @@ LR_IMPROVEMENTS = [5, 8, 10, 12, 14, 16, 20]
 
 
 def roi_grid(book: DataFrame, params: dict | None = None) -> DataFrame:
-    """Year-1 ROI per state x loss-ratio improvement. Book size ($M written premium)
-    and current loss ratio are aggregated per state from the book."""
+    """ROI per state x loss-ratio improvement: of a full year's saving, of the first year with its
+    ramp-up, and (``headline_roi``) of the first year for the improvement from the state's current loss
+    ratio to the target. Book size ($M written premium) and current loss ratio come from the book."""
     p = {**ROI_DEFAULTS, **(params or {})}
     per = book.groupBy("state").agg((F.sum("indicated_premium") / 1e6).alias("book_m"),
                                     (F.sum("total_loss") / F.sum("indicated_premium") * 100).alias("current_lr"))
@@ -451,7 +447,10 @@ def roi_grid(book: DataFrame, params: dict | None = None) -> DataFrame:
     npv = saving * 3 - lit_d(p["annual_ops_k"] * 1000 * 3) - lit_d(p["impl_cost_k"] * 1000)
     return g.select("state", "lr_improvement_pts", rnd(F.col("book_m"), 6).alias("book_m"),
                     rnd(F.col("current_lr"), 4).alias("current_lr"), rnd(saving, 4).alias("annual_saving"),
-                    rnd(y1, 5).alias("year1_benefit"), rnd((saving - cost) / cost, 6).alias("year1_roi"),
+                    rnd(y1, 5).alias("year1_benefit"), rnd((saving - cost) / cost, 6).alias("full_year_roi"),
+                    rnd((y1 - cost) / cost, 6).alias("year1_roi"),
+                    rnd(((F.col("current_lr") - lit_d(p["target_lr"])) / 100.0 * F.col("book_m") * 1e6
+                         * lit_d(1 - p["months_to_value"] / 12.0) - cost) / cost, 6).alias("headline_roi"),
                     rnd(payback, 4).alias("payback_months"), rnd(npv, 4).alias("npv_3yr"))
 
 
@@ -460,29 +459,38 @@ DRIFT_CATEGORICAL = ["wildfire_zone", "flood_zone", "construction_type", "roof_m
 PSI_EPS = 1e-4
 
 
-def psi(book: DataFrame, base_year: int = 2020, cur_year: int = 2024, numeric: list[str] = DRIFT_NUMERIC,
+def psi(book: DataFrame, base_year: int = 2020, numeric: list[str] = DRIFT_NUMERIC,
         categorical: list[str] = DRIFT_CATEGORICAL, bins: int = 10) -> DataFrame:
-    """Population stability index per feature between two policy years.
+    """Population stability index per feature of every other policy year against ``base_year``.
 
-    Numeric features use ``bins`` equal-width bins over the pooled range (one min/max
+    Numeric features use ``bins`` equal-width bins over the range of all years (one min/max
     aggregate); categoricals use their values. Shares are smoothed by PSI_EPS.
-    PSI = sum over bins of (cur - base) * ln(cur / base).
+    PSI = sum over bins of (cur - base) * ln(cur / base); a bin counts if either year has it.
     """
-    two = book.where(F.col("policy_year").isin(base_year, cur_year))
-    mm = two.agg(*[F.min(c).alias("mn_" + c) for c in numeric] + [F.max(c).alias("mx_" + c) for c in numeric]).first()
+    mm = book.agg(*[F.min(c).alias("mn_" + c) for c in numeric] + [F.max(c).alias("mx_" + c) for c in numeric]).first()
     items = []
     for c in numeric:
-        lo, hi = float(mm["mn_" + c]), float(mm["mx_" + c])
+        lo, hi = mm["mn_" + c], mm["mx_" + c]
+        lo, hi = (float(lo), float(hi)) if lo is not None else (0.0, 0.0)
         span = hi - lo if hi > lo else 1.0
         b = F.least(F.lit(bins - 1), F.floor((F.col(c).cast("double") - lit_d(lo)) / lit_d(span) * bins).cast("int"))
         items.append(F.struct(F.lit(c).alias("feature"), b.cast("string").alias("bin")))
     for c in categorical:
         items.append(F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("bin")))
-    ex = two.select("policy_year", F.explode(F.array(*items)).alias("s")).select("policy_year", "s.*")
-    cnt = ex.groupBy("feature", "bin").agg(F.sum((F.col("policy_year") == base_year).cast("long")).alias("nb"),
-                                           F.sum((F.col("policy_year") == cur_year).cast("long")).alias("nc"))
-    tot = Window.partitionBy("feature")            # bounded: bins or category count per feature
+    ex = book.select("policy_year", F.explode(F.array(*items)).alias("s")).select("policy_year", "s.*")
+    # from here on: a row a feature and bin (bins or categories), with its count in every year
+    cnt = ex.groupBy("feature", "bin", "policy_year").agg(F.count(F.lit(1)).alias("n"))
+    per_feature = Window.partitionBy("feature")
+    cnt = cnt.withColumn("years", F.collect_set("policy_year").over(per_feature))
+    by_bin = cnt.groupBy("feature", "bin", "years").agg(
+        F.map_from_entries(F.collect_list(F.struct("policy_year", "n"))).alias("of"))
+    count_in = lambda year: F.coalesce(F.try_element_at("of", year), F.lit(0))
+    pairs = (by_bin.select("feature", "bin", "of", F.explode("years").alias("policy_year"))
+             .where(F.col("policy_year") != base_year)
+             .select("policy_year", "feature", count_in(F.lit(base_year)).alias("nb"), count_in(F.col("policy_year")).alias("nc"))
+             .where("nb + nc > 0"))
+    tot = Window.partitionBy("policy_year", "feature")
     share_b = F.col("nb") / F.sum("nb").over(tot) + lit_d(PSI_EPS)
     share_c = F.col("nc") / F.sum("nc").over(tot) + lit_d(PSI_EPS)
-    terms = cnt.select("feature", ((share_c - share_b) * F.log(share_c / share_b)).alias("t"))
-    return terms.groupBy("feature").agg(rnd(F.sum("t"), 6).alias("psi"), F.count("*").alias("bins"))
+    terms = pairs.select("policy_year", "feature", ((share_c - share_b) * F.log(share_c / share_b)).alias("t"))
+    return terms.groupBy("policy_year", "feature").agg(rnd(F.sum("t"), 6).alias("psi"), F.count("*").alias("bins"))

@@ -163,9 +163,15 @@ def premium_attribution(book: DataFrame, lam: str = "lambda_true", el: str = "ex
     keyed = F.transform(premium_drivers(F.col(lam), F.col(el), cfg), lambda d: F.struct(
         (-F.abs(d["value"])).alias("k"), d["seq"].alias("seq"), d["driver"].alias("driver"), d["value"].alias("value")))
     ranked = F.slice(F.sort_array(keyed), 1, top)      # natural struct order = (-|value|, seq)
-    with_run = F.transform(ranked, lambda d, i: F.struct(
-        (i + 1).alias("rank"), d["driver"].alias("driver"), d["value"].alias("value"),
-        F.aggregate(F.slice(ranked, 1, i + 1), lit_d(0.0), lambda acc, x: acc + x["value"]).alias("run")))
-    ex = book.select("policy_id", F.explode(with_run).alias("d"))
-    return ex.select("policy_id", "d.rank", "d.driver", rnd(F.col("d.value"), 4).alias("value"),
+    # one pass over a policy's drivers: each step appends (driver, value, total so far)
+    out_type = "array<struct<driver:string,value:double,run:double>>"
+    start = F.struct(lit_d(0.0).alias("run"), F.array().cast(out_type).alias("out"))
+
+    def step(acc, d):
+        run = acc["run"] + d["value"]
+        return F.struct(run.alias("run"), F.concat(acc["out"], F.array(F.struct(
+            d["driver"].alias("driver"), d["value"].alias("value"), run.alias("run")))).alias("out"))
+
+    ex = book.select("policy_id", F.posexplode(F.aggregate(ranked, start, step, lambda acc: acc["out"])).alias("i", "d"))
+    return ex.select("policy_id", (F.col("i") + 1).alias("rank"), "d.driver", rnd(F.col("d.value"), 4).alias("value"),
                      rnd(lit_d(avg_prem) + F.col("d.run"), 2).alias("running_total"))

@@ -99,11 +99,11 @@ def recommendations(m_hat: str = "M_true", band: str = "risk_band") -> Column:
 
 def risk_narrative(score: str = "risk_score_true", band: str = "risk_band", el: str = "expected_loss_true",
                    lam: str = "lambda_true", mu: str = "mu_true", m_hat: str = "M_true",
-                   premium: str = "indicated_premium") -> Column:
+                   premium: str = "indicated_premium", target_lr: float = 0.67) -> Column:
     """V5: one text summary per policy."""
     ix = active_interactions()
     top = F.when(F.size(ix) > 0, F.concat(F.lit("The dominant Tier 3 interaction is "), ix[0]["label"],
-                                          F.lit(" (M ×"), F.format_string("%.2f", rnd(ix[0]["mult"], 2)), F.lit(").")))\
+                                          F.lit(" (M̂ ×"), F.format_string("%.2f", rnd(ix[0]["mult"], 2)), F.lit(").")))\
         .otherwise(F.lit("No Tier 3 interactions active — clean attritional risk profile."))
     n = F.col("prior_claims_3yr")
     prior = F.when(n > 0, F.concat(n.cast("string"), F.lit(" prior claim"), F.when(n != 1, F.lit("s")).otherwise(F.lit("")),
@@ -121,7 +121,7 @@ def risk_narrative(score: str = "risk_score_true", band: str = "risk_band", el:
         F.lit(" Interaction effects raise expected loss by "), t3.cast("string"),
         F.lit("% above the Tier 1+2 base estimate. Key drivers: "), prior, F.lit("; credit score "), cs.cast("string"),
         F.lit(" ("), credit, F.lit("); protection class "), F.col("protection_class").cast("string"),
-        F.lit(". Indicated premium: $"), _money(F.col(premium)), F.lit("/year."))
+        F.lit(". Indicated premium: $"), _money(F.col(premium)), F.lit(f"/year (target LR: {int(target_lr * 100)}%)."))
 
 
 def over_insurance() -> tuple[Column, Column, Column]:

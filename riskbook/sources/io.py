@@ -10,6 +10,7 @@ import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskbook.session import ensure_checkpoint_dir
@@ -54,14 +55,21 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_policies(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame | None:
-    """Read a policy file with the fixed schema; None when the path is absent."""
+    """Read a policy file into the fixed schema; None when the path is absent.
+
+    Columns are taken by name, in any order; further columns are left out, and a missing one
+    raises. CSV fields are read as text and cast, so there is no inference pass.
+    """
     if not path_exists(spark, path):
         return None
     fmt = fmt or ("csv" if path.endswith(".csv") else "parquet")
-    reader = spark.read.schema(POLICY_SCHEMA)
-    if fmt == "csv":
-        return reader.option("header", True).csv(path)
-    return reader.parquet(path)
+    if fmt != "csv":
+        return spark.read.schema(POLICY_SCHEMA).parquet(path)
+    raw = spark.read.option("header", True).csv(path)
+    missing = [f.name for f in POLICY_SCHEMA.fields if f.name not in raw.columns]
+    if missing:
+        raise ValueError(f"{path} lacks the columns {', '.join(missing)}")
+    return raw.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in POLICY_SCHEMA.fields])
 
 
 def write_policies(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None) -> str:

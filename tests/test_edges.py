@@ -64,6 +64,65 @@ def test_submission_with_missing_optional_fields(spark, bundle):
     r = predict(spark, bundle, minimal)
     assert r["expected_loss"] > 0 and 50 <= r["risk_score_a1"] <= 950
     assert r["interactions"][0][0] == "High Flood × Coastal Surge <5mi"
+    from riskbook.plans.features import SEV_FEATS
+    absent = [c for c in [*SEV_FEATS, "defensible_space_score"] if c not in minimal and c not in bundle.prep.encoder.classes]
+    filled = {c: bundle.prep.imputer.means.get(c, 0.0) for c in absent if c not in ("home_age", "coverage_ratio", "credit_restricted")}
+    full = predict(spark, bundle, {**minimal, **filled})
+    assert all(r[c] == full[c] for c in ("lambda_pred", "mu_pred", "m_hat", "expected_loss", "premium", "risk_score_a1"))
+
+
+def test_null_gives_no_clipped_value(spark):
+    from riskbook.functions.columns import clip
+    row = spark.sql("select cast(null as double) x, 7.0D y").select(
+        clip(F.col("x"), 1, 5).alias("x"), clip(F.col("y"), 1, 5).alias("y"), clip(F.col("y"), lo=9).alias("z")).first()
+    assert row["x"] is None and row["y"] == 5.0 and row["z"] == 9.0
+
+
+def test_csv_is_read_by_name(spark, book):
+    import pytest
+    from riskbook.sources.io import POLICY_SCHEMA, read_policies, scratch_path
+    names = [f.name for f in POLICY_SCHEMA.fields]
+    part = book.select(*names).where(F.col("state") == "CA").limit(50)
+    path = scratch_path(spark, "moved") + ".csv"
+    moved = [*names[2:4], *names[:2], *names[4:]]
+    part.withColumn("frailty_term", F.lit(1.5)).select("frailty_term", *moved).write.option("header", True).csv(path)
+    got = read_policies(spark, path)
+    assert got.columns == names and got.where("state = 'CA' and policy_year is not null").count() == part.count()
+    short = scratch_path(spark, "short") + ".csv"
+    part.drop("state").write.option("header", True).csv(short)
+    with pytest.raises(ValueError, match="state"):
+        read_policies(spark, short)
+
+
+def test_whatif_split_by_hand(spark):
+    """d_score 100, lambda 0.05 -> 0.06, mu 10000 -> 9000: 0.2 x 100 x 0.4 = 8, -0.1 x 100 x 0.3 = -3, rest 95."""
+    ds, lam0, lam1, mu0, mu1 = 100.0, 0.05, 0.06, 10_000.0, 9_000.0
+    by_lam, by_mu = (lam1 - lam0) / (lam0 + 1e-9) * ds * 0.4, (mu1 - mu0) / (mu0 + 1e-9) * ds * 0.3
+    assert round(by_lam, 2) == 8.0 and round(by_mu, 2) == -3.0 and round(ds - by_lam - by_mu, 2) == 95.0
+    from riskbook.catalog import QUERIES
+    rows = QUERIES["whatif_delta"](spark, "/root/testdata/sf0.001").collect()
+    still = [r for r in rows if r["d_lambda"] == 0]
+    assert all(r["d_score_lambda"] == 0 for r in still)
+    assert all(abs(r["d_score_lambda"] + r["d_score_mu"] + r["d_score_m"] - r["d_score"]) < 0.04 for r in rows)
+
+
+def test_state_without_high_zone_keeps_its_row(spark, book):
+    from riskbook.operators.portfolio import state_peril_matrix
+    changed = book.withColumns({c: F.when(F.col("state") == "CA", F.lit("Low")).otherwise(F.col(c))
+                                for c in ("wildfire_zone", "flood_zone", "earthquake_zone", "hail_zone")})
+    rows = {r["state"]: r for r in state_peril_matrix(changed).collect()}
+    assert len(rows) == book.select("state").distinct().count()
+    assert rows["CA"]["wildfire_high_n"] == 0 and rows["CA"]["row_max"] is None
+
+
+def test_long_scenario_list_equals_short_ones(spark, book):
+    from riskbook.operators import joins as J
+    cards = [{"scenario": f"s{i}", "roof_age_yr": i % 40} for i in range(J.INLINE_SCENARIOS + 5)]
+    some = book.select("policy_id", "roof_age_yr").limit(7)
+    long = J.scenario_cross(some, cards, ["roof_age_yr"])
+    short = J.scenario_cross(some, cards[:9], ["roof_age_yr"])
+    key = lambda d: sorted((r["policy_id"], r["scenario"], r["roof_age_yr"]) for r in d.collect())
+    assert long.columns == short.columns and key(long.where(F.col("scenario").isin([c["scenario"] for c in cards[:9]]))) == key(short)
 
 
 def test_holdout_file_preferred_over_sample(spark, book):

@@ -30,6 +30,28 @@ def test_exact_quantiles_with_ties(spark, values):
         assert q[("", p)] == pytest.approx(float(np.percentile(values, p * 100)), abs=1e-9)
 
 
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.one_of(st.floats(min_value=1e-300, max_value=1e300), st.floats(min_value=-1e300, max_value=-1e-300),
+                          st.sampled_from([0.0, 1.0, 1e-299, 1e299])), min_size=1, max_size=200))
+def test_exact_quantiles_over_any_range(spark, values):
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    q = exact_quantiles(df, "x", [0.0, 1.0], bins=8, leaf=2)
+    assert q[("", 0.0)] == min(values) and q[("", 1.0)] == max(values)
+    n = len(values)
+    ranks = [r / (n - 1) for r in range(n)][::7] if n > 1 else [0.5]
+    q = exact_quantiles(df, "x", ranks, bins=8, leaf=2)
+    for p in ranks:
+        pos = p * (n - 1)
+        lo, hi = sorted(values)[int(pos)], sorted(values)[min(int(pos) + 1, n - 1)]
+        assert lo <= q[("", p)] <= hi
+
+
+def test_exact_quantiles_spread_over_600_magnitudes(spark):
+    values = [10.0 ** k for k in range(-299, 300, 2)] * 7 + [5.0] * 500
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    assert exact_quantiles(df, "x", [0.5], leaf=10)[("", 0.5)] == float(np.median(values))
+
+
 def test_exact_quantiles_grouped(spark):
     rng = np.random.default_rng(1)
     rows = [(g, float(v)) for g in "abc" for v in rng.normal(size=500)]
