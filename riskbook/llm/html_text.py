@@ -109,6 +109,8 @@ def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
                 if depth <= 0:
                     article = 0
             continue
+        if name == "br":
+            parts.append((" ", links > 0))
         if name in VOID or attrs.endswith("/"):
             continue
         if skip and skip[0] == "p" and name in BLOCKS:

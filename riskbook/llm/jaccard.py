@@ -15,8 +15,9 @@ result. A set with too few partitions for the argument also makes one signature
 sets share an element.
 
 Texts with equal sets are one class first. Signature groups link their members to one of them; after
-that, only members of different components are compared, each such pair once, with the exact sizes of
-the sets. No link between different components can be missed.
+that, only members of different components are compared, each such pair once. Before texts are fetched
+for a pair, the bitmaps of its sets bound what they can have in common; then the sets are compared
+exactly. No link between different components can be missed.
 
 Defined cases: null texts and texts without words have the empty set and link with nothing; a text of
 fewer than ``k`` words is one shingle; rows without an id link with nothing; rows that share an id are
@@ -31,7 +32,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskbook.llm.common import keyed_text, slices
@@ -105,6 +106,35 @@ def set_hashes(rows: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
     return out.view(np.int64)
 
 
+def bitmaps(rows: np.ndarray, h: np.ndarray, n: int) -> pa.Array:
+    """A bitmap of each set as a list of 64-bit words: element e sets bit (hash mod length). The
+    length is the power of two from 4 bits an element, 64 at least, so that halves can be laid over
+    each other to compare with a shorter one."""
+    size = np.bincount(rows, minlength=n)
+    words = np.where(size > 0, 1 << np.ceil(np.log2(np.maximum(4 * size / 64, 1))).astype(np.int64), 0)
+    start = np.concatenate([[0], np.cumsum(words)])
+    bit = (_mix(h, 13) & (words[rows] * 64 - 1).astype(np.uint64)).astype(np.int64)
+    at = np.unique((start[rows] + (bit >> 6)) * 64 + (bit & 63))  # a place and bit once
+    flat = np.zeros(int(start[-1]), dtype=np.uint64)
+    if len(at):
+        first = np.flatnonzero(np.concatenate([[True], at[1:] >> 6 != at[:-1] >> 6]))
+        flat[at[first] >> 6] = np.bitwise_or.reduceat(_U(1) << (at & 63).astype(np.uint64), first)
+    return pa.ListArray.from_arrays(pa.array(start.astype(np.int32)), pa.array(flat.view(np.int64)))
+
+
+def possible(t: Fraction) -> Column:
+    """Can sets with the sizes n, m and the bitmaps x, y be similar enough? Elements in both sets
+    are at most the bits in both, and as many more as have lost their own bit to another element."""
+    fold = lambda c: F.zip_with(F.slice(c, 1, (F.size(c) / 2).cast("int")), F.slice(c, (F.size(c) / 2).cast("int") + 1, F.size(c)),
+                                lambda a, b: a.bitwiseOR(b))
+    ones = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda acc, v: acc + F.bit_count(v))
+    fit = lambda c, other: F.when(F.size(c) > F.size(other), fold(c)).otherwise(c)
+    x, y = fit(F.col("x"), F.col("y")), fit(F.col("y"), F.col("x"))
+    shared = ones(F.zip_with(x, y, lambda a, b: a.bitwiseAND(b)))
+    most = F.least(shared + F.col("n") - ones(x), shared + F.col("m") - ones(y), F.col("n"), F.col("m"))
+    return most * t.denominator >= (F.col("n") + F.col("m") - most) * t.numerator
+
+
 class Signatures:
     """Signatures of sets for a threshold; ``heavy``: frequent signatures, sorted, with their counts."""
 
@@ -188,10 +218,10 @@ def jaccard_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         def told():
             sig, times = np.unique(np.concatenate(seen), return_counts=True)
             sig, times = sig[times > 1].view(np.int64), times[times > 1]
-            nothing = [pa.nulls(len(sig), kind) for kind in (id_arrow[0], pa.int64(), pa.int64(), pa.int64())]
+            nothing = [pa.nulls(len(sig), kind) for kind in (id_arrow[0], pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))]
             return pa.RecordBatch.from_arrays([*nothing, pa.array(sig), pa.array(times)], names)
 
-        id_arrow, names = [pa.int64()], ["id", "n", "h1", "h2", "sig", "times"]
+        id_arrow, names = [pa.int64()], ["id", "n", "h1", "h2", "bits", "sig", "times"]
         for batch in batches:
             id_arrow[0] = batch.schema.field("id").type
             for part, rows, h in sets(batch):
@@ -199,7 +229,7 @@ def jaccard_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 both = set_hashes(rows, h, m)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id"), pa.array(np.bincount(rows, minlength=m)), pa.array(both[:, 0]), pa.array(both[:, 1]),
-                     pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())], names)
+                     bitmaps(rows, h, m), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())], names)
                 for texts, band, _ in maker.instances(np.bincount(rows, minlength=m)):
                     of = np.full(m, -1, dtype=np.int64)
                     of[texts] = band
@@ -212,10 +242,10 @@ def jaccard_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if held:
             yield told()
 
-    both = materialize(docs.mapInArrow(described, f"id {id_type}, n long, h1 long, h2 long, sig long, times long"), "jac")
+    both = materialize(docs.mapInArrow(described, f"id {id_type}, n long, h1 long, h2 long, bits array<long>, sig long, times long"), "jac")
     rows = both.where("n is not null").select("id", "n", "h1", "h2")
-    good = rows.where("n > 0 and id is not null")
-    classes = materialize(good.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep")), "jac")
+    good = both.where("n > 0 and id is not null")
+    classes = materialize(good.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.first("bits").alias("bits")), "jac")
     often = (both.where("sig is not null").groupBy("sig").agg(F.sum("times").alias("times"))
              .orderBy(F.desc("times"), "sig").limit(heavy).toPandas())
     sig = often["sig"].to_numpy(dtype=np.int64).view(np.uint64)
@@ -258,20 +288,23 @@ def _linked(docs, rows, good, classes, members, t, k, id_type) -> DataFrame:
     y = open_.select("sig", F.col("node").alias("b"), F.col("n").alias("m"), F.col("c").alias("cb"))
     rest = (x.join(y, "sig").where("a < b and ca != cb").where(fits).select("a", "b").distinct()
             .join(star, ["a", "b"], "left_anti"))
-    second = verified(materialize(rest, "jac"), docs, classes, t, k, id_type)
+    second = verified(rest, docs, classes, t, k, id_type)
     # rows that share an id tie the classes they are in together
     split = good.groupBy("id").agg(F.min(F.struct("h1", "h2")).alias("p"), F.max(F.struct("h1", "h2")).alias("q")).where("p != q").select("id")
     ties = good.join(split, "id").select("id", "h1", "h2").distinct().join(classes, ["h1", "h2"]).select(F.col("id").alias("a"), F.col("rep").alias("b"))
     graph = connected(first.unionByName(second).unionByName(ties))
     per_class = (classes.join(graph.withColumnRenamed("node", "rep"), "rep", "left")
                  .select("h1", "h2", "n", F.coalesce("component", "rep").alias("component")))
-    return (rows.withColumn("key", F.col("id").isNotNull() & (F.col("n") > 0))
+    return (rows.select("id", "n", "h1", "h2").withColumn("key", F.col("id").isNotNull() & (F.col("n") > 0))
             .join(per_class.withColumn("key", F.lit(True)), ["h1", "h2", "n", "key"], "left")
             .select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component")))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, t: Fraction, k: int, id_type: str) -> DataFrame:
     """Edges (a, b: smallest ids of the classes) of the pairs of set hashes whose sets are similar enough."""
+    sketch = lambda node, size, bits: classes.select(F.col("h1").alias(node), F.col("n").alias(size), F.col("bits").alias(bits))
+    pairs = materialize(pairs.join(sketch("a", "n", "x"), "a").join(sketch("b", "m", "y"), "b").where(possible(t))
+                        .select("a", "b").distinct(), "jac")
     needed = pairs.select(F.col("a").alias("h1")).unionByName(pairs.select(F.col("b").alias("h1"))).distinct()
     wanted = classes.join(needed, "h1").select("h1", "h2", "n", F.col("rep").alias("id"))
     texts = docs.join(wanted, "id").select("h1", "h2", "n", "id", "text")
