@@ -160,7 +160,7 @@ class Signatures:
 
     def all_of(self, rows: np.ndarray, h: np.ndarray, band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(text, signature) of every partition with elements; ``band`` of each element's text."""
-        parts = np.maximum(64, 2 << (2 * band)).astype(np.uint64)
+        parts = np.maximum(256, 8 << (2 * band)).astype(np.uint64)
         place = _mix(h, 4) % parts
         order = np.lexsort((place, rows))
         rows, place, content, band = rows[order], place[order], _mix(h, 5)[order], band[order]
@@ -170,8 +170,11 @@ class Signatures:
         sums = np.add.reduceat(content, first)
         return rows[first], _mix(sums ^ _mix(place[first] * _U(64) + band[first].astype(np.uint64), 6), 7)
 
-    def each(self, rows: np.ndarray, h: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(text, signature) that two similar enough sets are sure to share one of, by instance."""
+    def each(self, rows: np.ndarray, h: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(text, signature, rank) that two similar enough sets are sure to share one of, by instance.
+
+        The partitions before the first shared signature differ, so its rank in either set is at most
+        the number of partitions in which the two differ."""
         size = np.bincount(rows, minlength=n)
         for texts, band, differ in self.instances(size):
             of = np.full(n, -1, dtype=np.int64)
@@ -191,7 +194,8 @@ class Signatures:
             kept = rank <= differ[row]
             few = short[r]
             yield (texts[np.concatenate([row[kept], r[few]])],
-                   np.concatenate([sig[kept], _mix(e[few] ^ _mix(band[r[few]].astype(np.uint64), 11), 12)]))
+                   np.concatenate([sig[kept], _mix(e[few] ^ _mix(band[r[few]].astype(np.uint64), 11), 12)]),
+                   np.concatenate([np.where(short[row[kept]], 0, rank[kept]), np.zeros(int(few.sum()), dtype=np.int64)]))
 
 
 def jaccard_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5,
@@ -258,34 +262,35 @@ def jaccard_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for part, rows, h in sets(batch):
                 m = part.num_rows
                 node, size = set_hashes(rows, h, m)[:, 0], np.bincount(rows, minlength=m)
-                for texts, sig in maker.each(rows, h, m):
-                    yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(node[texts]), pa.array(size[texts].astype(np.int32))],
-                                                     ["sig", "node", "n"])
+                for texts, sig, rank in maker.each(rows, h, m):
+                    yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(node[texts]), pa.array(size[texts].astype(np.int32)),
+                                                      pa.array(rank.astype(np.int32))], ["sig", "node", "n", "rank"])
 
     # groups of signatures with two different sets, each set once
-    signatures = docs.where("id is not null").mapInArrow(signed, "sig long, node long, n int")
+    signatures = docs.where("id is not null").mapInArrow(signed, "sig long, node long, n int, rank int")
     group = Window.partitionBy("sig")
     members = materialize(
         signatures.withColumns({"lead": F.min("node").over(group), "last": F.max("node").over(group)})
-        .where("lead != last").select("sig", "node", "n", "lead").distinct(), "jac")
+        .where("lead != last").select("sig", "node", "n", "rank", "lead").distinct(), "jac")
     return _linked(docs, rows, good, classes, members, t, k, id_type)
 
 
 def _linked(docs, rows, good, classes, members, t, k, id_type) -> DataFrame:
     """Components of the classes from the signature groups ``members``, for each row."""
-    fits = f"least(n, m) * {t.denominator} >= greatest(n, m) * {t.numerator}"
-    leads = members.where("node = lead").select("sig", F.col("n").alias("m"), F.col("node").alias("a"))
+    fits = (f"least(n, m) * {t.denominator} >= greatest(n, m) * {t.numerator} and "
+            f"(n + m) * {t.denominator - t.numerator} >= greatest(rank, other) * {t.denominator + t.numerator}")
+    leads = members.where("node = lead").select("sig", F.col("n").alias("m"), F.col("rank").alias("other"), F.col("node").alias("a"))
     star = materialize(members.where("node != lead").join(leads, "sig").where(fits)
                        .select("a", F.col("node").alias("b")).distinct(), "jac")
     first = verified(star, docs, classes, t, k, id_type)
     graph = connected(first.select("a", "b"))
     node = classes.select(F.col("h1").alias("node"), "rep").join(graph.withColumnRenamed("node", "rep"), "rep", "left")
     place = node.select("node", F.coalesce("component", "rep").alias("c")).groupBy("node").agg(F.min("c").alias("c"))
-    open_ = members.select("sig", "node", "n").join(place, "node")
+    open_ = members.select("sig", "node", "n", "rank").join(place, "node")
     mixed = open_.groupBy("sig").agg(F.min("c").alias("p"), F.max("c").alias("q")).where("p != q").select("sig")
     open_ = materialize(open_.join(mixed, "sig"), "jac")
-    x = open_.select("sig", F.col("node").alias("a"), F.col("n"), F.col("c").alias("ca"))
-    y = open_.select("sig", F.col("node").alias("b"), F.col("n").alias("m"), F.col("c").alias("cb"))
+    x = open_.select("sig", F.col("node").alias("a"), "n", "rank", F.col("c").alias("ca"))
+    y = open_.select("sig", F.col("node").alias("b"), F.col("n").alias("m"), F.col("rank").alias("other"), F.col("c").alias("cb"))
     rest = (x.join(y, "sig").where("a < b and ca != cb").where(fits).select("a", "b").distinct()
             .join(star, ["a", "b"], "left_anti"))
     second = verified(rest, docs, classes, t, k, id_type)
@@ -300,6 +305,26 @@ def _linked(docs, rows, good, classes, members, t, k, id_type) -> DataFrame:
             .select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component")))
 
 
+def _among(ids: DataFrame, bits: int = 1 << 23):
+    """A column function: may the value be one of ``ids``? A Bloom filter of a fixed size (1 MB) with
+    two probes, so that a scan drops most other rows before they are shuffled; beyond some million ids
+    it lets more through, and the join behind it decides all the same."""
+    probes = lambda c: [F.pmod(F.xxhash64(F.lit(s), c), F.lit(bits)) for s in (1, 2)]
+    words = (ids.select(F.explode(F.array(*probes(F.col("id")))).alias("p"))
+             .groupBy((F.col("p") / 32).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("p") % 32).cast("int"))).alias("v"))
+             .toPandas())  # bits / 32 rows at most
+    table = np.zeros(bits // 32, dtype=np.uint32)
+    table[words["w"].to_numpy(dtype=np.int64)] = words["v"].to_numpy(dtype=np.int64).astype(np.uint32)
+    shared = ids.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def known(p: pd.Series, q: pd.Series) -> pd.Series:
+        has = lambda x: (shared.value[x.to_numpy() >> 5] >> (x.to_numpy() & 31).astype(np.uint32)) & 1
+        return pd.Series((has(p) & has(q)).astype(bool))
+
+    return lambda c: known(*probes(c))
+
+
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, t: Fraction, k: int, id_type: str) -> DataFrame:
     """Edges (a, b: smallest ids of the classes) of the pairs of set hashes whose sets are similar enough."""
     sketch = lambda node, size, bits: classes.select(F.col("h1").alias(node), F.col("n").alias(size), F.col("bits").alias(bits))
@@ -307,7 +332,7 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, t: Fraction,
                         .select("a", "b").distinct(), "jac")
     needed = pairs.select(F.col("a").alias("h1")).unionByName(pairs.select(F.col("b").alias("h1"))).distinct()
     wanted = classes.join(needed, "h1").select("h1", "h2", "n", F.col("rep").alias("id"))
-    texts = docs.join(wanted, "id").select("h1", "h2", "n", "id", "text")
+    texts = docs.where(_among(wanted.select("id"))(F.col("id"))).join(wanted, "id").select("h1", "h2", "n", "id", "text")
     side = lambda s: texts.select(*[F.col(c).alias(f"{c}_{s}") for c in texts.columns])
     joined = pairs.join(side("a").withColumnRenamed("h1_a", "a"), "a").join(side("b").withColumnRenamed("h1_b", "b"), "b")
     num, den = t.numerator, t.denominator

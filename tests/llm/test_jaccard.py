@@ -73,14 +73,15 @@ def test_similar_sets_share_a_signature():
             continue
         rows, h = np.repeat([0, 1], [len(a), len(b)]), np.concatenate([np.sort(a), np.sort(b)])
         plain = jaccard.Signatures(Fraction(3, 4))
-        every = np.unique(np.concatenate([s for _, s in plain.each(rows, h, 2)]))
+        every = np.unique(np.concatenate([s for _, s, _ in plain.each(rows, h, 2)]))
         heavy = np.sort(every[rng.random(len(every)) < 0.5])
         for maker in (plain, jaccard.Signatures(Fraction(3, 4), heavy, rng.integers(1, 9, size=len(heavy)))):
-            got = [set(), set()]
-            for r, s in maker.each(rows, h, 2):
+            got = [{}, {}]
+            for r, s, rank in maker.each(rows, h, 2):
                 for k in (0, 1):
-                    got[k] |= set(s[r == k].tolist())
-            assert got[0] & got[1], (trial, len(a), len(b))
+                    got[k].update(zip(s[r == k].tolist(), rank[r == k].tolist(), strict=True))
+            common = got[0].keys() & got[1].keys()
+            assert any(max(got[0][c], got[1][c]) * 7 <= len(a) + len(b) for c in common), (trial, len(a), len(b))
 
 
 def test_bitmaps_never_rule_out_a_similar_pair(spark):
