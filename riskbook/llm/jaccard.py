@@ -14,10 +14,12 @@ the ``heavy`` most frequent ones of all come last, by count; the order decides t
 result. A set with too few partitions for the argument also makes one signature an element: two such
 sets share an element.
 
-Texts with equal sets are one class first. Signature groups link their members to one of them; after
-that, only members of different components are compared, each such pair once. Before texts are fetched
-for a pair, the bitmaps of its sets bound what they can have in common; then the sets are compared
-exactly. No link between different components can be missed.
+Texts with equal sets are one class first. Every member of signature groups is compared with a few
+others of its groups, which ties most of what belongs together; after that, all members of a group that
+are in different components are compared. That is done in blocks inside tasks, on bitmaps of the sets
+that bound what two sets can have in common, so that pairs of strangers are never rows; for the pairs
+that are left, texts are fetched and the sets compared exactly. No link between different components can
+be missed.
 
 Defined cases: null texts and texts without words have the empty set and link with nothing; a text of
 fewer than ``k`` words is one shingle; rows without an id link with nothing; rows that share an id are
@@ -199,7 +201,7 @@ class Signatures:
 
 
 def jaccard_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5,
-                  threshold: tuple[int, int] = (75, 100), heavy: int = 200_000) -> DataFrame:
+                  threshold: tuple[int, int] = (75, 100), heavy: int = 50_000) -> DataFrame:
     """(id, n_shingles, component) for each row of ``df``: ``component`` is the smallest id reachable
     over pairs whose sets have a Jaccard similarity of ``threshold`` (a fraction) or more.
 
@@ -250,8 +252,15 @@ def jaccard_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = both.where("n is not null").select("id", "n", "h1", "h2")
     good = both.where("n > 0 and id is not null")
     classes = materialize(good.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.first("bits").alias("bits")), "jac")
-    often = (both.where("sig is not null").groupBy("sig").agg(F.sum("times").alias("times"))
-             .orderBy(F.desc("times"), "sig").limit(heavy).toPandas())
+    counted = both.where("sig is not null").groupBy("sig").agg(F.sum("times").alias("times"))
+    level = F.floor(F.log2("times") * 16).cast("int")
+    total, least = 0, 1 << 30  # the lowest level from which on at most ``heavy`` signatures are
+    for r in sorted(counted.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True):
+        total += r["n"]
+        if total > heavy:
+            break
+        least = r["level"]
+    often = counted.where(level >= least).toPandas()
     sig = often["sig"].to_numpy(dtype=np.int64).view(np.uint64)
     order = np.argsort(sig)
     shared = spark.sparkContext.broadcast((sig[order], often["times"].to_numpy(dtype=np.int64)[order]))
@@ -269,30 +278,29 @@ def jaccard_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # groups of signatures with two different sets, each set once
     signatures = docs.where("id is not null").mapInArrow(signed, "sig long, node long, n int, rank int")
     group = Window.partitionBy("sig")
+    mixed = group.orderBy(F.xxhash64("sig", "node"), "node")
     members = materialize(
-        signatures.withColumns({"lead": F.min("node").over(group), "last": F.max("node").over(group)})
-        .where("lead != last").select("sig", "node", "n", "rank", "lead").distinct(), "jac")
+        signatures.withColumns({"least": F.min("node").over(group), "most": F.max("node").over(group)})
+        .where("least != most").withColumn("next", F.lead("node").over(mixed)), "jac")
     return _linked(docs, rows, good, classes, members, t, k, id_type)
 
 
 def _linked(docs, rows, good, classes, members, t, k, id_type) -> DataFrame:
     """Components of the classes from the signature groups ``members``, for each row."""
-    fits = (f"least(n, m) * {t.denominator} >= greatest(n, m) * {t.numerator} and "
-            f"(n + m) * {t.denominator - t.numerator} >= greatest(rank, other) * {t.denominator + t.numerator}")
-    leads = members.where("node = lead").select("sig", F.col("n").alias("m"), F.col("rank").alias("other"), F.col("node").alias("a"))
-    star = materialize(members.where("node != lead").join(leads, "sig").where(fits)
-                       .select("a", F.col("node").alias("b")).distinct(), "jac")
-    first = verified(star, docs, classes, t, k, id_type)
+    # some pairs of every set first: the ends of its groups, and its neighbours in two groups at random
+    some = (members.groupBy("node").agg(
+        F.min("least").alias("p"), F.max("most").alias("q"),
+        F.min(F.struct("rank", "next"))["next"].alias("r"), F.max(F.struct("rank", "next"))["next"].alias("s"))
+        .select("node", F.explode(F.array("p", "q", "r", "s")).alias("other")).where("other != node")
+        .select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct())
+    sketch = lambda node, size, bits: classes.select(F.col("h1").alias(node), F.col("n").alias(size), F.col("bits").alias(bits))
+    some = some.join(sketch("a", "n", "x"), "a").join(sketch("b", "m", "y"), "b").where(possible(t)).select("a", "b").distinct()
+    first = verified(materialize(some, "jac"), docs, classes, t, k, id_type)
     graph = connected(first.select("a", "b"))
     node = classes.select(F.col("h1").alias("node"), "rep").join(graph.withColumnRenamed("node", "rep"), "rep", "left")
-    place = node.select("node", F.coalesce("component", "rep").alias("c")).groupBy("node").agg(F.min("c").alias("c"))
-    open_ = members.select("sig", "node", "n", "rank").join(place, "node")
-    mixed = open_.groupBy("sig").agg(F.min("c").alias("p"), F.max("c").alias("q")).where("p != q").select("sig")
-    open_ = materialize(open_.join(mixed, "sig"), "jac")
-    x = open_.select("sig", F.col("node").alias("a"), "n", "rank", F.col("c").alias("ca"))
-    y = open_.select("sig", F.col("node").alias("b"), F.col("n").alias("m"), F.col("rank").alias("other"), F.col("c").alias("cb"))
-    rest = (x.join(y, "sig").where("a < b and ca != cb").where(fits).select("a", "b").distinct()
-            .join(star, ["a", "b"], "left_anti"))
+    place = node.select("node", F.xxhash64(F.coalesce("component", "rep")).alias("c")).groupBy("node").agg(F.min("c").alias("c"))
+    open_ = materialize(members.select("sig", "node", "n", "rank").distinct().join(place, "node"), "jac")
+    rest = materialize(across(open_, classes, t).distinct(), "jac")
     second = verified(rest, docs, classes, t, k, id_type)
     # rows that share an id tie the classes they are in together
     split = good.groupBy("id").agg(F.min(F.struct("h1", "h2")).alias("p"), F.max(F.struct("h1", "h2")).alias("q")).where("p != q").select("id")
@@ -305,8 +313,94 @@ def _linked(docs, rows, good, classes, members, t, k, id_type) -> DataFrame:
             .select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component")))
 
 
-def _among(ids: DataFrame, bits: int = 1 << 23):
-    """A column function: may the value be one of ``ids``? A Bloom filter of a fixed size (1 MB) with
+def across(members: DataFrame, classes: DataFrame, t: Fraction, block: int = 512) -> DataFrame:
+    """(a, b) of all members (sig, node, n, rank, c) of a group that are in different components c and
+    whose sizes, ranks and bitmaps allow enough in common; a pair may come from several groups.
+
+    Groups of more than ``block`` members are cut into blocks, and a task compares two blocks."""
+    sizes = (members.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), F.min("c").alias("p"), F.max("c").alias("q"))
+             .where("p != q").select("sig", F.ceil(F.col("size") / block).cast("int").alias("blocks")))
+    work = members.join(sizes, "sig").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    work = work.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    work = work.select("sig", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "node", "n", "rank", "c")
+    work = work.join(classes.select(F.col("h1").alias("node"), "bits"), "node")
+    keys = ["sig", "x", "y"]
+    num, den = t.numerator, t.denominator
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, cuts in whole_runs(batches, keys):
+            get = {c: part.column(c).to_numpy() for c in ("x", "y", "mine", "node", "n", "rank", "c")}
+            lists = part.column("bits").combine_chunks()
+            at = lists.offsets.to_numpy().astype(np.int64)
+            words, at = lists.values.to_numpy().view(np.uint64), at
+            left, right = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                if j - i < 2:
+                    continue
+                mine, x, y = get["mine"][i:j], get["x"][i], get["y"][i]
+                p = np.flatnonzero(mine == x)
+                q = p if x == y else np.flatnonzero(mine == y)
+                n, rank, c = get["n"][i:j], get["rank"][i:j], get["c"][i:j]
+                ok = c[p][:, None] != c[q][None, :]
+                if not ok.any():
+                    continue
+                low, high = np.minimum(n[p][:, None], n[q][None, :]), np.maximum(n[p][:, None], n[q][None, :])
+                ok &= (low * den >= high * num) & ((low + high) * (den - num) >= np.maximum(rank[p][:, None], rank[q][None, :]) * (den + num))
+                u, v = np.nonzero(np.triu(ok, 1) if x == y else ok)
+                left.append(p[u] + i)
+                right.append(q[v] + i)
+            u, v = np.concatenate(left), np.concatenate(right)
+            keep = _allowed(u, v, get["n"], words, at, num, den)
+            a, b = get["node"][u[keep]], get["node"][v[keep]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    return work.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "a long, b long").where("a != b")
+
+
+def _allowed(u: np.ndarray, v: np.ndarray, n: np.ndarray, words: np.ndarray, at: np.ndarray, num: int, den: int) -> np.ndarray:
+    """``possible`` for pairs of rows (u, v), whose bitmaps are words[at[r]:at[r + 1]]."""
+    size = np.diff(at)
+    out = np.zeros(len(u), dtype=bool)
+    short = np.minimum(size[u], size[v])
+    for length in np.unique(short):
+        every = np.flatnonzero(short == length)
+        for some in np.array_split(every, max(1, len(every) * int(length) // 2_000_000)):
+            laid = []
+            for r in (u[some], v[some]):
+                w = words[at[r][:, None] + np.arange(length)]
+                twice = np.flatnonzero(size[r] > length)
+                w[twice] |= words[at[r[twice]][:, None] + length + np.arange(length)]
+                laid.append(w)
+            ones = [np.bitwise_count(w).sum(axis=1, dtype=np.int64) for w in laid]
+            shared = np.bitwise_count(laid[0] & laid[1]).sum(axis=1, dtype=np.int64)
+            a, b = n[u[some]].astype(np.int64), n[v[some]].astype(np.int64)
+            most = np.minimum.reduce([shared + a - ones[0], shared + b - ones[1], a, b])
+            out[some] = most * den >= (a + b - most) * num
+    return out
+
+
+def whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, list[int]]]:
+    """Stretches of sorted batches that end with a run of equal keys, and the runs' limits in them."""
+    rest: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = pa.Table.from_batches([batch])
+        now = now if rest is None else pa.concat_tables([rest, now])
+        new = np.zeros(now.num_rows - 1, dtype=bool)
+        for c in keys:
+            v = now.column(c).to_numpy()
+            new |= v[1:] != v[:-1]
+        cuts = [0, *(np.flatnonzero(new) + 1).tolist()]
+        if cuts[-1]:
+            yield now.slice(0, cuts[-1]).combine_chunks(), cuts
+        rest = now.slice(cuts[-1])
+    if rest is not None:
+        yield rest.combine_chunks(), [0, rest.num_rows]
+
+
+def _among(ids: DataFrame, bits: int = 1 << 22):
+    """A column function: may the value be one of ``ids``? A Bloom filter of a fixed size (512 KB) with
     two probes, so that a scan drops most other rows before they are shuffled; beyond some million ids
     it lets more through, and the join behind it decides all the same."""
     probes = lambda c: [F.pmod(F.xxhash64(F.lit(s), c), F.lit(bits)) for s in (1, 2)]
@@ -327,9 +421,6 @@ def _among(ids: DataFrame, bits: int = 1 << 23):
 
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, t: Fraction, k: int, id_type: str) -> DataFrame:
     """Edges (a, b: smallest ids of the classes) of the pairs of set hashes whose sets are similar enough."""
-    sketch = lambda node, size, bits: classes.select(F.col("h1").alias(node), F.col("n").alias(size), F.col("bits").alias(bits))
-    pairs = materialize(pairs.join(sketch("a", "n", "x"), "a").join(sketch("b", "m", "y"), "b").where(possible(t))
-                        .select("a", "b").distinct(), "jac")
     needed = pairs.select(F.col("a").alias("h1")).unionByName(pairs.select(F.col("b").alias("h1"))).distinct()
     wanted = classes.join(needed, "h1").select("h1", "h2", "n", F.col("rep").alias("id"))
     texts = docs.where(_among(wanted.select("id"))(F.col("id"))).join(wanted, "id").select("h1", "h2", "n", "id", "text")

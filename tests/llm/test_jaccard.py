@@ -98,6 +98,15 @@ def test_bitmaps_never_rule_out_a_similar_pair(spark):
     df = spark.createDataFrame([r for r in rows if r[1] and r[2]], "k int, n long, m long, x array<long>, y array<long>")
     got = {r["k"] for r in df.where(jaccard.possible(Fraction(3, 4))).collect()}
     assert {k for k, w in enumerate(want) if w} <= got and len(got) < 330
+    good = [r for r in rows if r[1] and r[2]]
+    lists = [x for r in good for x in r[3:]]
+    at = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
+    words = np.array([w for x in lists for w in x], dtype=np.int64).view(np.uint64)
+    pairs = np.arange(len(good)) * 2
+    keep = [len(lists[2 * i]) in (len(lists[2 * i + 1]), 2 * len(lists[2 * i + 1]), len(lists[2 * i + 1]) / 2) for i in range(len(good))]
+    pairs = pairs[np.array(keep)]
+    found = jaccard._allowed(pairs, pairs + 1, np.array([x for r in good for x in r[1:3]]), words, at, 3, 4)
+    assert {good[p // 2][0] for p, f in zip(pairs, found, strict=True) if f} == got & {good[p // 2][0] for p in pairs}
 
 
 def test_empty_table(spark):
