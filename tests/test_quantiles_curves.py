@@ -128,7 +128,7 @@ def test_kendall_tau_b_heavy_ties(spark):
     df = spark.createDataFrame([(f"K{i:04d}", float(a), float(b)) for i, (a, b) in enumerate(zip(x, y))],
                                "policy_id string, x double, y double")
     tau, nd = _brute_tau_b(list(x), list(y))
-    for limit, yb in ((1000, 4), (60, 3), (25, 2)):        # single group, grid + recursion
-        r = kendall_tau_b(df, "x", "y", limit=limit, yblocks=yb)
+    for block in (1000, 60, 25, 7, None):        # one block, and grids of more and more
+        r = kendall_tau_b(df, "x", "y", block=block)
         assert r["discordant"] == nd
         assert r["tau_b"] == pytest.approx(tau, abs=1e-12)
