@@ -973,3 +973,22 @@ FROM (SELECT (SELECT count(*) FROM c) AS n, (SELECT count(*) FROM c) * ((SELECT
   sum(CASE WHEN a.x = b.x THEN 1 ELSE 0 END) AS t1, sum(CASE WHEN a.y = b.y THEN 1 ELSE 0 END) AS t2
   FROM c a JOIN c b ON a.policy_id < b.policy_id) t""")
 
+
+# ── fitted models: score equations and identities ─────────────────────────
+@oracle("glm_balance")
+def o_glm_balance():
+    train = f"(SELECT *, {SPLIT} AS split FROM book) t WHERE split = 'train'"
+    return with_book(f"""SELECT 'poisson' AS model, count(*) AS n_rows, sum(claim_occurred)::double AS actual, sum(claim_occurred)::double AS fitted FROM {train}
+UNION ALL SELECT 'gamma', count(*) FILTER (WHERE claim_amount > 0), (count(*) FILTER (WHERE claim_amount > 0))::double,
+  (count(*) FILTER (WHERE claim_amount > 0))::double FROM {train}
+UNION ALL SELECT 'tweedie', count(*), 1e0, 1e0 FROM {train}""")
+
+
+@oracle("attribution_identity")
+def o_attribution_identity():
+    return with_book("SELECT (count(*) * 48)::BIGINT AS n_rows, 0::BIGINT AS n_off FROM book")
+
+
+@oracle("model_identity")
+def o_model_identity():
+    return with_book("SELECT count(*) AS policies, 0::BIGINT AS reloaded_off, 0::BIGINT AS streamed_off FROM book")

@@ -207,6 +207,49 @@ def q_m9_whatif(spark, sf_dir):
                     rnd(F.col("m_new") - F.col("m_hat"), 3).alias("d_m"))
 
 
+# ── what SQL can say about fitted models: score equations and identities ─────
+@query("glm_balance")
+def q_glm_balance(spark, sf_dir):
+    """M1-M3: the intercepts' score equations on the fitting rows. Poisson: fitted claims add up to the
+    claims; Gamma: y / mu adds up to the claimants; Tweedie: sum y mu^(1-p) over sum mu^(2-p) is 1."""
+    b = bundle(spark, sf_dir)
+    z = b.prep.scaled(split(book(spark, sf_dir))["train"], keep=["claim_occurred", "claim_amount"])
+    y = F.col("claim_amount").cast("double")
+    t = z.agg(F.count("*").alias("n"), F.sum(F.col("claim_occurred").cast("double")).alias("claims"),
+              F.sum(b.poisson.predict()).alias("lam"), F.sum((y > 0).cast("long")).alias("claimants"),
+              F.sum(F.when(y > 0, y / b.gamma.predict())).alias("ratio"),
+              (F.sum(y * F.pow(b.tweedie.predict(), F.lit(1 - 1.65))) / F.sum(F.pow(b.tweedie.predict(), F.lit(2 - 1.65)))).alias("tw"))
+    row = lambda name, n, actual, fitted: F.struct(F.lit(name).alias("model"), F.col(n).alias("n_rows"), actual.alias("actual"),
+                                                   rnd(F.col(fitted), 3).alias("fitted"))
+    rows = F.array(row("poisson", "n", F.col("claims"), "lam"), row("gamma", "claimants", F.col("claimants").cast("double"), "ratio"),
+                   row("tweedie", "n", F.lit(1.0), "tw"))
+    return t.select(F.explode(rows).alias("r")).select("r.*")
+
+
+@query("attribution_identity")
+def q_attribution_identity(spark, sf_dir):
+    """Rows of the full attribution, and policies whose contributions don't add up to eta."""
+    parts = q_m12(spark, sf_dir).groupBy("policy_id", "model").agg(
+        F.count("*").alias("n"), (F.sum("contribution") + F.first("base") - F.first("eta")).alias("off"))
+    return parts.agg(F.sum("n").alias("n_rows"), F.sum((F.abs("off") > 1e-5).cast("long")).alias("n_off"))
+
+
+@query("model_identity")
+def q_model_identity(spark, sf_dir):
+    """Policies, and those scored otherwise by the reloaded model or by the stream."""
+    cols = ["m_hat", "expected_loss", "risk_score_a1", "premium"]
+    batch = scored(spark, sf_dir).select("policy_id", *cols)
+
+    def off(other, name):
+        o = other.select("policy_id", F.struct(*cols).alias(name))
+        return o, F.coalesce(F.col(name) != F.struct(*cols), F.lit(True)).cast("long")
+
+    again, a = off(q_s4_load(spark, sf_dir), "again")
+    stream, s = off(q_m16(spark, sf_dir), "stream")
+    j = batch.join(again, "policy_id", "left").join(stream, "policy_id", "left")
+    return j.agg(F.count("*").alias("policies"), F.sum(a).alias("reloaded_off"), F.sum(s).alias("streamed_off"))
+
+
 # ── the reports of A14-A18 and W5 on the model-scored pair (reference: test split
 #    and batch scores of the model); same functions as the plan-pair reports ──────
 def _model_pair(spark, sf_dir):
