@@ -17,8 +17,8 @@ sets share an element.
 Texts with equal sets are one class first. Every member of signature groups is compared with a few
 others of its groups, which ties most of what belongs together; after that, all members of a group that
 are in different components are compared. That is done in blocks inside tasks, on bitmaps of the sets
-that bound what two sets can have in common, so that pairs of strangers are never rows; for the pairs
-that are left, texts are fetched and the sets compared exactly. No link between different components can
+that bound what two sets can have in common, so that pairs of strangers from large groups are never
+rows; for the pairs that are left, texts are fetched and the sets compared exactly. No link between different components can
 be missed.
 
 Defined cases: null texts and texts without words have the empty set and link with nothing; a text of
@@ -293,15 +293,14 @@ def _linked(docs, rows, good, classes, members, t, k, id_type) -> DataFrame:
         F.min(F.struct("rank", "next"))["next"].alias("r"), F.max(F.struct("rank", "next"))["next"].alias("s"))
         .select("node", F.explode(F.array("p", "q", "r", "s")).alias("other")).where("other != node")
         .select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct())
-    sketch = lambda node, size, bits: classes.select(F.col("h1").alias(node), F.col("n").alias(size), F.col("bits").alias(bits))
-    some = some.join(sketch("a", "n", "x"), "a").join(sketch("b", "m", "y"), "b").where(possible(t)).select("a", "b").distinct()
-    first = verified(materialize(some, "jac"), docs, classes, t, k, id_type)
+    first = verified(materialize(sifted(some, classes, t), "jac"), docs, classes, t, k, id_type)
     graph = connected(first.select("a", "b"))
     node = classes.select(F.col("h1").alias("node"), "rep").join(graph.withColumnRenamed("node", "rep"), "rep", "left")
     place = node.select("node", F.xxhash64(F.coalesce("component", "rep")).alias("c")).groupBy("node").agg(F.min("c").alias("c"))
     open_ = materialize(members.select("sig", "node", "n", "rank").distinct().join(place, "node"), "jac")
-    rest = materialize(across(open_, classes, t).distinct(), "jac")
-    second = verified(rest, docs, classes, t, k, id_type)
+    small, large = across(open_, classes, t)
+    rest = sifted(small.distinct(), classes, t).unionByName(large).distinct()
+    second = verified(materialize(rest, "jac"), docs, classes, t, k, id_type)
     # rows that share an id tie the classes they are in together
     split = good.groupBy("id").agg(F.min(F.struct("h1", "h2")).alias("p"), F.max(F.struct("h1", "h2")).alias("q")).where("p != q").select("id")
     ties = good.join(split, "id").select("id", "h1", "h2").distinct().join(classes, ["h1", "h2"]).select(F.col("id").alias("a"), F.col("rep").alias("b"))
@@ -313,26 +312,34 @@ def _linked(docs, rows, good, classes, members, t, k, id_type) -> DataFrame:
             .select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component")))
 
 
-def across(members: DataFrame, classes: DataFrame, t: Fraction, block: int = 512) -> DataFrame:
+def sifted(pairs: DataFrame, classes: DataFrame, t: Fraction) -> DataFrame:
+    """The pairs (a, b) that the bitmaps of their classes allow."""
+    sketch = lambda node, size, bits: classes.select(F.col("h1").alias(node), F.col("n").alias(size), F.col("bits").alias(bits))
+    return pairs.join(sketch("a", "n", "x"), "a").join(sketch("b", "m", "y"), "b").where(possible(t)).select("a", "b").distinct()
+
+
+def across(members: DataFrame, classes: DataFrame, t: Fraction, few: int = 32, block: int = 512) -> tuple[DataFrame, DataFrame]:
     """(a, b) of all members (sig, node, n, rank, c) of a group that are in different components c and
-    whose sizes, ranks and bitmaps allow enough in common; a pair may come from several groups.
+    whose sizes and ranks allow enough in common; a pair may come from several groups.
 
-    Groups of more than ``block`` members are cut into blocks, and a task compares two blocks."""
+    The first part has the pairs of groups of at most ``few`` members, a bounded number a member. Members
+    of larger groups bring their bitmaps along, so that only pairs that these allow become rows of the
+    second part; they are cut into blocks of about ``block`` members, and a task compares two blocks."""
     sizes = (members.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), F.min("c").alias("p"), F.max("c").alias("q"))
-             .where("p != q").select("sig", F.ceil(F.col("size") / block).cast("int").alias("blocks")))
-    work = members.join(sizes, "sig").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    work = work.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    work = work.select("sig", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "node", "n", "rank", "c")
-    work = work.join(classes.select(F.col("h1").alias("node"), "bits"), "node")
+             .where("p != q").select("sig", F.when(F.col("size") > few, F.ceil(F.col("size") / block).cast("int")).otherwise(0).alias("blocks")))
+    work = members.join(sizes, "sig")
     keys = ["sig", "x", "y"]
     num, den = t.numerator, t.denominator
+    columns = ["sig", "x", "y", "mine", "node", "n", "rank", "c"]
+    small = work.where("blocks = 0").withColumns({"x": F.lit(0), "y": F.lit(0), "mine": F.lit(0)}).select(*columns)
+    large = work.where("blocks > 0").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    large = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    large = large.withColumns({"x": F.least("mine", "other"), "y": F.greatest("mine", "other")}).select(*columns)
+    large = large.join(classes.select(F.col("h1").alias("node"), "bits"), "node")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, cuts in whole_runs(batches, keys):
             get = {c: part.column(c).to_numpy() for c in ("x", "y", "mine", "node", "n", "rank", "c")}
-            lists = part.column("bits").combine_chunks()
-            at = lists.offsets.to_numpy().astype(np.int64)
-            words, at = lists.values.to_numpy().view(np.uint64), at
             left, right = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
             for i, j in zip(cuts[:-1], cuts[1:], strict=True):
                 if j - i < 2:
@@ -350,11 +357,15 @@ def across(members: DataFrame, classes: DataFrame, t: Fraction, block: int = 512
                 left.append(p[u] + i)
                 right.append(q[v] + i)
             u, v = np.concatenate(left), np.concatenate(right)
-            keep = _allowed(u, v, get["n"], words, at, num, den)
-            a, b = get["node"][u[keep]], get["node"][v[keep]]
+            if "bits" in part.column_names:
+                lists = part.column("bits").combine_chunks()
+                keep = _allowed(u, v, get["n"], lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy().astype(np.int64), num, den)
+                u, v = u[keep], v[keep]
+            a, b = get["node"][u], get["node"][v]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    return work.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "a long, b long").where("a != b")
+    return tuple(w.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "a long, b long").where("a != b")
+                 for w in (small, large))
 
 
 def _allowed(u: np.ndarray, v: np.ndarray, n: np.ndarray, words: np.ndarray, at: np.ndarray, num: int, den: int) -> np.ndarray:
