@@ -78,17 +78,20 @@ class BlobLedger:
     """Ledger in a folder that driver and executors share: ``scanned`` (blob, rules) and
     ``findings`` (blob, no, kind, version, start, end), one sub-folder a batch.
 
-    A batch writes its findings first and ``scanned`` last. A batch that died is run again under its
-    name and overwrites its own folders; findings are read without repeats, so a batch that comes
-    again under another name changes nothing.
+    A batch writes its findings first and ``scanned`` last, whose success mark commits it. A batch that
+    died is run again under its name and overwrites its own folders; one that is committed is skipped;
+    the same versions under another name hold nothing unseen and change nothing.
     """
 
     def __init__(self, spark: SparkSession, path: str, rules: tuple[Rule, ...] = RULES):
         self.spark, self.path, self.rules = spark, path.rstrip("/"), rules
 
+    def _exists(self, name: str) -> bool:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+
     def _read(self, name: str, schema: str) -> DataFrame:
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        if not folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder):
+        if not self._exists(name):
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{self.path}/{name}")
 
@@ -105,13 +108,17 @@ class BlobLedger:
                 .select("blob", "text", F.array_except(keys, F.coalesce("rules", F.array().cast("array<string>"))).alias("todo"))
                 .where(F.size("todo") > 0))
 
-    def ingest(self, versions: DataFrame, batch: str, id_col: str = "doc_id", text_col: str = "text") -> None:
-        """Scan what the ledger hasn't seen of these versions, then record it."""
+    def ingest(self, versions: DataFrame, batch: str, id_col: str = "doc_id", text_col: str = "text") -> bool:
+        """Scan what the ledger hasn't seen of these versions, then record it; False if the batch is
+        committed already."""
+        if self._exists(f"scanned/{batch}/_SUCCESS"):
+            return False
         todo = self.unseen(versions, id_col, text_col)
         (scan(todo, self.rules).write.mode("overwrite").parquet(f"{self.path}/findings/{batch}"))
         keys = F.array(*[F.lit(r.key) for r in self.rules])
         (keyed_text(versions, id_col, text_col).select(blob_of(F.col("text")).alias("blob")).distinct()
          .withColumn("rules", keys).write.mode("overwrite").parquet(f"{self.path}/scanned/{batch}"))
+        return True
 
     def findings(self) -> DataFrame:
         """Findings of the ledger's current rules."""
