@@ -98,34 +98,6 @@ def test_bitmaps_never_rule_out_a_similar_pair(spark):
     df = spark.createDataFrame([r for r in rows if r[1] and r[2]], "k int, n long, m long, x array<long>, y array<long>")
     got = {r["k"] for r in df.where(jaccard.possible(Fraction(3, 4))).collect()}
     assert {k for k, w in enumerate(want) if w} <= got and len(got) < 330
-    good = [r for r in rows if r[1] and r[2]]
-    lists = [x for r in good for x in r[3:]]
-    at = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
-    words = np.array([w for x in lists for w in x], dtype=np.int64).view(np.uint64)
-    pairs = np.arange(len(good)) * 2
-    keep = [len(lists[2 * i]) in (len(lists[2 * i + 1]), 2 * len(lists[2 * i + 1]), len(lists[2 * i + 1]) / 2) for i in range(len(good))]
-    pairs = pairs[np.array(keep)]
-    found = jaccard._allowed(pairs, pairs + 1, np.array([x for r in good for x in r[1:3]]), words, at, 3, 4)
-    assert {good[p // 2][0] for p, f in zip(pairs, found, strict=True) if f} == got & {good[p // 2][0] for p in pairs}
-
-
-def test_large_groups_in_blocks_equal_small_ones(spark):
-    rng = np.random.default_rng(11)
-    base = np.unique(rng.integers(0, 1 << 62, size=60, dtype=np.uint64))
-    sets = [np.unique(np.concatenate([base[rng.random(len(base)) > 0.12], rng.integers(0, 1 << 62, size=3, dtype=np.uint64)])) for _ in range(50)]
-    rows = np.repeat(np.arange(50), [len(s) for s in sets])
-    bits = jaccard.bitmaps(rows, np.concatenate(sets), 50).to_pylist()
-    classes = spark.createDataFrame([(i, len(s), b) for i, (s, b) in enumerate(zip(sets, bits, strict=True))], "h1 long, n long, bits array<long>")
-    members = spark.createDataFrame([(g, i, len(s), 0, i) for g in (1, 2) for i, s in enumerate(sets)], "sig long, node long, n int, rank int, c long")
-    t = Fraction(3, 4)
-    got = []
-    for few, block in ((100, 512), (0, 512), (0, 9)):
-        small, large = jaccard.across(members, classes, t, few, block)
-        both = jaccard.sifted(small.distinct(), classes, t).unionByName(large).distinct()
-        got.append(sorted(map(tuple, both.collect())))
-    near = [(i, j) for i in range(50) for j in range(i + 1, 50)
-            if 4 * (c := len(np.intersect1d(sets[i], sets[j]))) >= 3 * (len(sets[i]) + len(sets[j]) - c)]
-    assert got[0] == got[1] == got[2] and near and set(near) <= set(got[0]) and len(got[0]) < 49 * 25
 
 
 def test_empty_table(spark):
