@@ -3,8 +3,14 @@
 Markup is stripped line by line: block elements end a line, everything else stays within one. The
 length of a line is its text outside of links; lines of menus, headers, footers, sidebars, notices,
 adverts, forms and reader comments count as empty, and if the page marks its article, so do the lines
-outside of it. Lengths are summed over sliding windows of lines; the sums surge where an article begins
-and dive to nothing where it ends. The text between surge and dive is kept.
+outside of it. The text surges where lines with a length begin and dives to nothing where as many
+wholly linked lines as the window follow each other: such a list of links goes. All parts between a
+surge and a dive are kept, whatever their size, with the linked lines in and next to them; a part that
+is nothing but a copyright notice goes.
+
+Words of a class, id or role put an element beside the article only as a whole name ("sidebar",
+"ad-box", not "has-sidebar"), never a heading, and not an element that holds most of the text. If
+nothing is left, the names count for nothing, and if still nothing is left, all lines stay.
 
 Pages are independent rows: one pass, no shuffle. Defined cases: a null or empty page gives an empty
 text; unclosed and misplaced tags never fail; repeated rows give equal results; other columns are
@@ -13,8 +19,10 @@ ignored.
 from __future__ import annotations
 
 import html as entities
+import itertools
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -37,34 +45,69 @@ cookies consent gdpr notice notices alert popup modal overlay newsletter subscri
 comments commentlist respond reply replies disqus discussion share sharing social related recommended recommendations
 teaser teasers widget masthead complementary contentinfo search searchbox form paywall disclaimer skip""".split())
 HEADER = frozenset({"header", "masthead", "banner"})
+#: Parts of a name that say nothing about what the element is.
+NEUTRAL = frozenset("""area bar block bottom box btn button col column container content global group holder icons inner
+item items left link links list main outer page panel post posts primary right row secondary section site slot top
+unit wrap wrapper""".split())
+#: Names of reader comments, which may well be longer than the article.
+COMMENTS = frozenset("comment comments commentlist respond reply replies disqus discussion".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>""", re.S)
 _NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+_COPYRIGHT = re.compile(r"(?:copyright\s*)?(?:©|\(c\)|copyright)\s*\d{4}", re.I)
 _RAW_END = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in RAW}
 
 
-def _beside(name: str, attrs: str, in_article: bool) -> bool:
-    """Does the element stand beside the article?"""
+def _beside(name: str, attrs: str, in_article: bool) -> str:
+    """Does the element stand beside the article: "" (no), "element" (by its kind, or hidden), "comments"
+    or "name" (by its class, id or role)?"""
     if name in ASIDE:
-        return True
+        return "element"
     if name == "header":
-        return not in_article
+        return "" if in_article else "element"
     if name in ("html", "body", "main") or not attrs:
-        return False
+        return ""
     if _HIDDEN.search(attrs):
-        return True
-    words = {w.lower() for m in _NAMED.finditer(attrs) for w in _PART.findall(m[2] or m[3] or m[4] or "")}
-    return bool(words & BESIDE) or (not in_article and bool(words & HEADER) and "article" not in words)
+        return "element"
+    if name in HEADINGS:
+        return ""
+    words, header = set(), False
+    for m in _NAMED.finditer(attrs):
+        for token in (m[2] or m[3] or m[4] or "").split():
+            parts = {w.lower() for w in _PART.findall(token) if not w.isdigit()}
+            known = {token.lower()} & BESIDE or parts & BESIDE
+            if known and parts - known <= NEUTRAL:
+                words |= known
+            header |= bool(parts & HEADER) and parts <= HEADER | BESIDE | NEUTRAL
+    if words:
+        return "comments" if words <= COMMENTS else "name"
+    return "name" if header and not in_article else ""
+
+
+@dataclass(eq=False)
+class _Open:
+    """An element beside the article, and how many elements of its name are open from it on."""
+    name: str
+    kind: str
+    parent: _Open | None
+    article: int
+    depth: int = 1
+    chars: int = 0
+    wraps: bool = False
+    beside: bool = True
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
+def lines_of(page: str) -> list[tuple[str, int, bool, int, bool]]:
     """Lines in page order: (text, characters outside of links, stands beside the article, number of
-    the outermost article or 0)."""
-    out: list[tuple[str, int, bool, int]] = []
+    the outermost article or 0, is a heading)."""
+    out: list[tuple[str, int, _Open | None, int, bool]] = []
     parts: list[tuple[str, bool]] = []
-    skip: list[str] = []      # open elements of one name below an element beside the article
-    links = articles = article = depth = 0
+    nodes: list[_Open] = []
+    skip: list[_Open] = []    # open elements beside the article
+    named: dict[str, list[_Open]] = {}
+    links = articles = article = depth = headings = 0
     landmark = ""
 
     def end_line():
@@ -72,9 +115,16 @@ def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
             text = " ".join(entities.unescape("".join(t for t, _ in parts)).split())
             if text:
                 plain = " ".join(entities.unescape("".join(t for t, linked in parts if not linked)).split())
-                out.append((text, len(plain), bool(skip), article))
+                out.append((text, len(plain), skip[-1] if skip else None, article, headings > 0))
             parts.clear()
 
+    def leave(node: _Open):
+        while True:
+            top = skip.pop()
+            named[top.name].pop()
+            if top is node:
+                return
+
     at = 0
     while m := _TAG.search(page, at):
         if m.start() > at:
@@ -100,10 +150,14 @@ def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
         if name in BLOCKS:
             end_line()
             links = 0
+            headings = int(name in HEADINGS and not closing)
         if closing:
-            if skip and name == skip[0]:
-                end_line()
-                skip.pop()
+            if named.get(name):
+                node = named[name][-1]
+                node.depth -= 1
+                if not node.depth:
+                    end_line()
+                    leave(node)
             if article and name == landmark:
                 depth -= 1
                 if depth <= 0:
@@ -113,52 +167,87 @@ def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
             parts.append((" ", links > 0))
         if name in VOID or attrs.endswith("/"):
             continue
-        if skip and skip[0] == "p" and name in BLOCKS:
-            skip.clear()  # the next block ends an unclosed paragraph
+        if named.get("p") and name in BLOCKS:
+            leave(named["p"][-1])  # the next block ends an unclosed paragraph
         beside = _beside(name, attrs, article > 0)
         if name in ("article", "main") and not beside:
-            if not articles:
-                skip.clear()  # an unclosed menu before the page's article doesn't hold it
+            if not articles and skip:
+                leave(skip[0])  # an unclosed menu before the page's article doesn't hold it
             if not article:
                 articles += 1
                 article, landmark, depth = articles, name, 1
             elif name == landmark:
                 depth += 1
-        if skip:
-            if name == skip[0]:
-                skip.append(name)
-        elif beside:
+        if name in BLOCKS and skip:
+            skip[-1].wraps = True
+        if beside:
             end_line()
-            skip.append(name)
+            skip.append(_Open(name, beside, skip[-1] if skip else None, article))
+            named.setdefault(name, []).append(skip[-1])
+            nodes.append(skip[-1])
+        elif named.get(name):
+            named[name][-1].depth += 1
     if at < len(page):
         parts.append((page[at:], links > 0))
     end_line()
-    return out
+    _resolve(out, nodes)
+    return [(text, n, node is not None and node.beside, a, heading) for text, n, node, a, heading in out]
 
 
-def main_text(page: str, window: int = 3, least_share: float = 0.2) -> str:
-    """Text between surge and dive points of the line-block sums; of several such parts outside of
-    a marked article, those with ``least_share`` of the largest at least."""
-    lines = lines_of(page)
-    if not lines:
-        return ""
-    length = np.array([0 if beside else n for _, n, beside, _ in lines])
-    whole = np.array([0 if beside else len(t) for t, _, beside, _ in lines])
-    article = np.array([a for *_, a in lines])
-    if (article[whole > 0] > 0).any():
-        sums = np.bincount(article, weights=whole)
+def _resolve(lines: list[tuple[str, int, _Open | None, int, bool]], nodes: list[_Open]) -> None:
+    """Sets ``beside`` of the elements: those that only their name puts beside the article don't count if
+    wrapped around most of the article's text outside of links (without a marked article: of the page's), or if
+    nothing is left."""
+    if not nodes:
+        return
+    apart: set[int] = set()  # in an element beside the article by its kind
+    for node in nodes:
+        if node.kind == "element" or (node.parent and id(node.parent) in apart):
+            apart.add(id(node))
+    totals: dict[int, int] = {}
+    marked = any(a and node is None for _, _, node, a, _ in lines)
+    for _, n, node, a, _ in lines:
+        if node is None or id(node) not in apart:
+            totals[a if marked else 0] = totals.get(a if marked else 0, 0) + n
+            if node:
+                node.chars += n
+    for node in reversed(nodes):  # parents come first
+        if node.parent and id(node) not in apart:
+            node.parent.chars += node.chars
+        if node.parent and node.wraps:
+            node.parent.wraps = True
+    for node in nodes:
+        most = node.kind == "name" and node.wraps and (node.article > 0 or not marked) and 2 * node.chars > totals.get(node.article if marked else 0, 0)
+        node.beside = not most or (node.parent is not None and node.parent.beside)
+    for left in (apart, frozenset()):
+        if any(node is None or not node.beside for _, _, node, _, _ in lines):
+            return
+        for node in nodes:
+            node.beside = id(node) in left
+
+
+def main_text(page: str, window: int = 3) -> str:
+    """Text between surge and dive points; ``window`` wholly linked lines in a row make a dive."""
+    lines = [line for line in lines_of(page) if not line[2]]
+    article = np.array([a for *_, a, _ in lines], dtype=np.int64)
+    if article.any():
+        sums = np.bincount(article, weights=[len(text) for text, *_ in lines])
         sums[0] = 0
-        length, least_share = np.where(article == int(sums.argmax()), whole, 0), 0.0
-    elif not length.any():
-        length = whole
-    blocks = np.convolve(length, np.ones(window, dtype=length.dtype))[window - 1:]  # line i and those after it
-    inside = np.concatenate([[False], blocks > 0, [False]])
-    surges, dives = np.flatnonzero(~inside[:-1] & inside[1:]), np.flatnonzero(inside[:-1] & ~inside[1:])
-    if not len(surges):
-        return ""
-    size = np.array([length[a:b].sum() for a, b in zip(surges, dives, strict=True)])
-    kept = [i for a, b, n in zip(surges, dives, size, strict=True) if n >= least_share * size.max() for i in range(a, b) if length[i]]
-    return "\n".join(lines[i][0] for i in kept)
+        return "\n".join(lines[i][0] for i in np.flatnonzero(article == int(sums.argmax())))
+    own = [n > 0 for _, n, *_ in lines]
+    for i in range(len(lines) - 2, -1, -1):
+        own[i] = own[i] or (lines[i][4] and own[i + 1])  # a linked headline belongs to the text below it
+    if not any(own):
+        return "\n".join(text for text, *_ in lines)
+    stretches = [(has, list(group)) for has, group in itertools.groupby(range(len(lines)), key=lambda i: own[i])]
+    parts: list[list[int]] = [[]]
+    for has, group in stretches:
+        if has or len(group) < window:
+            parts[-1] += group
+        else:
+            parts.append([])
+    told = [part for part in parts if any(own[i] and not _COPYRIGHT.match(lines[i][0]) for i in part)]
+    return "\n".join(lines[i][0] for part in told or parts for i in part)
 
 
 def extract(df: DataFrame, id_cols: tuple[str, ...] = ("page_id", "url"), html_col: str = "html", window: int = 3) -> DataFrame:

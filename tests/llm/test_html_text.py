@@ -49,3 +49,25 @@ def test_articles_of_the_pages_table(spark):
         parts = re.split(r"</?(?:p|h1)>", re.search(r"<article>(.*?)</article>", r["html"], re.S)[1])
         want = [" ".join(unescape(re.sub("<[^>]*>", "", p)).split()) for p in parts]
         assert got[r["page_id"]] == "\n".join(p for p in want if p)
+
+
+def test_short_parts_and_linked_lines_of_an_unmarked_page_stay():
+    body = "".join(f"<p>{'Plain sentences make up the body of this page. ' * 9}</p>" for _ in range(4))
+    text = "\n".join([("Plain sentences make up the body of this page. " * 9).strip()] * 4)
+    advert = "<div class='ad'><p>One</p><p>Two</p><p>Three</p></div>"
+    links = "<ul><li><a href='/1'>One</a><li><a href='/2'>Two</a><li><a href='/3'>Three</a></ul>"
+    for between in (advert, links):
+        assert main_text(f"<p>Opening.</p>{between}<div>{body}</div>{between}<p>The end.</p>") == f"Opening.\n{text}\nThe end."
+    assert main_text(f"<p>{links}<h2><a href='/x'>Headline</a></h2>{body}<ul><li><a href='/y'>Source</a><li>and more</ul>") == f"Headline\n{text}\nSource\nand more"
+    assert main_text("<p>Text<p><a href='/z'>Linked end</a>") == "Text\nLinked end"
+
+
+def test_names_of_wrappers_and_headings_lose_no_text():
+    for name in ("has-sidebar", "no-sidebar", "withSidebar", "sidebar", "page-banner"):
+        page = f"<body><div class='{name}'>{MENU}<div><p>First part of it.</p><div class='ad-box'>Buy</div><p>Second part.</p></div></div><footer>x</footer></body>"
+        assert main_text(page) == "First part of it.\nSecond part.", name
+    assert main_text("<h2 id='discussion'>Discussion</h2><p>Text of it</p>") == "Discussion\nText of it"
+    assert main_text("<article><h2 class='related'>Related work</h2><div class='social'><p>Long text of the article</p></div></article>") == "Related work\nLong text of the article"
+    assert main_text("<p>Text</p><div id='comments'><p>A comment that is longer than the text</p></div>") == "Text"
+    assert main_text("<div class='promo'>Left</div><div class='notice'>Both</div><nav>Menu</nav>") == "Left\nBoth"
+    assert main_text("<nav>Menu</nav>") == "Menu"
