@@ -5,12 +5,13 @@ Each stage takes what its predecessor kept, written as Parquet and read again, a
 All but the last return the columns of ``documents``.
 
 Defined cases: null texts and texts without letters go in the first stage; rows without an id are never
-near duplicates; repeated rows of one text keep one copy of a group (rows that share the group's smallest
-id all carry it, and exactly one of them stays); an empty table passes through all stages.
+near duplicates, and rows without words neither; rows that share an id are judged by their texts, each for
+itself; of a group of near duplicates exactly one row stays, that with the smallest id, then the smallest
+hash of the text, then the smallest other columns; an empty table passes through all stages.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskbook.llm import bpe, decontaminate, jaccard, langid, secret_ledger
@@ -29,12 +30,20 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select("id.*")
 
 
+def row_key(docs: DataFrame) -> Column:
+    """Text that stands for (doc_id, text) and sorts by doc_id first; null without an id."""
+    place = F.lpad(F.hex(F.col("doc_id").cast("long").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    return F.concat(place, F.md5(F.coalesce("text", F.lit(""))))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: that with the smallest id. Texts without words stay."""
-    found = jaccard.jaccard_links(docs)
-    gone = found.where("id is not null and component is not null and n_shingles > 0 and id != component").select(F.col("id").alias("doc_id")).distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    return kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id"])).select(docs.columns)
+    keyed = docs.withColumn("key", row_key(docs))
+    found = jaccard.jaccard_links(keyed, id_col="key")
+    gone = found.where("id is not null and n_shingles > 0 and id != component").select(F.col("id").alias("key")).distinct()
+    alone = F.col("key").isNull() | ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    one = keyed.where(~alone).groupBy("key").agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return keyed.where(alone).select(docs.columns).unionByName(one.join(gone, "key", "left_anti").select("row.*"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

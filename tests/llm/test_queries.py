@@ -63,3 +63,18 @@ def test_pipeline_stands_awkward_rows(spark):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, SF)
     assert empty.count() == 0
+
+
+def test_near_duplicates_judges_rows_that_share_an_id_by_their_texts(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    words = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    rows = [(3, words(1)), (7, words(1) + " end"), (7, words(2)), (7, words(3)), (8, words(3) + " end"), (9, None), (9, " "), (9, ""), (9, words(4)), (9, words(4)),
+            (-5, words(5)), (2, words(5)), (10, words(6)), (10, words(6) + " end"), (None, words(1)), (11, words(2) + " end"), (11, words(4) + " end")]
+    docs = spark.createDataFrame([(i, t, "en", f"s{k}", None) for k, (i, t) in enumerate(rows)], schema)
+    got = sorted((str(r["doc_id"]), r["text"] or "", r["source"]) for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect())
+    of_10 = [r for r in got if r[0] == "10"]
+    want = [("None", words(1), "s14"), ("3", words(1), "s0"), ("7", words(2), "s2"), ("7", words(3), "s3"), ("9", "", "s5"), ("9", " ", "s6"), ("9", "", "s7"),
+            ("9", words(4), "s8"), ("-5", words(5), "s10")]
+    assert len(of_10) == 1 and got == sorted(want + of_10)
+    again = corpus_pipeline.near_duplicates(spark, docs.repartition(7, "source"), SF).collect()
+    assert sorted((str(r["doc_id"]), r["text"] or "", r["source"]) for r in again) == got
