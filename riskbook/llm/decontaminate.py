@@ -5,10 +5,11 @@ space before, between and after them. A pattern is a window of ``window`` consec
 with its spaces, or the whole item if it is shorter. The automaton goes once over each normalised
 text; the places it reports are mapped to words and to offsets in the original text.
 
-The patterns are broadcast in blocks of bounded size: items are dealt into as many blocks as their
-measured size needs, and the documents pass one automaton after the other in the same task, so the
-documents are never shuffled. Defined cases: null texts and items have no words; repeated items and
-rows each count; an empty benchmark hits nothing; other columns are ignored.
+The patterns are broadcast in blocks of bounded size: distinct items are dealt by id and text into as
+many blocks as their measured size needs, and the documents pass one automaton after the other in the
+same task, so the documents are never shuffled. Defined cases: null texts and items have no words; items
+without an id are together one item, whose id is null; a repeated item counts once, repeated rows each; an
+empty benchmark hits nothing; other columns are ignored.
 """
 from __future__ import annotations
 
@@ -41,11 +42,11 @@ def patterns_of(text: str, window: int) -> set[str]:
 
 
 class Matcher:
-    """The automaton over the patterns of some items: [(item id as text, item text)]."""
+    """The automaton over the patterns of some items: [(item id as text or None, item text)]."""
 
-    def __init__(self, items: list[tuple[str, str]], window: int):
+    def __init__(self, items: list[tuple[str | None, str]], window: int):
         import ahocorasick
-        owners: dict[str, set[str]] = {}
+        owners: dict[str, set[str | None]] = {}
         for item, text in items:
             for p in patterns_of(text, window):
                 owners.setdefault(p, set()).add(item)
@@ -55,7 +56,7 @@ class Matcher:
         if owners:
             self.automaton.make_automaton()
 
-    def hits(self, normal: str) -> tuple[list[tuple[int, int]], set[str]]:
+    def hits(self, normal: str) -> tuple[list[tuple[int, int]], set[str | None]]:
         """Runs of hit words [first, end) of a normalised text, and the items."""
         if self.automaton is None:
             return [], set()
@@ -88,13 +89,14 @@ def find_contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_i
     """(id, n_words, runs, spans, items) for each row of ``df``.
 
     ``runs``: hit words [first, end); ``spans``: the same as offsets [start, end) in code points of the
-    original text; ``items``: ids of the items with windows in the text, as strings, sorted.
-    ``block_bytes`` bounds the item texts of one broadcast automaton; more items make more blocks.
+    original text; ``items``: ids of the items with windows in the text, as strings, sorted,
+    null last. ``block_bytes`` bounds the item texts of one broadcast automaton, a single longer text aside;
+    more items make more blocks.
     """
     spark = df.sparkSession
     items = (benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("body"))
-             .where("item is not null and body is not null"))
-    total = items.agg(F.sum(F.octet_length("body") + F.length("item") + 16)).first()[0] or 0
+             .where("body is not null").distinct())
+    total = items.agg(F.sum(F.octet_length("body") + F.coalesce(F.length("item"), F.lit(0)) + 16)).first()[0] or 0
     blocks = max(1, math.ceil(1.5 * total / block_bytes))
     docs = keyed_text(df, id_col, text_col)
     id_type = docs.schema["id"].dataType.simpleString()
@@ -123,7 +125,7 @@ def find_contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_i
                     n_words.append(len(words))
                     runs.append([{"a": a, "b": b} for a, b in merged])
                     spans.append([{"a": a, "b": b} for a, b in where])
-                    found.append(sorted(ids.union(had)))
+                    found.append(sorted(ids.union(had), key=lambda i: (i is None, i or "")))
                 text_out = pa.nulls(len(texts), pa.string()) if last else batch.column("text").cast(pa.string())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id"), text_out, pa.array(n_words, pa.int64()), pa.array(runs, pair_type),
@@ -132,7 +134,7 @@ def find_contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_i
         return run
 
     for no in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == no) if blocks > 1 else items
+        block = items.where(F.pmod(F.xxhash64("item", "body"), F.lit(blocks)) == no) if blocks > 1 else items
         shared = spark.sparkContext.broadcast([(r["item"], r["body"]) for r in block.collect()])
         state = state.mapInArrow(matching(shared, no == blocks - 1), out_type)
     return state.drop("text")

@@ -55,3 +55,25 @@ def test_empty_tables(spark):
     docs, none = docs_frame(spark, [(1, "some words")]), spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.find_contamination(docs, none).collect()[0]["n_words"] == 2
     assert decontaminate.find_contamination(docs.where("false"), none).count() == 0
+
+
+@pytest.mark.parametrize("block_bytes", [4_000_000, 300])
+def test_items_without_an_id_hit(spark, block_bytes):
+    rng = random.Random(4)
+    passages = [word_salad(rng, 20, 400) for _ in range(12)]
+    items = [(None, p) for p in passages[:6]] + [(7, p) for p in passages[6:]] + [(8, passages[0])]
+    texts = [(k, f"{word_salad(rng, 9)} {p}") for k, p in enumerate(passages)] + [(99, word_salad(rng, 30))]
+    df = spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.with_decision(decontaminate.find_contamination(docs_frame(spark, texts), df, block_bytes=block_bytes)).collect()
+    got = {r["id"]: (r["n_hit"], r["n_items"], r["items"], r["contaminated"]) for r in found}
+    assert got == {0: (20, 2, ["8", None], True), **{k: (20, 1, [None], True) for k in range(1, 6)}, **{k: (20, 1, ["7"], True) for k in range(6, 12)},
+                   99: (0, 0, [], False)}
+
+
+def test_items_that_share_an_id_are_dealt_over_blocks(spark, monkeypatch):
+    rng, sizes = random.Random(5), []
+    items = [(7, word_salad(rng, 20, 400)) for _ in range(200)] + [(7, "the same text of a hot item again")] * 200
+    share = spark.sparkContext.broadcast
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda block: sizes.append(sum(len(t) for _, t in block)) or share(block))
+    decontaminate.find_contamination(docs_frame(spark, [(1, "x")]), spark.createDataFrame(items, "item_id long, text string"), block_bytes=5_000)
+    assert len(sizes) > 3 and max(sizes) <= 5_000
