@@ -4,7 +4,8 @@ token ids. Counted as part of the subpackage ``riskbook.llm``.
 Each stage takes what its predecessor kept, written as Parquet and read again, and calls one operator.
 All but the last return the columns of ``documents``.
 
-Defined cases: null texts and texts without letters go in the first stage; rows without an id are never
+Defined cases: null texts, texts without letters and texts of which more than half of the letters fit no
+learned language, by script or by trigrams, go in the first stage; rows without an id are never
 near duplicates, and rows without words neither; rows that share an id are judged by their texts, each for
 itself; of a group of near duplicates exactly one row stays, that with the smallest id, then the smallest
 hash of the text, then the smallest other columns; an empty table passes through all stages.
@@ -18,8 +19,8 @@ from riskbook.llm import bpe, decontaminate, jaccard, langid, secret_ledger
 from riskbook.llm.common import remainder_is, table
 from riskbook.session import scratch_folder
 
-#: Least score of a kept document's language; below, hardly a word of it fits any learned language.
-LEAST_LANGUAGE_SCORE = 0.15
+#: Most of a kept document's letters that may be in words that no learned language fits, as a share.
+MOST_UNFIT_SHARE = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +28,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.fit(docs, F.col("doc_id").isNotNull() & ~remainder_is("doc_id", 5, 0))
     named = docs.select(F.struct(*docs.columns).alias("row"))
     out = langid.identify(named, model, id_col="row", text_col="row.text", with_spans=False)
-    return out.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select("id.*")
+    return out.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("unfit") <= MOST_UNFIT_SHARE)).select("id.*")
 
 
 def row_key(docs: DataFrame) -> Column:

@@ -2,7 +2,10 @@
 
 A word's script narrows the candidate languages; the shares of its character trigrams, learned from
 labelled texts, score it under each candidate. Viterbi decoding over the words with a switching penalty
-labels spans; the language with the most letters is the text's.
+labels spans; the language with the most letters is the text's. A word that no learned language fits is
+one in a script that none of them uses, or one whose trigrams are, under the best of its candidates, nearer
+to unseen ones than to those of the training texts. A language with fewer than ``LEAST_SEEN`` distinct
+trigrams has seen too little for that: it fits every word in its scripts.
 
 The model is fitted on a sample of at most about ``fit_docs_per_lang`` labelled texts a language (whole
 texts, drawn by a hash of the id) as counts summed by Spark; its size depends on the number of languages
@@ -28,6 +31,8 @@ UNKNOWN = "und"
 BUCKETS = 1 << 16
 #: Evidence of one word at most, and the price of a change of language, in nats.
 WORD_LIMIT, SWITCH = 8.0, 12.0
+#: Distinct trigrams from which on a language's training texts can tell that a word isn't of it.
+LEAST_SEEN = 1_000
 #: Characters handled at once: bounds the memory of a task.
 SLICE = 1_500_000
 #: First code points of the ranges of scripts; letters outside all are "other".
@@ -98,10 +103,20 @@ class Model:
     langs: list[str]
     logp: np.ndarray = field(repr=False)        # (BUCKETS, languages): log share of a trigram in the language
     scripts: np.ndarray = field(repr=False)     # (scripts, languages): does the language use it
+    least: np.ndarray | None = field(default=None, repr=False)  # least mean log share of a fitting word, by language
 
-    def scores(self, words: Words) -> np.ndarray:
+    def evidence(self, words: Words) -> np.ndarray:
+        """Log shares of each word's trigrams in each language, summed."""
+        return np.add.reduceat(self.logp[words.keys()], words.starts, axis=0, dtype=np.float64)
+
+    def unfit(self, words: Words, evidence: np.ndarray) -> np.ndarray:
+        """Does no language fit the word? Each language is asked by itself, so their number doesn't matter."""
+        size = np.diff(np.append(words.starts, len(words.points)))[:, None]
+        return ~(self.scripts[words.scripts()] & (evidence >= self.least * size)).any(axis=1)
+
+    def scores(self, words: Words, evidence: np.ndarray) -> np.ndarray:
         """Log posterior of each word over its candidates under equal priors, limited below."""
-        score = np.add.reduceat(self.logp[words.keys()], words.starts, axis=0, dtype=np.float64)
+        score = evidence.copy()
         allowed = self.scripts[words.scripts()]
         if not allowed.all():
             none = ~allowed.any(axis=1)
@@ -144,7 +159,11 @@ def fit(df: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "
     words = counts[BUCKETS:]
     uses = words >= np.maximum(1, 0.005 * words.sum(axis=0))
     smooth = counts[:BUCKETS] + 0.1
-    return Model(langs, np.log(smooth / smooth.sum(axis=0)).astype(np.float32), uses)
+    logp = np.log(smooth / smooth.sum(axis=0))
+    typical = (counts[:BUCKETS] * logp).sum(axis=0) / np.maximum(counts[:BUCKETS].sum(axis=0), 1)
+    least = (typical + np.log(0.1 / smooth.sum(axis=0))) / 2
+    least[(counts[:BUCKETS] > 0).sum(axis=0) < LEAST_SEEN] = -np.inf
+    return Model(langs, logp.astype(np.float32), uses, least)
 
 
 def viterbi(scores: np.ndarray, sizes: np.ndarray, switch: float = SWITCH) -> np.ndarray:
@@ -201,9 +220,10 @@ def viterbi(scores: np.ndarray, sizes: np.ndarray, switch: float = SWITCH) -> np
 
 
 def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", with_spans: bool = True) -> DataFrame:
-    """(id, lang_pred, score, n_spans, spans) for each row of ``df``.
+    """(id, lang_pred, score, n_spans, spans, unfit) for each row of ``df``.
 
-    ``score``: posterior-weighted share of the text's letters in spans of ``lang_pred``. ``spans``:
+    ``score``: posterior-weighted share of the text's letters in spans of ``lang_pred``. ``unfit``: share of
+    its letters in words that no learned language fits, 1 without letters or languages. ``spans``:
     [start, end) in code points with their language, from the first letter to the last; null unless
     ``with_spans``.
     """
@@ -220,24 +240,28 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             for i, j in slices(frame["text"].str.len(), SLICE):
                 texts = frame["text"].iloc[i:j].tolist()
                 words = Words.of(texts)
-                pred, share = np.full(len(texts), n_langs), np.zeros(len(texts))
+                pred, share, unfit = np.full(len(texts), n_langs), np.zeros(len(texts)), np.ones(len(texts))
                 n_spans, labels = np.zeros(len(texts), dtype=np.int64), np.zeros(len(words.starts), dtype=np.int64)
                 if n_langs and len(words.starts):
                     row = np.repeat(np.arange(len(texts)), words.sizes)
-                    s, w = model.scores(words), words.letters()
+                    evidence = model.evidence(words)
+                    s, w = model.scores(words, evidence), words.letters()
                     labels = viterbi(s, words.sizes)
                     mass = np.bincount(row * n_langs + labels, weights=w, minlength=len(texts) * n_langs).reshape(-1, n_langs)
                     total = mass.sum(axis=1)
                     pred = np.where(total > 0, mass.argmax(axis=1), n_langs)
                     sure = np.where(labels == pred[row], w * np.exp(s[np.arange(len(row)), labels]), 0)
                     share = np.clip(np.bincount(row, weights=sure, minlength=len(texts)) / np.maximum(total, 1), 0, 1)
+                    strange = np.bincount(row, weights=w * model.unfit(words, evidence), minlength=len(texts))
+                    unfit = np.where(total > 0, strange / np.maximum(total, 1), 1.0)
                     change = np.concatenate([[True], (row[1:] != row[:-1]) | (labels[1:] != labels[:-1])])
                     n_spans = np.bincount(row, weights=change, minlength=len(texts)).astype(np.int64)
                 out = pd.DataFrame({"id": frame["id"].iloc[i:j].to_numpy(), "lang_pred": langs[pred], "score": share, "n_spans": n_spans})
                 out["spans"] = _spans(texts, words.sizes, labels, langs, n_spans) if with_spans else None
+                out["unfit"] = unfit
                 yield out
 
-    return docs.mapInPandas(run, f"id {id_type}, lang_pred string, score double, n_spans long, spans {span_type}")
+    return docs.mapInPandas(run, f"id {id_type}, lang_pred string, score double, n_spans long, spans {span_type}, unfit double")
 
 
 def _spans(texts, sizes, labels, langs, n_spans) -> list[list[tuple[int, int, str]]]:

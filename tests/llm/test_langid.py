@@ -62,3 +62,13 @@ def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "lang")
     got = op1_language_id(spark, "/root/testdata/sf0.001").join(docs, "doc_id").where("held_out and lang is not null").toPandas()
     assert len(got) and (got["lang_pred"] == got["lang"]).mean() > 0.95
+
+
+def test_unfit_share_is_that_of_letters_in_foreign_words(spark):
+    rng = np.random.default_rng(6)
+    made = lambda letters, n: " ".join("".join(rng.choice(list(letters), 6)) for _ in range(n))
+    rows = [(k, made("abcdefghijklm" if k % 2 else "abcdefghijkln", 200), "xx" if k % 2 else "yy") for k in range(60)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    texts = [(1, made("abcdefghijklm", 50)), (2, made("opqrstuvwxyz", 50)), (3, "abcdef дом"), (4, "дом"), (5, "12"), (6, made("abcdefghijkln", 30) + " " + made("opqrstuvwxyz", 10))]
+    got = {r["id"]: r["unfit"] for r in langid.identify(docs_frame(spark, texts), model).collect()}
+    assert got[1] < 0.05 and got[2] > 0.9 and abs(got[3] - 1 / 3) < 1e-9 and got[4] == got[5] == 1.0 and abs(got[6] - 0.25) < 0.05

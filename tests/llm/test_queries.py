@@ -78,3 +78,18 @@ def test_near_duplicates_judges_rows_that_share_an_id_by_their_texts(spark):
     assert len(of_10) == 1 and got == sorted(want + of_10)
     again = corpus_pipeline.near_duplicates(spark, docs.repartition(7, "source"), SF).collect()
     assert sorted((str(r["doc_id"]), r["text"] or "", r["source"]) for r in again) == got
+
+
+def test_language_id_rejects_by_fit_not_by_the_number_of_languages(spark):
+    of = {"en": "the house and the garden with that thing which they have there", "fr": "le château est dans la forêt avec les oiseaux heureux",
+          "de": "das alte haus steht zwischen den bäumen und wird nicht verkauft", "es": "la casa está cerca del río donde juegan los niños pequeños",
+          "it": "gli amici della ragazza vogliono mangiare qualcosa insieme oggi", "tr": "büyük şehirde yaşayan insanlar her gün işe gidiyor",
+          "hu": "a régi könyvtárban sokan olvasnak minden délután csendben", "fi": "vanhassa talossa asuu yksinäinen mies joka kirjoittaa kirjoja"}
+    strange = ["это дом и сад где они были вчера", "το σπίτι και ο κήπος είναι εδώ", "這是一個很大的房子和花園", "1234 5678"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for langs in (["en", "fr"], ["de", "en", "es", "fr"], sorted(of)):
+        learned = [(k, of[lang], lang, "s", None) for k, lang in enumerate(langs * 20)]
+        even = " ".join(of[lang] for lang in langs)
+        cases = [(None, t, None, "s", None) for t in [*strange, even, f"{of['en']} {strange[0]}", f"это {strange[0]} {strange[0]} the house"]]
+        got = {r["text"] for r in corpus_pipeline.language_id(spark, spark.createDataFrame(learned + cases, schema), SF).collect()}
+        assert got == {*[of[lang] for lang in langs], even, cases[5][1]}
