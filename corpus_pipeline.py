@@ -67,11 +67,13 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids of every document."""
+    """doc_id, n_tokens, ids of every document, and whether the ids give its text back byte by byte."""
     import public_tokenizers
     ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    coded = bpe.encode(docs, ranks, public_tokenizers.PATTERN)
-    return coded.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), "ids")
+    named = docs.select(F.struct("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256")).alias("row"), "text")
+    out = bpe.decode(bpe.encode(named, ranks, public_tokenizers.PATTERN, id_col="row"), ranks)
+    return out.select("id.doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids",
+                      (F.sha2("decoded", 256) == F.col("id.sha256")).alias("round_trip"))
 
 
 STAGES = [("language_id", language_id), ("near_duplicates", near_duplicates), ("decontaminated", decontaminated),

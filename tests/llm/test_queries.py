@@ -93,3 +93,14 @@ def test_language_id_rejects_by_fit_not_by_the_number_of_languages(spark):
         cases = [(None, t, None, "s", None) for t in [*strange, even, f"{of['en']} {strange[0]}", f"это {strange[0]} {strange[0]} the house"]]
         got = {r["text"] for r in corpus_pipeline.language_id(spark, spark.createDataFrame(learned + cases, schema), SF).collect()}
         assert got == {*[of[lang] for lang in langs], even, cases[5][1]}
+
+
+def test_token_ids_are_decoded_and_held_against_the_text(spark, monkeypatch):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(1, "naïve <assign> 漢字 \U0001f600", "en", "s", 9), (1, "another", "en", "s", 7), (2, None, "en", "s", None),
+                                  (None, "long text " * 9_000, "en", "s", 9)], schema)
+    rows = corpus_pipeline.token_ids(spark, docs, SF).collect()
+    assert len(rows) == 4 and all(r["round_trip"] and r["n_tokens"] == len(r["ids"]) for r in rows)
+    encode = corpus_pipeline.bpe.encode
+    monkeypatch.setattr(corpus_pipeline.bpe, "encode", lambda *a, **b: encode(*a, **b).selectExpr("id", "slice(ids, 2, size(ids)) as ids"))
+    assert sorted(r["round_trip"] for r in corpus_pipeline.token_ids(spark, docs, SF).collect()) == [False, False, False, True]
