@@ -4,7 +4,7 @@ A batch is a set of signed changes: +1 inserts a document's count, -1 takes it b
 is both. A batch is summed by its dimensions before anything is kept, and its sums are written to a
 folder of the batch's name; totals add up all batches. A batch that comes again under its name replaces
 nothing: its folder is there, so it is skipped; one that died in between left no success mark and is
-written anew. ``compact`` folds old batches into one and remembers their names.
+written anew. Batches are never folded together, so reading the totals grows with their number.
 
 Defined cases: null source and language are dimensions of their own; null text has no tokens; repeated
 rows each count; dimensions whose documents and tokens come to 0 disappear; other columns are ignored.
