@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskbook.llm import (bpe, chat, decontaminate, html_text, jaccard, langid, quality, secret_ledger, token_rollup,
-                          vectors)
+from riskbook.llm import (bpe, chat, decontaminate, html_text, jaccard, langid, phrases, quality, secret_ledger,
+                          token_rollup, vectors)
 from riskbook.llm.common import remainder_is, table
 from riskbook.session import materialize, scratch_folder
 
@@ -112,9 +112,14 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lang, rank, phrase, a, l, r, n, score."""
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_quality, op3_secret_scan, op4_vector_dedup, op5_jaccard_join, op6_chat_format, op7_token_counts,
-    op8_bpe_roundtrip, op9_decontaminate, op10_html_text)}
+    op8_bpe_roundtrip, op9_decontaminate, op10_html_text, op11_phrases)}
 
 _KINDS = {
     "assign": r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""",
@@ -192,4 +197,24 @@ items as (select doc_id, count(*) as n_items, string_agg(x, ',' order by x) as x
 select d.doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(xs, '')) as items_sha256,
     coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
 from d left join hit using (doc_id) left join items using (doc_id)""",
+    "op11_phrases": r"""
+with piece as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as t from documents),
+w as (select lang, regexp_extract_all(t, '[^\x20\x09]+') as w from piece),
+total as (select lang, sum(len(w))::bigint as n from w group by lang),
+f as (select lang, g, len(g) as k, count(*)::hugeint as f from (
+    select lang, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])) as g
+    from w, (select unnest([1, 2, 3, 4]) as k) where len(w) >= k) group by lang, g),
+c as (select * from f where k > 1 and f >= 30),
+cut as (select c.lang, c.g, c.f as a, x.i, h.f as l, r.f as r, 2000000 * c.f // (h.f + r.f) as score
+    from c, (select unnest([1, 2, 3]) as i) x, f h, f r
+    where x.i < c.k and h.lang = c.lang and r.lang = c.lang and h.g = c.g[1:x.i] and r.g = c.g[x.i + 1:c.k]),
+best as (select *, row_number() over (partition by lang, g order by score, i) as place from cut),
+inside as (select lang, p as g, max(f) as longer from (
+    select lang, f, unnest(list_transform(range(1, k - s + 2), lambda i: g[i:i + s - 1])) as p
+    from c, (select unnest([2, 3]) as s) where s < k) group by all),
+kept as (select b.* from best b left join inside i on b.lang = i.lang and b.g = i.g where place = 1 and not coalesce(100 * longer >= 80 * a, false)),
+ranked as (select lang, array_to_string(g, ' ') as phrase, a, l, r, score from kept)
+select * from (select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase,
+    a::bigint as a, l::bigint as l, r::bigint as r, n, score::bigint as score from ranked join total using (lang)) where rank <= 2000""",
 }
