@@ -202,19 +202,20 @@ with piece as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_arra
         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as t from documents),
 w as (select lang, regexp_extract_all(t, '[^\x20\x09]+') as w from piece),
 total as (select lang, sum(len(w))::bigint as n from w group by lang),
-f as (select lang, g, len(g) as k, count(*)::hugeint as f from (
-    select lang, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])) as g
-    from w, (select unnest([1, 2, 3, 4]) as k) where len(w) >= k) group by lang, g),
-c as (select * from f where k > 1 and f >= 30),
-cut as (select c.lang, c.g, c.f as a, x.i, h.f as l, r.f as r, 2000000 * c.f // (h.f + r.f) as score
-    from c, (select unnest([1, 2, 3]) as i) x, f h, f r
-    where x.i < c.k and h.lang = c.lang and r.lang = c.lang and h.g = c.g[1:x.i] and r.g = c.g[x.i + 1:c.k]),
+f as (select lang, g, k, count(*)::hugeint as f from (
+    select lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) as g
+    from w, (select unnest([1, 2, 3, 4]) as k) where len(w) >= k) group by lang, g, k),
+c as (select lang, g, k, f, string_split(g, ' ') as w from f where k > 1 and f >= 30),
+cuts as (select lang, g, f as a, i, array_to_string(w[1:i], ' ') as head, array_to_string(w[i + 1:k], ' ') as rest
+    from (select *, unnest(range(1, k)) as i from c)),
+cut as (select t.lang, t.g, a, i, h.f as l, r.f as r, 2000000 * a // (h.f + r.f) as score
+    from cuts t join f h on h.lang = t.lang and h.g = t.head join f r on r.lang = t.lang and r.g = t.rest),
 best as (select *, row_number() over (partition by lang, g order by score, i) as place from cut),
 inside as (select lang, p as g, max(f) as longer from (
-    select lang, f, unnest(list_transform(range(1, k - s + 2), lambda i: g[i:i + s - 1])) as p
+    select lang, f, unnest(list_transform(range(1, k - s + 2), lambda i: array_to_string(w[i:i + s - 1], ' '))) as p
     from c, (select unnest([2, 3]) as s) where s < k) group by all),
 kept as (select b.* from best b left join inside i on b.lang = i.lang and b.g = i.g where place = 1 and not coalesce(100 * longer >= 80 * a, false)),
-ranked as (select lang, array_to_string(g, ' ') as phrase, a, l, r, score from kept)
+ranked as (select lang, g as phrase, a, l, r, score from kept)
 select * from (select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase,
     a::bigint as a, l::bigint as l, r::bigint as r, n, score::bigint as score from ranked join total using (lang)) where rank <= 2000""",
 }
