@@ -3,38 +3,41 @@
 The occurrence relation of length k holds, for each place in a piece of text, the frequent phrase of k
 words that starts there. It is written in its own order, as blocks: a block holds whole pieces of one
 language, its rows are the entries of an array, and the entry's index is its place. -1 stands where no
-frequent phrase starts and at the end of a piece, so equal piece and adjacent place is an index beside it.
+frequent phrase starts and at the end of a piece (the last entry of every block), so equal piece and
+adjacent place is an index beside it. Blocks are small, as Spark and Arrow read thousands at once.
 A round merge-joins the relation with itself at adjacent places (a phrase of k + 1 words is two of k
 words that overlap), counts the groups, keeps those seen often enough, and semi-joins the occurrences
 with them before the next length. Every word of a frequent phrase is frequent, and so are its parts, so
 nothing is lost.
 
 Block-local work is NumPy; groups are pre-counted in a task, then summed by Spark. The frequent groups
-reach the blocks as a broadcast array if there are at most ``most_broadcast`` of them, else by a join of
+reach the blocks as a broadcast table if there are at most ``most_broadcast`` of them, else by a join of
 each block's distinct groups with the table of frequent ones: the same result by either way.
 
 A candidate's score is 2,000,000 a / (l + r), rounded down, for the cut into two parts that gives the
 least; a, l, r are the counts of the phrase and of its parts, as exact decimals.
 
-Defined cases: null texts are empty; a null language is ``und``; repeated rows each count; a text of any
-length is one row and may be a block by itself; empty tables give no rows; other columns are ignored.
+Defined cases: null texts are empty; a null language is ``und``; repeated rows each count; texts of any
+length are cut into blocks where pieces end, a longer piece is a block by itself; empty tables give no
+rows; other columns are ignored.
 """
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskbook.llm.common import slices
 from riskbook.session import drop_folder, materialize, scratch_folder
 
 #: The bytes that end a piece, and those between words.
 PIECE_END, WORD_END = b".,;:!?\x0a\x0b\x0c\x0d", b"\x20\x09"
 #: Words of a block, and groups that a task counts before it hands them on.
-BLOCK, HELD = 1 << 18, 1 << 20
+BLOCK, HELD = 1 << 10, 1 << 17
 _FOLD = bytes.maketrans(PIECE_END + b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t", b"." * len(PIECE_END) + b"abcdefghijklmnopqrstuvwxyz ")
 
 
@@ -66,21 +69,27 @@ def _count_words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield from rows()
 
 
+def _ends(marks: np.ndarray) -> list[int]:
+    """Where to cut a list of words into blocks of at least BLOCK words; ``marks``: places of piece ends."""
+    ends, at = [], 0
+    while len(marks) and at <= marks[-1]:
+        at = int(marks[np.searchsorted(marks, min(at + BLOCK - 1, marks[-1]))]) + 1
+        ends.append(at)
+    return ends
+
+
 def _blocks(lookup, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The relation of length 1 as blocks; ``lookup(lang, words)`` gives the entries of a block."""
-    held: dict[str, list[bytes]] = {}
+    """The relation of length 1 as blocks; ``lookup(lang, words, ends)`` gives the rows of some blocks."""
     for frame in frames:
-        for lang, text in zip(frame["lang"], frame["text"], strict=True):
+        held: dict[str, list[bytes]] = {}
+        for k, (lang, text) in enumerate(zip(frame["lang"], frame["text"], strict=True), 1):
             words = held.setdefault(lang, [])
             words += words_of(text)
             words.append(b".")
-            if len(words) >= BLOCK:
-                yield lookup(lang, held.pop(lang))
-        while sum(map(len, held.values())) > 4 * BLOCK:
-            largest = max(held, key=lambda k: len(held[k]))
-            yield lookup(largest, held.pop(largest))
-    for lang, words in held.items():
-        yield lookup(lang, words)
+            if len(words) >= HELD or k == len(frame):
+                for one in [lang] if k < len(frame) else list(held):
+                    words = held.pop(one)
+                    yield lookup(one, words, _ends(np.flatnonzero(np.fromiter((w == b"." for w in words), bool, len(words)))))
 
 
 def _pairs(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -103,19 +112,27 @@ def _distinct(a: np.ndarray, b: np.ndarray, weights: np.ndarray | None = None) -
 def _count_pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     held, size = [], 0
     for frame in frames:
-        for block in frame["entries"]:
-            held.append(_distinct(*_pairs(np.frombuffer(block, dtype=np.int64))[1:]))
+        for i, j in slices(frame["entries"].map(len), 8 * HELD):
+            held.append(_distinct(*_pairs(_joined(frame["entries"].iloc[i:j]))[1:]))
             size += len(held[-1][0])
-            if size > 2 * HELD:
+            if size > 4 * HELD:
                 held = [_distinct(*map(np.concatenate, zip(*held, strict=True)))]
                 size = len(held[0][0])
-                if size > HELD:
+                if size > 2 * HELD:
                     yield pd.DataFrame(dict(zip("abn", held.pop(), strict=True)))
                     size = 0
     if held:
         yield pd.DataFrame(dict(zip("abn", _distinct(*map(np.concatenate, zip(*held, strict=True))), strict=True)))
 
 
+def _joined(blocks: Iterable[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(blocks), dtype=np.int64)
+
+
+def _cut(entries: np.ndarray, ends: Iterable[int]) -> list[bytes]:
+    return [part.tobytes() for part in np.split(entries.astype(np.int64), list(ends)[:-1])]
+
+
 def _written(df: DataFrame, made: list[str]) -> DataFrame:
     """Written and read again; the folder is added to ``made``."""
     spark, path = df.sparkSession, scratch_folder(df.sparkSession, "phrases")
@@ -134,101 +151,99 @@ def _with_ids(groups: DataFrame) -> DataFrame:
     return rows.select((offset[part] + F.col("at").bitwiseAND((1 << 33) - 1)).cast("long").alias("id"), *[c for c in rows.columns if c != "at"])
 
 
-def _entries(found: np.ndarray) -> bytes:
-    return found.astype(np.int64).tobytes()
-
-
 def _first_relation(texts: DataFrame, words: DataFrame, small: bool, made: list[str]) -> DataFrame:
-    """(block, entries): the occurrences of the frequent words."""
+    """(entries): the occurrences of the frequent words."""
     if small:
         known: dict[str, dict[bytes, int]] = {}
         for row in words.select("lang", "phrase", "id").toLocalIterator():
             known.setdefault(row["lang"], {})[row["phrase"].encode("utf-8")] = row["id"]
         shared = texts.sparkSession.sparkContext.broadcast(known)
 
-        def lookup(lang, found):
+        def lookup(lang, found, ends):
             get = shared.value.get(lang, {}).get
-            return pd.DataFrame({"entries": [_entries(np.array([get(w, -1) for w in found], dtype=np.int64))]})
+            return pd.DataFrame({"entries": _cut(np.fromiter((get(w, -1) for w in found), np.int64, len(found)), ends)})
 
         return texts.mapInPandas(lambda frames: _blocks(lookup, frames), "entries binary")
 
-    def local(lang, found):
-        kinds = {w: k for k, w in enumerate(dict.fromkeys(found))}
-        return pd.DataFrame({"lang": [lang], "words": [[w.decode("utf-8") for w in kinds]],
-                             "entries": [np.array([kinds[w] for w in found], dtype=np.int32).tobytes()]})
-
-    blocks = texts.mapInPandas(lambda frames: _blocks(local, frames), "lang string, words array<string>, entries binary")
-    blocks = _written(blocks.withColumn("block", F.monotonically_increasing_id()), made)
-    kinds = blocks.select("block", "lang", F.posexplode("words").alias("k", "phrase")).join(words, ["lang", "phrase"])
-    return _renamed(blocks.select("block", "entries"), kinds.select("block", "k", "id"), np.int32)
-
-
-def _renamed(blocks: DataFrame, kinds: DataFrame, kind) -> DataFrame:
-    """Blocks whose entries count their own distinct groups, with the ids of the frequent ones instead."""
-    of = kinds.groupBy("block").agg(F.collect_list(F.struct("k", "id")).alias("kinds")).select(
-        "block", F.col("kinds.k").alias("ks"), F.col("kinds.id").alias("ids"))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for entries, ks, ids in zip(frame["entries"], frame["ks"], frame["ids"], strict=True):
-                local = np.frombuffer(entries, dtype=kind)
-                names = np.full(int(local.max(initial=-1)) + 2, -1, dtype=np.int64)  # the last: no group
-                if ks is not None:
-                    names[np.asarray(ks, dtype=np.int64)] = np.asarray(ids, dtype=np.int64)
-                out.append(_entries(names[local]))
-            yield pd.DataFrame({"entries": out})
+    def local(lang, found, ends):
+        rows = []
+        for start, end in zip([0, *ends], ends, strict=False):
+            kinds = {w: k for k, w in enumerate(dict.fromkeys(found[start:end]))}
+            rows.append((lang, [w.decode("utf-8") for w in kinds], np.array([kinds[w] for w in found[start:end]], dtype=np.int64).tobytes()))
+        return pd.DataFrame(rows, columns=["lang", "kinds", "entries"])
 
-    return blocks.join(of, "block", "left").mapInPandas(run, "entries binary")
+    blocks = _written(texts.mapInPandas(lambda frames: _blocks(local, frames), "lang string, kinds array<string>, entries binary")
+                      .withColumn("block", F.monotonically_increasing_id()), made)
+    found = blocks.select("block", "lang", F.posexplode("kinds").alias("k", "phrase")).join(words, ["lang", "phrase"])
+    return _renamed(blocks, found)
 
 
 def _next_relation(blocks: DataFrame, groups: DataFrame, small: bool, made: list[str]) -> DataFrame:
-    """Occurrences one word longer: adjacent ones joined, those of frequent groups alone."""
+    """(entries): occurrences one word longer, adjacent ones joined; those of frequent groups alone."""
     if small:
         rows = groups.select("a", "b", "id").toPandas().sort_values(["a", "b"])
         shared = blocks.sparkSession.sparkContext.broadcast(tuple(rows[c].to_numpy(dtype=np.int64) for c in ("a", "b", "id")))
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             a, b, ids = shared.value
-            kinds, start = np.unique(a, return_index=True)
-            width = int(b.max(initial=0)) + 1
-            keys = np.searchsorted(kinds, a) * width + b  # sorted; the product is below 2^63 by the bound on the rows
+            heads, tails = np.unique(a), np.unique(b)  # no more of them than rows, so a product is below 2^63
+            keys = np.searchsorted(heads, a) * len(tails) + np.searchsorted(tails, b)
             for frame in frames:
-                out = []
-                for block in frame["entries"]:
-                    entries = np.frombuffer(block, dtype=np.int64)
+                for i, j in slices(frame["entries"].map(len), 8 * HELD):
+                    part = frame["entries"].iloc[i:j]
+                    entries = _joined(part)
                     found = np.full(len(entries), -1, dtype=np.int64)
                     at, x, y = _pairs(entries)
                     if len(keys) and len(at):
-                        first = np.minimum(np.searchsorted(kinds, x), len(kinds) - 1)
-                        key = first * width + y
+                        head = np.minimum(np.searchsorted(heads, x), len(heads) - 1)
+                        tail = np.minimum(np.searchsorted(tails, y), len(tails) - 1)
+                        key = head * len(tails) + tail
                         place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                        same = (kinds[first] == x) & (y < width) & (keys[place] == key)
+                        same = (heads[head] == x) & (tails[tail] == y) & (keys[place] == key)
                         found[at[same]] = ids[place[same]]
-                    out.append(_entries(found))
-                yield pd.DataFrame({"entries": out})
+                    yield pd.DataFrame({"entries": _cut(found, np.cumsum(part.map(len)) // 8)})
 
         return blocks.mapInPandas(run, "entries binary")
 
     def local(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
+            out = []
             for block in frame["entries"]:
                 entries = np.frombuffer(block, dtype=np.int64)
                 at, x, y = _pairs(entries)
                 a, b, _ = _distinct(x, y)
-                kinds = pd.MultiIndex.from_arrays([a, b])
                 found = np.full(len(entries), -1, dtype=np.int64)
-                found[at] = kinds.get_indexer(pd.MultiIndex.from_arrays([x, y]))
-                yield pd.DataFrame({"entries": [_entries(found)], "a": [a], "b": [b]})
+                found[at] = pd.MultiIndex.from_arrays([a, b]).get_indexer(pd.MultiIndex.from_arrays([x, y]))
+                out.append((found.tobytes(), a, b))
+            yield pd.DataFrame(out, columns=["entries", "a", "b"])
 
     numbered = _written(blocks.mapInPandas(local, "entries binary, a array<long>, b array<long>")
                         .withColumn("block", F.monotonically_increasing_id()), made)
-    kinds = numbered.select("block", F.posexplode(F.arrays_zip("a", "b")).alias("k", "g")).select("block", "k", "g.a", "g.b").join(groups, ["a", "b"])
-    return _renamed(numbered.select("block", "entries"), kinds.select("block", "k", "id"), np.int64)
+    found = numbered.select("block", F.posexplode(F.arrays_zip("a", "b")).alias("k", "g")).select("block", "k", "g.a", "g.b").join(groups, ["a", "b"])
+    return _renamed(numbered, found)
+
+
+def _renamed(blocks: DataFrame, found: DataFrame) -> DataFrame:
+    """The blocks with ids of frequent groups; before, their entries number the block's own groups."""
+    of = found.groupBy("block").agg(F.collect_list(F.struct("k", "id")).alias("kinds")).select(
+        "block", F.col("kinds.k").alias("ks"), F.col("kinds.id").alias("ids"))  # at most one for each entry of the block
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for entries, ks, ids in zip(frame["entries"], frame["ks"], frame["ids"], strict=True):
+                local = np.frombuffer(entries, dtype=np.int64)
+                names = np.full(int(local.max(initial=-1)) + 2, -1, dtype=np.int64)  # the last: no group
+                if ks is not None:
+                    names[np.asarray(ks, dtype=np.int64)] = np.asarray(ids, dtype=np.int64)
+                out.append(names[local].tobytes())
+            yield pd.DataFrame({"entries": out})
+
+    return blocks.select("block", "entries").join(of, "block", "left").mapInPandas(run, "entries binary")
 
 
 def frequent_phrases(df: DataFrame, text_col: str = "text", lang_col: str = "lang", longest: int = 4, least: int = 30,
-                     most_broadcast: int = 300_000) -> tuple[list[DataFrame], DataFrame]:
+                     most_broadcast: int = 1_000_000) -> tuple[list[DataFrame], DataFrame]:
     """Tables (id, lang, phrase, f) of the phrases of 1, 2, ... ``longest`` words seen ``least`` times in
     their language, and (lang, n) with all word occurrences of each language."""
     texts, made, tables = _texts(df, text_col, lang_col), [], []
@@ -263,7 +278,7 @@ def _part(phrase: str, start, length) -> Column:
 
 
 def collocations(df: DataFrame, text_col: str = "text", lang_col: str = "lang", longest: int = 4, least: int = 30,
-                 share: int = 80, top: int | None = 2_000, most_broadcast: int = 300_000) -> DataFrame:
+                 share: int = 80, top: int | None = 2_000, most_broadcast: int = 1_000_000) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the best ``top`` phrases of each language (None: all,
     rank null). A phrase goes if a longer candidate holds it and has ``share`` percent of its count."""
     tables, totals = frequent_phrases(df, text_col, lang_col, longest, least, most_broadcast)

@@ -50,10 +50,10 @@ def frame(spark, rows):
                                  "doc_id long, lang string, text string, score double, id long, phrase string, f long")
 
 
-@pytest.mark.parametrize("bound", [300_000, 0])
-@pytest.mark.parametrize("block", [1 << 18, 40])
+@pytest.mark.parametrize("bound,block", [(300_000, 1 << 10), (300_000, 30), (0, 30)])
 def test_equals_brute_force(spark, monkeypatch, bound, block):
     monkeypatch.setattr(phrases, "BLOCK", block)
+    monkeypatch.setattr(phrases, "HELD", 4 * block)
     rows = salad(1, 150) + [(None, None), ("en", ""), ("en", " \t. ,")]
     got = phrases.collocations(frame(spark, rows).repartition(3), least=5, top=15, most_broadcast=bound).select(COLUMNS).collect()
     assert sorted(map(tuple, got)) == brute(rows, 5, 15)
