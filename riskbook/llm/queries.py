@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskbook.llm import (bpe, chat, decontaminate, html_text, jaccard, langid, phrases, quality, secret_ledger,
-                          token_rollup, vectors)
+                          token_rollup, toxicity, vectors)
 from riskbook.llm.common import remainder_is, table
 from riskbook.session import materialize, scratch_folder
 
@@ -117,9 +117,20 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted."""
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    usable = F.col("doc_id").isNotNull() & ~remainder_is("doc_id", 5, 0)
+    model = toxicity.fit(docs.select("doc_id", "text").join(labels.where(usable & F.col("toxic").isNotNull()), "doc_id"), usable)
+    out = toxicity.score(docs, model)
+    return out.select(F.col("id").alias("doc_id"), remainder_is("id", 5, 0).alias("held_out"), "score",
+                      (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_quality, op3_secret_scan, op4_vector_dedup, op5_jaccard_join, op6_chat_format, op7_token_counts,
-    op8_bpe_roundtrip, op9_decontaminate, op10_html_text, op11_phrases)}
+    op8_bpe_roundtrip, op9_decontaminate, op10_html_text, op11_phrases, op12_toxicity)}
 
 _KINDS = {
     "assign": r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""",
