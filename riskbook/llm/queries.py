@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskbook.llm import (bpe, chat, decontaminate, html_text, jaccard, langid, phrases, quality, secret_ledger,
+from riskbook.llm import (bpe, chat, decontaminate, html_text, jaccard, langid, phrases, quality, repair, secret_ledger,
                           token_rollup, toxicity, vectors)
 from riskbook.llm.common import remainder_is, table
 from riskbook.session import materialize, scratch_folder
@@ -128,9 +128,20 @@ def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                       (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op13_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit, repaired_sha256."""
+    chats = table(spark, sf_dir, "conversations")
+    out = repair.repair(repair.damage(chats))
+    every = chats.select("conv_id").distinct()
+    found = every.join(out, every["conv_id"].eqNullSafe(out["conv"]), "left")
+    counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return found.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"),
+                        F.sha2(F.coalesce("repaired", F.lit("")), 256).alias("repaired_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_quality, op3_secret_scan, op4_vector_dedup, op5_jaccard_join, op6_chat_format, op7_token_counts,
-    op8_bpe_roundtrip, op9_decontaminate, op10_html_text, op11_phrases, op12_toxicity)}
+    op8_bpe_roundtrip, op9_decontaminate, op10_html_text, op11_phrases, op12_toxicity, op13_chat_repair)}
 
 _KINDS = {
     "assign": r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""",
@@ -141,6 +152,21 @@ _FOUND = " union all ".join(f"""
     select doc_id, regexp_extract_all(t, '{p}', 0) as m, regexp_extract_all(t, '{p}', {_LEAST[kind][0]}) as q,
            regexp_split_to_array(t, '{p}') as g from d)""" for no, (kind, p) in enumerate(_KINDS.items()))
 
+
+
+def _edit(old: str, letters: str, cost: str) -> str:
+    """A state of the repair with edits behind it: ten digits of cost, then the edits."""
+    return f"lpad((left({old}, 10)::bigint + {cost})::varchar, 10, '0') || substr({old}, 11) || '{letters}'"
+
+
+_CLOSED = f"""f0 as c0, f1 as c1, least(f2, {_edit('f0', 'I', '2')}, {_edit('f1', 'I', '2')}, {_edit('f3', 'I', '2')}) as c2,
+        least(f3, {_edit('f2', 'I', '2')}, {_edit('f0', 'II', '4')}, {_edit('f1', 'II', '4')}) as c3"""
+_STEP = {q: [_edit(f"c{q}", "D", "3")] for q in range(4)}
+for _q, _from, _initial in ((1, (0,), "s"), (2, (0, 1, 3), "u"), (3, (2,), "a")):
+    _STEP[_q] += [f"case when stays and initial = '{_initial}' then {_edit(f'c{x}', 'K', 'cut')} end" for x in _from]
+    if _initial != "s":
+        _STEP[_q] += [f"case when stays then {_edit(f'c{x}', 'R', '2 + cut')} end" for x in _from]
+
 ORACLES = {
     "op3_secret_scan": f"""
 with d as (select doc_id, coalesce(text, '') as t from documents),
@@ -229,4 +255,36 @@ kept as (select b.* from best b left join inside i on b.lang = i.lang and b.g =
 ranked as (select lang, g as phrase, a, l, r, score from kept)
 select * from (select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase,
     a::bigint as a, l::bigint as l, r::bigint as r, n, score::bigint as score from ranked join total using (lang)) where rank <= 2000""",
+    "op13_chat_repair": rf"""
+with recursive base as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+    coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as key from conversations),
+crc as (select *, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(key, ''), lambda x: ascii(x)::bigint)), lambda c, b:
+    list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 20 as fault from base),
+rows as (select conv_id, turn, case when fault = 4 then 'user' else role end as role,
+    case fault when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+    unnest(range(case when fault = 3 then 2 else 1 end)) as copy from crc where fault != 0),
+placed as (select *, row_number() over (partition by conv_id order by turn nulls first, sha256(length(role) || ':' || role || text), copy) as i,
+    left(role, 1) as initial, regexp_replace(text, '[\x20\x09-\x0D]', '', 'g') as bare from rows),
+named as (select *, row_number() over (partition by conv_id, role, text order by i) > 1 as again, lag(initial) over (partition by conv_id order by i) as prior from placed),
+marked as (select *, bare != '' and not again as stays, (right(bare, 1) not in ('.', '!', '?'))::bigint as cut from named),
+steps as (
+    select conv_id, 0::bigint as i, '0000000000' as f0, null::varchar as f1, null::varchar as f2, null::varchar as f3 from (select distinct conv_id from marked)
+    union all
+    select conv_id, i, {', '.join(f"least({', '.join(x)})" for x in _STEP.values())} from (
+        select m.conv_id, m.i, stays, initial, cut, {_CLOSED} from steps s join marked m on m.conv_id is not distinct from s.conv_id and m.i = s.i + 1)),
+ends as (select conv_id, least(c0, c3) as e from (select conv_id, {_CLOSED} from steps s
+    where i = (select count(*) from marked m where m.conv_id is not distinct from s.conv_id))),
+letters as (select conv_id, unnest(string_split(substr(e, 11), '')) as x, unnest(range(1, length(e) - 9)) as p from ends where length(e) > 10),
+placed_letters as (select *, sum((x != 'I')::int) over w as i, sum((x != 'D')::int) over w as o from letters window w as (partition by conv_id order by p)),
+made as (select a.*, m.role, m.text, m.initial from placed_letters a left join marked m on x != 'I' and m.conv_id is not distinct from a.conv_id and m.i = a.i where x != 'D'),
+lines as (select *, max((o = 1 and x = 'K' and initial = 's')::int) over (partition by conv_id) as begun from made),
+whole as (select conv_id, string_agg(case when x = 'K' then role when (o - begun) % 2 = 1 then 'user' else 'assistant' end || ':' ||
+    case when x = 'I' then '' else text end, chr(10) order by p) as repaired from lines group by conv_id),
+counted as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (bare = '') as blank,
+    count(*) filter (bare != '' and again) as duplicate, count(*) filter (stays and cut = 1) as truncated,
+    count(*) filter (prior is not null and (prior || initial) not in ('su', 'ua', 'au')) as illegal from marked group by conv_id)
+select b.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated,
+    coalesce(illegal, 0) as illegal, coalesce(left(e, 10)::bigint, 0) as cost, coalesce(substr(e, 11), '') as audit, sha256(coalesce(repaired, '')) as repaired_sha256
+from (select distinct conv_id from base) b left join counted c on c.conv_id is not distinct from b.conv_id
+left join ends e on e.conv_id is not distinct from b.conv_id left join whole w on w.conv_id is not distinct from b.conv_id""",
 }
