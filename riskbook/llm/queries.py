@@ -120,9 +120,7 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted."""
     docs = table(spark, sf_dir, "documents")
-    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    usable = F.col("doc_id").isNotNull() & ~remainder_is("doc_id", 5, 0)
-    model = toxicity.fit(docs.select("doc_id", "text").join(labels.where(usable & F.col("toxic").isNotNull()), "doc_id"), usable)
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~remainder_is("doc_id", 5, 0))
     out = toxicity.score(docs, model)
     return out.select(F.col("id").alias("doc_id"), remainder_is("id", 5, 0).alias("held_out"), "score",
                       (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -116,16 +116,17 @@ def _sampled(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                             "shares": [s.astype(np.float32).tobytes() for _, s in found]})
 
 
-def fit(df: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
+def fit(df: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
         fit_docs: int = 2_400, least_texts: int = 10, **training) -> Model:
-    """Model from the rows for which ``usable`` holds and whose text and label aren't null.
+    """Model from the labels for which ``usable`` holds and whose id and label aren't null, and their texts.
 
-    The driver receives the features of at most about ``fit_docs`` texts, as many of each class where
-    there are so many; the classes' shares are counted over all labelled rows.
+    Labels are drawn before texts are joined to them, so the join's small side has at most about
+    ``fit_docs`` rows, as many of each class where there are so many; their features are all that the
+    driver receives. The classes' shares are counted over all usable labels.
     """
-    labelled = df.where(usable & F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(label_col).cast("int").alias("label"), F.col(text_col).alias("text"), F.xxhash64(F.lit("toxicity"), F.col(id_col)).alias("h"))
-    counts = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
+    given = labels.where(usable & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(
+        F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"), F.xxhash64(F.lit("toxicity"), F.col(id_col)).alias("h"))
+    counts = {r["label"]: r["count"] for r in given.groupBy("label").count().collect()}
     classes = sorted(counts)
     if not classes:
         return Model(np.zeros((BUCKETS, 2), dtype=np.float32), np.zeros(2), [0, 1])
@@ -133,7 +134,9 @@ def fit(df: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "
     limit = F.lit(0)
     for c in classes:
         limit = F.when(F.col("label") == c, F.lit(min(parts, int(parts * fit_docs / (len(classes) * counts[c]))))).otherwise(limit)
-    sample = labelled.where(F.pmod("h", F.lit(parts)) < limit)
+    drawn = given.where(F.pmod("h", F.lit(parts)) < limit)
+    texts = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    sample = texts.join(F.broadcast(drawn), "id").select("label", "text", "h")
     rows = (sample.mapInPandas(_sampled, "label int, h long, at binary, shares binary").toPandas()
             .sort_values(["h", "label"], kind="stable"))
     texts = [(np.frombuffer(a, dtype=np.int32), np.frombuffer(s, dtype=np.float32).astype(np.float64)) for a, s in zip(rows["at"], rows["shares"], strict=True)]

@@ -70,8 +70,12 @@ def labelled(spark, n=80):
     return spark.createDataFrame(rows, "doc_id long, text string, toxic int")
 
 
+def fitted(rows, **args):
+    return toxicity.fit(rows.select("doc_id", "text"), rows.select("doc_id", "toxic"), F.lit(True), **args)
+
+
 def test_scores_equal_plain_loops_and_awkward_rows_stand(spark):
-    model = toxicity.fit(labelled(spark), F.lit(True))
+    model = fitted(labelled(spark))
     texts = [(1, CLEAN[0]), (2, BAD[0]), (3, "stupidd idiots and morrons"), (4, None), (5, ""), (5, " \n.!"), (None, BAD[1]), (7, CLEAN[1] * 30_000), (8, BAD[0]), (8, BAD[0])]
     got = [r["score"] for r in toxicity.score(docs_frame(spark, texts).coalesce(1), model).collect()]
     for (_, text), x in zip(texts[:7], got, strict=False):
@@ -85,13 +89,13 @@ def test_fit_keeps_to_its_bound_and_draws_classes_alike(spark, monkeypatch):
     train = toxicity.train
     monkeypatch.setattr(toxicity, "train", lambda texts, labels, *a, **b: drawn.append(np.bincount(labels)) or train(texts, labels, *a, **b))
     rows = labelled(spark, 4000).unionByName(labelled(spark, 4000).where("toxic = 0").withColumn("doc_id", F.col("doc_id") + 10_000))
-    toxicity.fit(rows, F.lit(True), fit_docs=200, epochs=1)
+    fitted(rows, fit_docs=200, epochs=1)
     assert all(50 < n < 160 for n in drawn[0])
 
 
 def test_no_labels(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, toxic int")
-    model = toxicity.fit(empty, F.lit(True))
+    model = fitted(empty)
     assert toxicity.score(docs_frame(spark, [(1, "x")]), model).collect()[0]["score"] == 0.5
     assert toxicity.score(empty, model).count() == 0
 
