@@ -45,11 +45,12 @@ def main(argv: list[str] | None = None) -> int:
         from riskbook.sources.book import build_book
         IO.write_policies(build_book(spark, a.tables), a.out)
     elif a.cmd == "train":
-        from riskbook.ml.score import evaluate, train_all
+        from riskbook.ml.score import evaluate, test_split, train_all
         from riskbook.sources.models import save_model
-        bundle = train_all(IO.read_policies(spark, a.book))
+        book = IO.read_policies(spark, a.book)
+        bundle = train_all(book)
         save_model(bundle, spark, a.model)
-        for k, v in evaluate(bundle):
+        for k, v in evaluate(bundle, test_split(book, bundle)):
             print(f"{k:32s} {v}")
     elif a.cmd == "score":
         from riskbook.ml.score import score_book

@@ -11,7 +11,7 @@ from riskbook.functions.columns import rnd
 from riskbook.ml import attribution as AT
 from riskbook.ml import glm as G
 from riskbook.ml.ensemble import tree_importances
-from riskbook.ml.score import evaluate, ml_pair, score_book, train_all
+from riskbook.ml.score import evaluate, ml_pair, score_book, test_split, train_all
 from riskbook.operators.sampling import split
 from riskbook.sources import io as IO
 
@@ -76,7 +76,7 @@ def q_m5(spark, sf_dir):
 def q_m6(spark, sf_dir):
     b = bundle(spark, sf_dir)
     allp = b.prep.encoded(book(spark, sf_dir), keep=["policy_id"])
-    out = b.mhat.base.transform(allp)
+    out = b.mhat.base_learners(allp)
     return out.select("policy_id", rnd(F.col("p_rf"), 6).alias("p_rf"), rnd(F.col("p_gbt"), 6).alias("p_gbt"),
                       rnd(F.col("p_et"), 6).alias("p_et"))
 
@@ -108,7 +108,7 @@ def q_m10(spark, sf_dir):
 
 @query("model_eval")
 def q_m11(spark, sf_dir):
-    return spark.createDataFrame(evaluate(bundle(spark, sf_dir)), "metric string, value double")
+    return spark.createDataFrame(evaluate(bundle(spark, sf_dir), test_split(book(spark, sf_dir), bundle(spark, sf_dir))), "metric string, value double")
 
 
 @query("glm_attribution")
@@ -169,11 +169,10 @@ def q_m16(spark, sf_dir):
 
 @query("save_model")
 def q_s4_save(spark, sf_dir):
-    """S4 (write): parameter tables and pipelines of the fitted bundle; lists what was saved."""
-    from riskbook.sources.models import save_model
+    """S4 (write): a new version of the fitted bundle; lists the tables that its manifest commits."""
+    from riskbook.sources.models import committed, save_model
     path = save_model(bundle(spark, sf_dir), spark, IO.scratch_path(spark, "model"))
-    parts = ["encoder", "impute_means", "scaler", "glm", "cells", "scalars"]
-    rows = [(p, spark.read.parquet(f"{path}/{p}").count()) for p in parts]
+    rows = [(name, n) for name, (n, _) in committed(spark, path)["tables"].items()]
     return spark.createDataFrame(rows, "part string, rows long")
 
 

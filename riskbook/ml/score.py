@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from riskbook.functions.bands import risk_band, uw_action
 from riskbook.functions.columns import clip, lit_d, rnd
-from riskbook.ml.ensemble import DisplayModels, EnsembleParams, MHatModel, fit_display, fit_mhat
+from riskbook.ml.ensemble import DisplayModels, EnsembleParams, MHatModel, fit_ensemble
 from riskbook.ml.glm import GLM, LAMBDA_CLIP, MU_CLIP, fit_gamma, fit_poisson, fit_tweedie
 from riskbook.ml.prep import Prep
 from riskbook.operators import experience as X
@@ -87,20 +87,14 @@ def train_all(book: DataFrame, params: EnsembleParams = EnsembleParams(), alpha:
     tr_t = X.normalised_target(tr_g, study).persist(StorageLevel.MEMORY_AND_DISK)
     va = _cell(prep.scaled(sp["val"], keep=KEEP))
     va_t = X.normalised_target(va, study)
-    cols = KEEP + list(dict.fromkeys(prep_cols(prep))) + ["cell", "m_target"]
-    stack = union_train_val(tr_t.select(*cols), va_t.select(*cols)).withColumn("fold", fold_id(params.folds))
-    stack = stack.persist(StorageLevel.MEMORY_AND_DISK)
+    cols = KEEP + list(dict.fromkeys(prep_cols(prep))) + ["cell", "m_target", "train"]
+    stack = union_train_val(tr_t.withColumn("train", F.lit(True)).select(*cols), va_t.withColumn("train", F.lit(False)).select(*cols))
+    stack = stack.withColumns({"fold": fold_id(params.folds), "h": F.xxhash64("policy_id")}).persist(StorageLevel.MEMORY_AND_DISK)
     lap("oe_study")
-    from concurrent.futures import ThreadPoolExecutor
-    with ThreadPoolExecutor(max_workers=2) as pool:       # independent fits, concurrent jobs
-        disp_f = pool.submit(fit_display, tr_t)
-        mhat = fit_mhat(tr_t, stack, params)
-        display = disp_f.result()
+    mhat, display = fit_ensemble(stack, params)
     lap("ensemble_and_display")
-    # anchors and evaluation on the test split
-    te = _with_glm(_cell(prep.scaled(sp["test"], keep=KEEP)), poisson, gamma)
-    te = mhat.transform(te).withColumn("el_baseline", F.col("glm_el")) \
-        .withColumn("el_full", F.col("glm_el") * F.col("m_hat")).persist(StorageLevel.MEMORY_AND_DISK)
+    # anchors on the test split
+    te = _test_rows(sp["test"], prep, poisson, gamma, mhat).persist(StorageLevel.MEMORY_AND_DISK)
     el_min = exact_quantiles(te, "el_baseline", [0.01])[("", 0.01)] or 1.0
     el_max = exact_quantiles(te, "el_full", [0.99])[("", 0.99)] or 2.0
     bundle = ModelBundle(prep, poisson, gamma, tweedie, mhat, display, cells_rows, study.scale_factor,
@@ -108,13 +102,21 @@ def train_all(book: DataFrame, params: EnsembleParams = EnsembleParams(), alpha:
     lap("test_anchors")
     bundle.metrics = {"n_train": tr.count(), "n_cells": len(cells_rows), "scale_factor": study.scale_factor,
                       "overall_oe_train": study.overall_oe, **{"sec_" + k: v for k, v in timings.items()}}
-    bundle._test = te            # kept for evaluate(); not persisted by save_model
-    bundle._study = study
-    for d in (tr, tr_t, stack):
+    for d in (tr, tr_t, stack, te):
         d.unpersist()
     return bundle
 
 
+def _test_rows(df: DataFrame, prep: Prep, poisson: GLM, gamma: GLM, mhat: MHatModel) -> DataFrame:
+    te = mhat.transform(_with_glm(_cell(prep.scaled(df, keep=KEEP)), poisson, gamma))
+    return te.withColumns({"el_baseline": F.col("glm_el"), "el_full": F.col("glm_el") * F.col("m_hat")})
+
+
+def test_split(book: DataFrame, b: ModelBundle) -> DataFrame:
+    """The held-out rows of ``book``, scored for ``evaluate``; the bundle may be a loaded one."""
+    return b.display.transform(_test_rows(split(book)["test"], b.prep, b.poisson, b.gamma, b.mhat))
+
+
 def prep_cols(prep: Prep) -> list[str]:
     from riskbook.plans.features import SEV_FEATS, T12
     return list(dict.fromkeys(SEV_FEATS + ["defensible_space_score"])) + ["z_" + c for c in T12]
@@ -164,13 +166,29 @@ def ml_pair(scored: DataFrame, book: DataFrame | None = None) -> DataFrame:
     return scored.select(*cols)
 
 
-def evaluate(b: ModelBundle) -> list[tuple[str, float]]:
-    """Holdout report on the test split."""
+def evaluate(b: ModelBundle, te: DataFrame) -> list[tuple[str, float]]:
+    """Holdout report on the scored test rows (``test_split``): the GLMs by themselves, baseline and
+    full chain, M-hat against test experience and true multiplier, display models, scores."""
     from riskbook.operators.curves import decile_loss_ratio, gini
-    te = b._test
+    te = te.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _evaluated(b, te, decile_loss_ratio, gini)
+    finally:
+        te.unpersist()
+
+
+def _evaluated(b: ModelBundle, te: DataFrame, decile_loss_ratio, gini) -> list[tuple[str, float]]:
     out: list[tuple[str, float]] = []
     r2 = X.reg_metrics(te, "expected_loss_true", "el_baseline").first()
     out.append(("glm_r2_vs_true_el", r2["r2"]))
+    claimants = te.where("claim_occurred = 1")
+    out += [("poisson_gini_occurrence", gini(te, "claim_occurred", "lambda_glm")), ("gamma_gini_claimants", gini(claimants, "claim_amount", "mu_glm"))]
+    means = te.agg(*[F.avg(c).alias(c) for c in ("lambda_glm", "mu_glm", "el_baseline", "el_full", "expected_loss_true", "claim_occurred")]).first().asDict()
+    out += [(f"mean_{k}", v) for k, v in means.items()]
+    blocks = [("poisson", te, "lambda_true", "lambda_glm"), ("gamma", claimants, "claim_amount", "mu_glm"),
+              ("display_freq", te, "lambda_true", "lambda_disp"), ("display_sev", te, "mu_true", "mu_disp")]
+    for name, rows, y, yhat in blocks:
+        out += [(f"{name}_{k}", v) for k, v in X.reg_metrics(rows, y, yhat).first().asDict().items()]
     gb = gini(te, "claim_amount", "el_baseline")
     gf = gini(te, "claim_amount", "el_full")
     out += [("gini_baseline", gb), ("gini_full", gf), ("gini_delta", gf - gb)]
@@ -179,7 +197,7 @@ def evaluate(b: ModelBundle) -> list[tuple[str, float]]:
     te_t = apply_cell_oe(te, te_cells, "cell", "oe", "te_oe", rows_bound=cell_bound(b.prep.encoder)) \
         .withColumn("te_target", clip(F.col("te_oe") / lit_d(b.scale_factor), 0.10, 8.0))
     m = X.reg_metrics(te_t, "te_target", "m_hat").first()
-    out += [("mhat_r2_vs_test_oe", m["r2"]), ("mhat_mae", m["mae"]), ("mhat_rmse", m["rmse"])]
+    out += [("mhat_r2_vs_test_oe", m["r2"]), ("mhat_mae", m["mae"]), ("mhat_rmse", m["rmse"]), ("mhat_mape", m["mape"])]
     out.append(("mhat_oracle_corr", X.pearson(te, "m_hat", "M_true").first()["corr"]))
     for kind, col in (("baseline", "el_baseline"), ("full", "el_full")):
         for r in decile_loss_ratio(te, "claim_amount", col, "indicated_premium").collect():

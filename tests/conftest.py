@@ -36,5 +36,5 @@ def bundle(book):
     from riskbook.ml.ensemble import EnsembleParams
     from riskbook.ml.score import train_all
     small = EnsembleParams(rf_trees=8, gbt_iter=5, et_trees=8, oof_rf_trees=4, oof_gbt_iter=3, oof_et_trees=4,
-                           max_bins=16)
+                           display_iter=4, max_bins=16, forest_bins=16)
     return train_all(book, small)

@@ -10,7 +10,7 @@ from riskbook.ml.score import score_book, train_all
 from riskbook.operators.sampling import fold_id, split
 from riskbook.plans.features import T12
 
-SMALL = EnsembleParams(rf_trees=8, gbt_iter=5, et_trees=8, oof_rf_trees=4, oof_gbt_iter=3, oof_et_trees=4, max_bins=16)
+SMALL = EnsembleParams(rf_trees=8, gbt_iter=5, et_trees=8, oof_rf_trees=4, oof_gbt_iter=3, oof_et_trees=4, display_iter=4, max_bins=16, forest_bins=16)
 
 
 def test_poisson_score_equations(spark, book, bundle):
@@ -58,9 +58,7 @@ def test_mhat_one_gives_baseline(book, bundle):
 
 
 def test_isotonic_monotone(bundle):
-    iso = bundle.mhat.meta.stages[-1]
-    b = iso.boundaries.toArray()
-    p = iso.predictions.toArray()
+    b, p = bundle.mhat.points, bundle.mhat.values
     assert np.all(np.diff(b) >= 0) and np.all(np.diff(p) >= -1e-12)
 
 
