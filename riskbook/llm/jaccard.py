@@ -43,6 +43,8 @@ _U = np.uint64
 _NONE = np.empty(0, dtype=np.uint64)
 #: Characters handled at once: bounds the memory of a task.
 SLICE = 1_500_000
+#: Signatures that a worker holds before it counts them: 8 bytes each, and as much again to sort them.
+HELD = 1_500_000
 
 
 def _mix(h: np.ndarray, seed: int) -> np.ndarray:
@@ -240,7 +242,7 @@ def jaccard_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     mine = of[rows] >= 0
                     seen.append(maker.all_of(rows[mine], h[mine], of[rows[mine]])[1])
                     held += len(seen[-1])
-            if held > 6_000_000:
+            if held > HELD:
                 yield told()
                 seen, held = [], 0
         if held:
@@ -279,6 +281,7 @@ def jaccard_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     members = materialize(
         signatures.withColumns({"lead": F.min("node").over(group), "last": F.max("node").over(group)})
         .where("lead != last").select("sig", "node", "n", "rank", "lead").distinct(), "jac")
+    shared.destroy()
     return _linked(docs, rows, good, classes, members, t, k, id_type)
 
 
@@ -313,7 +316,7 @@ def _linked(docs, rows, good, classes, members, t, k, id_type) -> DataFrame:
 
 
 def _among(ids: DataFrame, bits: int = 1 << 22):
-    """A column function: may the value be one of ``ids``? A Bloom filter of a fixed size (512 KB) with
+    """A column function (may the value be one of ``ids``?) and its broadcast. A Bloom filter of a fixed size (512 KB) with
     two probes, so that a scan drops most other rows before they are shuffled; beyond some million ids
     it lets more through, and the join behind it decides all the same."""
     probes = lambda c: [F.pmod(F.xxhash64(F.lit(s), c), F.lit(bits)) for s in (1, 2)]
@@ -329,7 +332,7 @@ def _among(ids: DataFrame, bits: int = 1 << 22):
         has = lambda x: (shared.value[x.to_numpy() >> 5] >> (x.to_numpy() & 31).astype(np.uint32)) & 1
         return pd.Series((has(p) & has(q)).astype(bool))
 
-    return lambda c: known(*probes(c))
+    return lambda c: known(*probes(c)), shared
 
 
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, t: Fraction, k: int, id_type: str) -> DataFrame:
@@ -339,7 +342,8 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, t: Fraction,
                         .select("a", "b").distinct(), "jac")
     needed = pairs.select(F.col("a").alias("h1")).unionByName(pairs.select(F.col("b").alias("h1"))).distinct()
     wanted = classes.join(needed, "h1").select("h1", "h2", "n", F.col("rep").alias("id"))
-    texts = docs.where(_among(wanted.select("id"))(F.col("id"))).join(wanted, "id").select("h1", "h2", "n", "id", "text")
+    among, shared = _among(wanted.select("id"))
+    texts = docs.where(among(F.col("id"))).join(wanted, "id").select("h1", "h2", "n", "id", "text")
     side = lambda s: texts.select(*[F.col(c).alias(f"{c}_{s}") for c in texts.columns])
     joined = pairs.join(side("a").withColumnRenamed("h1_a", "a"), "a").join(side("b").withColumnRenamed("h1_b", "b"), "b")
     num, den = t.numerator, t.denominator
@@ -361,4 +365,6 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, t: Fraction,
                 near = den * common >= num * (size[:m] + size[m:] - common)
                 yield part.loc[right & near, ["id_a", "id_b"]].set_axis(["a", "b"], axis=1)
 
-    return materialize(joined.mapInPandas(check, f"a {id_type}, b {id_type}"), "jac")
+    links = materialize(joined.mapInPandas(check, f"a {id_type}, b {id_type}"), "jac")
+    shared.destroy()
+    return links
