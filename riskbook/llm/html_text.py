@@ -2,24 +2,26 @@
 
 Markup is stripped line by line: block elements end a line, everything else stays within one. The
 length of a line is its text outside of links; lines of menus, headers, footers, sidebars, notices,
-adverts, forms and reader comments count as empty, and if the page marks its article, so do the lines
-outside of it. The text surges where lines with a length begin and dives to nothing where as many
-wholly linked lines as the window follow each other: such a list of links goes. All parts between a
-surge and a dive are kept, whatever their size, with the linked lines in and next to them; a part that
-is nothing but a copyright notice goes.
+adverts, forms and reader comments are left out, and if the page marks articles, so are the lines
+outside of them (in an article, linked text counts as well). Lengths are summed over sliding windows of
+lines: the text surges at the line where a sum rises from 0 and dives where it falls back, which takes
+as many wholly linked lines as the window has. All lines between a surge and its dive are kept, whatever
+their size, and at the page's ends the few linked lines next to them; a part that is nothing but a
+copyright notice goes.
 
 Words of a class, id or role put an element beside the article only as a whole name ("sidebar",
 "ad-box", not "has-sidebar"), never a heading, and not an element that holds most of the text. If
 nothing is left, the names count for nothing, and if still nothing is left, all lines stay.
 
 Pages are independent rows: one pass, no shuffle. Defined cases: a null or empty page gives an empty
-text; unclosed and misplaced tags never fail; repeated rows give equal results; other columns are
-ignored.
+text; unclosed and misplaced tags never fail; the page is scanned forward once, so the time follows its
+length; a quote opens an attribute's value only behind its equals sign, and where such a value never ends,
+the next ``>`` ends the tag, there and in the rest of the page; repeated rows give equal results; other
+columns are ignored.
 """
 from __future__ import annotations
 
 import html as entities
-import itertools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -52,14 +54,71 @@ unit wrap wrapper""".split())
 #: Names of reader comments, which may well be longer than the article.
 COMMENTS = frozenset("comment comments commentlist respond reply replies disqus discussion".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>""", re.S)
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_VALUE = re.compile(r"""=\s*(["'])|>""")
 _NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]*)))?""")
+_NOT_SHOWN = re.compile(r"display\s*:\s*none", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _COPYRIGHT = re.compile(r"(?:copyright\s*)?(?:©|\(c\)|copyright)\s*\d{4}", re.I)
+_BODY = re.compile(r"<body\b", re.I)
 _RAW_END = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in RAW}
 
 
+def _hidden(attrs: str) -> bool:
+    """Is there an attribute ``hidden``, ``aria-hidden=true`` or a style that shows nothing?"""
+    if "hidden" not in (low := attrs.lower()) and "display" not in low:
+        return False
+    for m in _ATTRIBUTE.finditer(attrs):
+        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").strip().lower()
+        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and _NOT_SHOWN.search(value):
+            return True
+    return False
+
+
+class _Tags:
+    """The tags of a page in order, found by one forward scan."""
+
+    def __init__(self, page: str):
+        self.page, self.last, self.plain, self.unclosed = page, page.rfind(">"), False, set()
+
+    def next(self, at: int) -> tuple[int, int, str, bool, str] | None:
+        """(start, end, name, closing, attributes) of the first tag or comment (no name) from ``at`` on."""
+        page = self.page
+        while 0 <= (start := page.find("<", at)) and (start < self.last or page.startswith("<!--", start)):
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                return start, len(page) if end < 0 else end + 3, "", False, ""
+            if page[start + 1:start + 2] in ("!", "?"):
+                return start, page.find(">", start) + 1, "", False, ""
+            if m := _NAME.match(page, start + 1):
+                end = self._end(m.end())
+                return start, end, m[2].lower(), m[1] == "/", page[m.end():end - 1]
+            at = start + 1
+        return None
+
+    def _end(self, at: int) -> int:
+        """Behind the ``>`` of the tag; there is one, as the tag starts before the page's last."""
+        page, i = self.page, at
+        while not self.plain:
+            m = _VALUE.search(page, i)
+            if m and not m[1]:
+                return m.end()
+            i = page.find(m[1], m.end()) + 1 if m else 0
+            if not i:
+                self.plain = True
+        return page.find(">", at) + 1
+
+    def raw_end(self, name: str, at: int) -> int | None:
+        """Behind the closing tag of a raw element, or None."""
+        if name in self.unclosed:
+            return None
+        m = _RAW_END[name].search(self.page, at, self.last + 1)
+        if not m:
+            self.unclosed.add(name)
+        return m.end() if m else None
+
+
 def _beside(name: str, attrs: str, in_article: bool) -> str:
     """Does the element stand beside the article: "" (no), "element" (by its kind, or hidden), "comments"
     or "name" (by its class, id or role)?"""
@@ -69,7 +128,7 @@ def _beside(name: str, attrs: str, in_article: bool) -> str:
         return "" if in_article else "element"
     if name in ("html", "body", "main") or not attrs:
         return ""
-    if _HIDDEN.search(attrs):
+    if _hidden(attrs):
         return "element"
     if name in HEADINGS:
         return ""
@@ -125,24 +184,23 @@ def lines_of(page: str) -> list[tuple[str, int, bool, int, bool]]:
             if top is node:
                 return
 
-    at = 0
-    while m := _TAG.search(page, at):
-        if m.start() > at:
-            parts.append((page[at:m.start()], links > 0))
-        at = m.end()
-        name = (m[2] or m[5] or "").lower()
+    at, tags = 0, _Tags(page)
+    while found := tags.next(at):
+        start, end, name, closing, attrs = found
+        if start > at:
+            parts.append((page[at:start], links > 0))
+        at = end
         if not name:
             continue
-        closing, attrs = (m[1] or m[4]) == "/", m[3] or m[6] or ""
         if name in RAW:
             if not closing and not attrs.endswith("/") and name != "head":
-                end = _RAW_END[name].search(page, at)
+                end = tags.raw_end(name, at)
                 if end or name in ("script", "style"):
-                    at = end.end() if end else len(page)
+                    at = end or len(page)
                 continue
             if name == "head" and not closing:
-                end = _RAW_END[name].search(page, at) or re.compile(r"(?=<body\b)", re.I).search(page, at)
-                at = end.end() if end else at
+                body = _BODY.search(page, at)
+                at = tags.raw_end(name, at) or (body.start() if body else at)
             end_line()
             continue
         if name == "a":
@@ -226,28 +284,35 @@ def _resolve(lines: list[tuple[str, int, _Open | None, int, bool]], nodes: list[
             node.beside = id(node) in left
 
 
+def surges(lengths: np.ndarray, window: int) -> list[tuple[int, int]]:
+    """Ranges of lines from each surge to its dive: where the sum of the last ``window`` lengths rises from
+    0, and the last line with a length before it has fallen back."""
+    if not len(lengths):
+        return []
+    sums = np.convolve(lengths, np.ones(window, dtype=np.int64)) > 0
+    edge = np.diff(np.concatenate([[0], sums.astype(np.int8), [0]]))
+    return [(int(a), int(b) - window + 1) for a, b in zip(np.flatnonzero(edge > 0), np.flatnonzero(edge < 0), strict=True)]
+
+
 def main_text(page: str, window: int = 3) -> str:
     """Text between surge and dive points; ``window`` wholly linked lines in a row make a dive."""
     lines = [line for line in lines_of(page) if not line[2]]
-    article = np.array([a for *_, a, _ in lines], dtype=np.int64)
-    if article.any():
-        sums = np.bincount(article, weights=[len(text) for text, *_ in lines])
-        sums[0] = 0
-        return "\n".join(lines[i][0] for i in np.flatnonzero(article == int(sums.argmax())))
-    own = [n > 0 for _, n, *_ in lines]
+    marked = any(line[3] for line in lines)
+    if marked:
+        lines = [line for line in lines if line[3]]
+    lengths = np.array([len(text) if marked else n for text, n, *_ in lines], dtype=np.int64)
     for i in range(len(lines) - 2, -1, -1):
-        own[i] = own[i] or (lines[i][4] and own[i + 1])  # a linked headline belongs to the text below it
-    if not any(own):
+        if lines[i][4] and not lengths[i] and lengths[i + 1]:
+            lengths[i] = len(lines[i][0])  # a linked headline belongs to the text below it
+    found = surges(lengths, window)
+    if not found:
         return "\n".join(text for text, *_ in lines)
-    stretches = [(has, list(group)) for has, group in itertools.groupby(range(len(lines)), key=lambda i: own[i])]
-    parts: list[list[int]] = [[]]
-    for has, group in stretches:
-        if has or len(group) < window:
-            parts[-1] += group
-        else:
-            parts.append([])
-    told = [part for part in parts if any(own[i] and not _COPYRIGHT.match(lines[i][0]) for i in part)]
-    return "\n".join(lines[i][0] for part in told or parts for i in part)
+    if found[0][0] < window:
+        found[0] = (0, found[0][1])
+    if len(lines) - found[-1][1] < window:
+        found[-1] = (found[-1][0], len(lines))
+    told = [(a, b) for a, b in found if marked or any(lengths[i] and not _COPYRIGHT.match(lines[i][0]) for i in range(a, b))]
+    return "\n".join(lines[i][0] for a, b in told or found for i in range(a, b))
 
 
 def extract(df: DataFrame, id_cols: tuple[str, ...] = ("page_id", "url"), html_col: str = "html", window: int = 3) -> DataFrame:

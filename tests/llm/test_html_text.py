@@ -1,6 +1,9 @@
 import re
 from html import unescape
 
+import numpy as np
+
+from riskbook.llm import html_text
 from riskbook.llm.html_text import extract, main_text
 
 MENU = "<nav><ul><li><a href='/a'>Home</a><li><a href='/b'>News</a></ul></nav>"
@@ -71,3 +74,47 @@ def test_names_of_wrappers_and_headings_lose_no_text():
     assert main_text("<p>Text</p><div id='comments'><p>A comment that is longer than the text</p></div>") == "Text"
     assert main_text("<div class='promo'>Left</div><div class='notice'>Both</div><nav>Menu</nav>") == "Left\nBoth"
     assert main_text("<nav>Menu</nav>") == "Menu"
+
+
+def test_surges_equal_a_scan_of_every_window():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        lengths = rng.integers(0, 3, rng.integers(0, 25)) * rng.integers(1, 40)
+        window = int(rng.integers(1, 5))
+        kept, start = [], None
+        for i in range(len(lengths) + window):
+            some = any(0 <= j < len(lengths) and lengths[j] for j in range(i - window + 1, i + 1))
+            if some and start is None:
+                start = i
+            if not some and start is not None:
+                kept.append((start, max(j for j in range(i) if j < len(lengths) and lengths[j]) + 1))
+                start = None
+        assert html_text.surges(lengths, window) == kept
+
+
+def test_unmarked_pages_lose_link_lists_alone():
+    rng = np.random.default_rng(5)
+    for _ in range(40):
+        want, page, before = [], "<html><body><div class='page'>", True
+        for k in range(6):
+            told = [f"Sentence {k}.{i} of the text." for i in range(rng.integers(1, 4))]
+            linked = [f"Link {k}.{i}" for i in range(rng.integers(0, 6))]
+            page += "".join(f"<p>{t}</p>" for t in told) + "".join(f"<div><a href='/x'>{t}</a></div>" for t in linked)
+            want += told + (linked if len(linked) < 3 else [])
+        assert html_text.main_text(page + "</div></body></html>").split("\n") == want
+
+
+def test_hidden_is_an_attribute_not_a_word():
+    page = """<article><p title="the hidden cost of it">One.</p><p class="card hidden md:block">Two.</p><p data-hidden-x=1>Three.</p><p hidden>No.</p>
+    <p aria-hidden="true">No.</p><p style="color:red; display : none">No.</p><p title='display:none'>Four &amp; five.</p></article><article><p>Another article.</p></article>"""
+    assert html_text.main_text(page).split("\n") == ["One.", "Two.", "Three.", "Four & five.", "Another article."]
+
+
+def test_odd_markup_takes_time_in_proportion():
+    import time
+    for bit in ("<a ", "<b 'q ", "<b x='q ", "<b x='q > ", "<svg>", "</svg <svg>", "<!-- x ", "<p title=\"", "< <", "<![x ", "<div class='ad'>", "= ' <i a= "):
+        page = bit * (1_000_000 // len(bit))
+        t = time.time()
+        html_text.main_text(page)
+        assert time.time() - t < 10, bit
+    assert html_text.main_text("<p a='x>y'>in</p> 1 < 2 <b") == "in\n1 < 2 <b"
