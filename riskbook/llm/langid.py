@@ -72,7 +72,7 @@ class Words:
     @classmethod
     def of(cls, texts: list[str]) -> Words:
         letter, _ = _tables()
-        raw = [t.lower().encode("utf-32-le", "surrogatepass") + b"\n\0\0\0" for t in texts]
+        raw = [_lower(t).encode("utf-32-le", "surrogatepass") + b"\n\0\0\0" for t in texts]
         p = np.frombuffer(b"".join(raw), dtype="<u4")
         is_letter = letter[p]
         before = np.concatenate([[False], is_letter[:-1]])
@@ -219,6 +219,12 @@ def viterbi(scores: np.ndarray, sizes: np.ndarray, switch: float = SWITCH) -> np
     return out
 
 
+def _lower(text: str) -> str:
+    """Lower case, a code point for each code point, so places in the text stay the same."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else x[0] for c in text)
+
+
 def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", with_spans: bool = True) -> DataFrame:
     """(id, lang_pred, score, n_spans, spans, unfit) for each row of ``df``.
 
@@ -272,7 +278,7 @@ def _spans(texts, sizes, labels, langs, n_spans) -> list[list[tuple[int, int, st
         if count:
             is_letter = letter[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")]
             edges = np.flatnonzero(np.diff(np.concatenate([[0], is_letter.view(np.int8), [0]])))
-            for a, b, k in zip(edges[::2].tolist(), edges[1::2].tolist(), labels[at:at + n], strict=False):
+            for a, b, k in zip(edges[::2].tolist(), edges[1::2].tolist(), labels[at:at + n], strict=True):
                 lang = langs[k]
                 if mine and mine[-1][2] == lang:
                     mine[-1] = (mine[-1][0], b, lang)

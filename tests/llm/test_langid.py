@@ -72,3 +72,13 @@ def test_unfit_share_is_that_of_letters_in_foreign_words(spark):
     texts = [(1, made("abcdefghijklm", 50)), (2, made("opqrstuvwxyz", 50)), (3, "abcdef дом"), (4, "дом"), (5, "12"), (6, made("abcdefghijkln", 30) + " " + made("opqrstuvwxyz", 10))]
     got = {r["id"]: r["unfit"] for r in langid.identify(docs_frame(spark, texts), model).collect()}
     assert got[1] < 0.05 and got[2] > 0.9 and abs(got[3] - 1 / 3) < 1e-9 and got[4] == got[5] == 1.0 and abs(got[6] - 0.25) < 0.05
+
+
+def test_spans_keep_their_places_where_lower_case_is_longer(spark):
+    of = {"en": "the house and the garden with that thing which they have there hello", "tr": "büyük şehirde yaşayan insanlar her gün işe gidiyor güzel istanbul"}
+    model = langid.fit(spark.createDataFrame([(k, of[lang], lang) for k, lang in enumerate(["en", "tr"] * 20)], "doc_id long, text string, lang string"), F.lit(True))
+    text = "İSTANBUL güzel büyük şehirde yaşayan insanlar the house and the garden with that thing which they have there İİ"
+    row = langid.identify(docs_frame(spark, [(1, text)]), model).collect()[0]
+    cut = text.index("the house")
+    assert [(s["start"], s["end"], s["lang"]) for s in row["spans"]][0] == (0, cut - 1, "tr") and row["spans"][1]["start"] == cut
+    assert row["spans"][-1]["end"] == len(text)
