@@ -46,7 +46,9 @@ def plan(n: int, threshold: float, width: float, miss: float) -> tuple[int, int]
 
 
 def _matrix(values: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
-    return np.asarray(pc.list_flatten(values), dtype=np.float64).reshape(-1, dim)
+    """Rows scaled by powers of two, so that squares neither vanish nor overflow; cosines stay the same."""
+    rows = np.asarray(pc.list_flatten(values), dtype=np.float64).reshape(-1, dim)
+    return np.ldexp(rows, -np.frexp(np.abs(rows).max(axis=1, initial=0))[1][:, None])
 
 
 def _codes(vectors: np.ndarray, k: int, tables: int, width: float, seed: int) -> np.ndarray:

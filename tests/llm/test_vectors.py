@@ -63,3 +63,10 @@ def test_recall_at_the_threshold(spark):
         rows += [(2 * k, a.astype(np.float32).tolist(), 0), (2 * k + 1, (0.9805 * a + np.sqrt(1 - 0.9805 ** 2) * b).astype(np.float32).tolist(), 0)]
     found = sum(r[1] for r in result(spark, rows))
     assert found >= 0.995 * sum(r[1] for r in brute(rows))
+
+
+def test_tiny_and_huge_vectors_link(spark):
+    rows = [(k, [x * s for x in (1.0, 2.0, -1.0, 0.5)], 1) for k, s in enumerate([1e-200, 1e-200 * 3, 1e200, 5e-320, 1.0])] + [(9, [1e300, -1e300, 0.0, 0.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r["id"]: (r["n_links"], r["component"]) for r in vectors.link_vectors(df).collect()}
+    assert got == {**{k: (4, 0) for k in range(5)}, 9: (0, 9)}
