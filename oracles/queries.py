@@ -19,6 +19,9 @@ def oracle(name: str):
     return deco
 
 
+# Texts, limits and factors in the statements below are those that the output must equal.
+
+
 def R(x: str, d: int) -> str:
     """Round half up, as floor(x*10^d + 0.5)/10^d (same IEEE steps as the Spark side)."""
     s = 10 ** d
@@ -745,11 +748,42 @@ def o_a18():
   {R(f'coalesce(sum(CASE WHEN {d} THEN {dp} END), 0e0) * 1e0', 2)} AS book_leakage FROM pair""")
 
 
+def _regression(y: str, yhat: str) -> str:
+    return with_pair(f"""SELECT {R('1e0 - sse / (variance * n)', 6)} AS r2, {R('mae', 4)} AS mae, {R('sqrt(sse / n)', 4)} AS rmse, {R('mape * 100', 4)} AS mape
+FROM (SELECT count(*) AS n, var_pop({y}) AS variance, sum(({y} - {yhat}) * ({y} - {yhat})) AS sse,
+             avg(abs({y} - {yhat})) AS mae, avg(abs(({y} - {yhat}) / (abs({y}) + 1e-6))) AS mape FROM pair) t""")
+
+
 @oracle("regression_metrics")
 def o_a19():
-    return with_pair(f"""SELECT {R('1e0 - sse / (syy - sy * sy / n)', 6)} AS r2, {R('mae', 4)} AS mae, {R('sqrt(sse / n)', 4)} AS rmse, {R('mape * 100', 4)} AS mape
-FROM (SELECT count(*) AS n, sum(el_full) AS sy, sum(el_full * el_full) AS syy, sum((el_full - el_baseline) * (el_full - el_baseline)) AS sse,
-             avg(abs(el_full - el_baseline)) AS mae, avg(abs((el_full - el_baseline) / (abs(el_full) + 1e-6))) AS mape FROM pair) t""")
+    return _regression("el_full", "el_baseline")
+
+
+@oracle("regression_metrics_shifted")
+def o_a19_shifted():
+    return _regression("(1e9 + el_full)", "(1e9 + el_baseline)")
+
+
+@oracle("read_policies_dirty")
+def o_s1_dirty():
+    dirty = f"{U('policy_id', 'dirty')} < 0.05e0"
+    return with_book(f"""SELECT count(*) AS policies, count(*) FILTER (WHERE {dirty}) AS bad_value, count(*) FILTER (WHERE {dirty} AND credit_score > 700) AS bad_score,
+  (sum(home_value) FILTER (WHERE NOT ({dirty})))::BIGINT AS total_value, count(*) FILTER (WHERE {dirty}) AS null_value,
+  (sum(credit_score) FILTER (WHERE NOT ({dirty} AND credit_score > 700)))::BIGINT AS total_score FROM book""")
+
+
+@oracle("holdout_sample_part")
+def o_s2_part():
+    return with_book("SELECT policy_id, expected_loss_true FROM book ORDER BY md5(policy_id || '7'), policy_id LIMIT 500")
+
+
+@oracle("stratified_split_exact")
+def o_o4_exact():
+    h = "('0x' || substr(md5(policy_id || 'split'), 1, 15))::BIGINT"
+    return with_book(f"""SELECT state, claim_occurred, split, count(*) AS policies, min(policy_id) AS first_id, {R('sum(indicated_premium)', 2)} AS premium FROM (
+  SELECT *, CASE WHEN place <= floor(n * 0.6e0 + 0.5e0) THEN 'train' WHEN place <= floor(n * (0.6e0 + 0.2e0) + 0.5e0) THEN 'val' ELSE 'test' END AS split FROM (
+    SELECT *, row_number() OVER (PARTITION BY state, claim_occurred ORDER BY {h}, policy_id) AS place, count(*) OVER (PARTITION BY state, claim_occurred) AS n FROM book) a) t
+GROUP BY 1, 2, 3""")
 
 
 @oracle("pearson_pair")
@@ -777,8 +811,13 @@ def o_a21():
         "slope_mean": XMEAN("slope_steepness_pct", 1, 4), "rain_mean": XMEAN("post_burn_rainfall_intensity", 1, 4),
         "roof_age_mean": XMEAN("roof_age_yr", 0, 4), "credit_p10": "quantile_cont(credit_score::double, 0.1)",
         "credit_p50": "quantile_cont(credit_score::double, 0.5)", "credit_p90": "quantile_cont(credit_score::double, 0.9)",
-        "roof_age_median": "quantile_cont(roof_age_yr::double, 0.5)",
+        "roof_age_median": "quantile_cont(roof_age_yr::double, 0.5)", "expected_lr": "sum(expected_loss_true) / sum(indicated_premium)",
+        "gini_oracle": "max((SELECT 2e0 * avg(lz) - 1e0 FROM lz))", "kendall_tau": "max((SELECT tau FROM kt))",
+        **{f"band_pct_{b.lower().replace(' ', '_')}": pct(f"risk_band = '{b}'") for b in ("Very Low", "Low", "Moderate", "High", "Very High")},
     }
+    ranks = """lz AS (SELECT sum(total_loss) OVER (ORDER BY expected_loss_true DESC, policy_id ROWS UNBOUNDED PRECEDING) / (sum(total_loss) OVER () + 1e-9) AS lz FROM book),
+c AS (SELECT policy_id, expected_loss_true AS x, total_loss AS y FROM book WHERE total_loss > 0),
+kt AS (SELECT sum(sign((a.x - b.x) * (a.y - b.y))) / sqrt(sum((a.x != b.x)::int)::double * sum((a.y != b.y)::int)) AS tau FROM c a JOIN c b ON a.policy_id < b.policy_id)"""
     t = {m: (lo, hi) for m, lo, hi in GENERATION_TARGETS}
     parts = []
     for m in [m for m, _, _ in GENERATION_TARGETS] + INFO_METRICS:
@@ -787,7 +826,7 @@ def o_a21():
         v = R(f"({exprs[m]})::double", 4)
         passed = f"CASE WHEN {v} BETWEEN {lo} AND {hi} THEN 1 ELSE 0 END" if m in t else "NULL::INTEGER"
         parts.append(f"SELECT '{m}' AS metric, {v} AS value, {lo} AS lo, {hi} AS hi, {passed} AS pass FROM book")
-    return with_book(" UNION ALL ".join(parts))
+    return with_ctes(ranks, " UNION ALL ".join(parts))
 
 
 @oracle("health_checks")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskbook.functions import bands as B
-from riskbook.functions.columns import lit_d, rnd
+from riskbook.functions.columns import hash_uniform, lit_d, rnd
 from riskbook.operators import curves as C
 from riskbook.operators import experience as X
 from riskbook.operators import joins as J
@@ -76,6 +76,29 @@ def q_read_policies(spark, sf_dir):
                   F.sum(F.col("defensible_space_score").isNull().cast("int")).cast("long").alias("null_defensible"))
 
 
+@query("read_policies_dirty")
+def q_read_policies_dirty(spark, sf_dir):
+    """A CSV book in which a twentieth of the rows hold unreadable fields: rows stay, fields are null
+    and listed."""
+    dirty = hash_uniform(F.col("policy_id"), "dirty") < F.lit(0.05)
+    path = IO.scratch_path(spark, "dirty") + ".csv"
+    bk = book(spark, sf_dir)
+    text = lambda c: F.concat(F.col(c).cast("string"), F.lit("x"))
+    IO.write_policies(bk.withColumns({"home_value": F.when(dirty, text("home_value")).otherwise(F.col("home_value").cast("string")),
+                                      "credit_score": F.when(dirty & (F.col("credit_score") > 700), text("credit_score")).otherwise(F.col("credit_score").cast("string"))}), path, fmt="csv")
+    good = IO.read_policies(spark, path).agg(F.count("*").alias("policies"), F.sum("home_value").alias("total_value"), F.count_if(F.col("home_value").isNull()).alias("null_value"),
+                                             F.sum("credit_score").alias("total_score"))
+    bad = IO.bad_fields(spark, path).agg(F.count_if(F.col("column") == "home_value").alias("bad_value"), F.count_if(F.col("column") == "credit_score").alias("bad_score"))
+    one = F.lit(1).alias("one")
+    return good.select("*", one).join(bad.select("*", one), "one").select("policies", "bad_value", "bad_score", "total_value", "null_value", "total_score")  # one row each
+
+
+@query("holdout_sample_part")
+def q_holdout_sample_part(spark, sf_dir):
+    """No held-out file, a sample smaller than the book."""
+    return O.holdout_or_sample(spark, book(spark, sf_dir), None, 500, "7").select("policy_id", "expected_loss_true")
+
+
 @query("holdout_or_sample")
 def q_holdout_or_sample(spark, sf_dir):
     """No held-out file here -> the 20,000-row seeded sample of the book."""
@@ -537,6 +560,13 @@ def q_a19(spark, sf_dir):
     return X.reg_metrics(pair(spark, sf_dir), "el_full", "el_baseline")
 
 
+@query("regression_metrics_shifted")
+def q_a19_shifted(spark, sf_dir):
+    """A19 where the mean is large against the spread."""
+    far = pair(spark, sf_dir).select((F.lit(1e9) + F.col("el_full")).alias("y"), (F.lit(1e9) + F.col("el_baseline")).alias("p"))
+    return X.reg_metrics(far, "y", "p")
+
+
 @query("pearson_pair")
 def q_a20(spark, sf_dir):
     return X.pearson(book(spark, sf_dir), "expected_loss_true", "total_loss")
@@ -635,6 +665,14 @@ def q_o4(spark, sf_dir):
             .agg(F.count("*").alias("policies")))
 
 
+@query("stratified_split_exact")
+def q_o4_exact(spark, sf_dir):
+    """O4 with shares exact to one row in every state and claim stratum."""
+    cut = O.split_exact(book(spark, sf_dir), ["state", "claim_occurred"])
+    return cut.groupBy("state", "claim_occurred", "split").agg(F.count("*").alias("policies"), F.min("policy_id").alias("first_id"),
+                                                               rnd(F.sum("indicated_premium"), 2).alias("premium"))
+
+
 @query("kfold")
 def q_o5(spark, sf_dir):
     return book(spark, sf_dir).select(O.fold_id(5).alias("fold")).groupBy("fold").agg(F.count("*").alias("policies"))

@@ -143,9 +143,12 @@ def q_m14(spark, sf_dir):
 def q_m15(spark, sf_dir):
     b = bundle(spark, sf_dir)
     tr = AT.interaction_terms(book(spark, sf_dir))          # the whole book
-    res = AT.interaction_lrt(b.prep.scaled(tr, keep=["policy_id", "claim_occurred", *AT.INTERACTION_TERMS]))
-    return spark.createDataFrame([tuple(res.values())],
-                                 "deviance_reduced double, deviance_full double, lr_statistic double, df int, p_value double")
+    z = b.prep.scaled(tr, keep=["policy_id", "claim_occurred", "claim_amount", *AT.INTERACTION_TERMS]).persist(StorageLevel.MEMORY_AND_DISK)
+    found = [AT.interaction_lrt(z), AT.interaction_lrt(z, 2.0, "claim_amount")]
+    z.unpersist()
+    return spark.createDataFrame([tuple(r.values()) for r in found],
+                                 "family string, n_rows long, deviance_reduced double, deviance_full double, lr_statistic double, df int, p_value double, "
+                                 "dispersion double, f_statistic double, p_value_f double")
 
 
 @query("save_load_model")

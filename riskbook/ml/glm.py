@@ -133,15 +133,22 @@ def _newton_parts(frame: DataFrame, feats: list[str], label: str, beta: np.ndarr
 
 def fit_log_glm(train_z: DataFrame, p: float, alpha: float, label: str, name: str,
                 max_iter: int = 100, tol: float = 1e-10) -> GLM:
+    """``newton`` on the standardised T12 features."""
+    beta, _, _ = newton(train_z, ["z_" + c for c in T12], p, alpha, label, name, max_iter, tol)
+    return GLM(name, float(beta[0]), {f: float(x) for f, x in zip(T12, beta[1:])})
+
+
+def newton(train_z: DataFrame, feats: list[str], p: float, alpha: float, label: str, name: str,
+           max_iter: int = 100, tol: float = 1e-10) -> tuple[np.ndarray, float, int]:
     """Log-link GLM of the Tweedie family (p = 1 Poisson, p = 2 Gamma, 1 < p < 2
     compound) minimising the mean half-deviance + alpha/2 |beta|^2 (intercept free),
     the objective of the reference's regressors, by distributed Newton with step
     halving. For the log link and 1 <= p <= 2 the objective is convex.
 
-    Start: intercept = log(mean y), beta = 0. Each iteration is one distributed pass
+    Returns (intercept and coefficients, deviance, rows). Columns that depend on others get the
+    smallest coefficients. Start: intercept = log(mean y), beta = 0. Each iteration is one distributed pass
     (Hessian, score, deviance summed per partition); the 25 x 25 solve runs on the driver.
     """
-    feats = ["z_" + c for c in T12]
     k = len(feats) + 1
     stats = train_z.agg(F.count("*").alias("n"), F.avg(F.col(label).cast("double")).alias("m")).first()
     n, my = stats["n"], stats["m"] or 1.0
@@ -157,7 +164,7 @@ def fit_log_glm(train_z: DataFrame, p: float, alpha: float, label: str, name: st
     obj = objective(dev, beta)
     for _ in range(max_iter):
         grad = -v / n + alpha * (D @ beta)
-        step = np.linalg.solve(H / n + alpha * D, -grad)
+        step = np.linalg.lstsq(H / n + alpha * D, -grad, rcond=1e-12)[0]
         while True:
             cand = beta + step
             H2, v2, dev2 = _newton_parts(train_z, feats, label, cand, p)
@@ -166,12 +173,12 @@ def fit_log_glm(train_z: DataFrame, p: float, alpha: float, label: str, name: st
                 break
             step = step / 2
         if obj2 <= obj + 1e-12 * abs(obj):
-            beta, H, v, obj = cand, H2, v2, obj2
+            beta, H, v, obj, dev = cand, H2, v2, obj2, dev2
         if np.max(np.abs(step)) < tol:
             break
     else:
         raise RuntimeError(f"{name}: Newton's method did not converge in {max_iter} iterations")
-    return GLM(name, float(beta[0]), {f: float(x) for f, x in zip(T12, beta[1:])})
+    return beta, float(dev), int(n)
 
 
 def fit_tweedie(train_z: DataFrame, p: float = 1.65, alpha: float = 0.01, label: str = "claim_amount") -> GLM:

@@ -71,12 +71,13 @@ def oe_percentiles(cells: DataFrame, targets: DataFrame, target_col: str = "m_ta
 
 
 def reg_metrics(df: DataFrame, y: str, yhat: str) -> DataFrame:
-    """R2, MAE, RMSE, MAPE (denominator |y| + 1e-6) in one aggregate of sums."""
+    """R2, MAE, RMSE, MAPE (denominator |y| + 1e-6) in one aggregate. The total sum of squares comes
+    from a centred state (n, mean, M2) that partitions keep and merge, so a large mean doesn't cancel it."""
     yy, pp = F.col(y).cast("double"), F.col(yhat).cast("double")
-    a = df.agg(F.count("*").alias("n"), F.sum(yy).alias("sy"), F.sum(yy * yy).alias("syy"),
+    a = df.agg(F.count("*").alias("n"), F.var_pop(yy).alias("variance"),
                F.sum((yy - pp) * (yy - pp)).alias("sse"), F.avg(F.abs(yy - pp)).alias("mae"),
                F.avg(F.abs((yy - pp) / (F.abs(yy) + lit_d(1e-6)))).alias("mape"))
-    sst = F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
+    sst = F.col("variance") * F.col("n")
     return a.select(rnd(F.lit(1.0) - F.col("sse") / sst, 6).alias("r2"), rnd(F.col("mae"), 4).alias("mae"),
                     rnd(F.sqrt(F.col("sse") / F.col("n")), 4).alias("rmse"), rnd(F.col("mape") * 100, 4).alias("mape"))
 

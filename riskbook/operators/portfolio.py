@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from riskbook.functions.bands import BAND_ORDER, risk_band
 from riskbook.functions.columns import exact_round, lit_d, mean_parts, rnd, safe_div, share_parts
+from riskbook.operators.curves import gini_desc, kendall_tau_b
 from riskbook.operators.quantiles import exact_quantiles
 from riskbook.plans import rating as R
 
@@ -274,18 +275,20 @@ def impact_classes(pair: DataFrame) -> DataFrame:
 GENERATION_TARGETS = [
     ("claim_rate_pct", 5.0, 5.8), ("avg_mu", 14000.0, 19000.0), ("avg_severity", 19000.0, 30000.0),
     ("zero_loss_pct", 93.0, 96.0), ("cat_pct", 0.05, 0.8), ("avg_premium", 1900.0, 2800.0),
-    ("median_premium", 900.0, 1900.0), ("actual_lr", 0.45, 0.80), ("m_mean", 1.1, 1.8),
+    ("median_premium", 900.0, 1900.0), ("actual_lr", 0.45, 0.80), ("gini_oracle", 0.15, 0.60), ("kendall_tau", 0.05, 0.40), ("m_mean", 1.1, 1.8),
     ("m_std", 0.3, 0.8), ("m_max", 0.0, 3.6), ("subprime_pct", 13.0, 22.0), ("recent_roof_pct", 10.0, 20.0),
     ("canopy_unknown_pct", 2.0, 7.0), ("ds_missing_pct", 15.0, 30.0), ("fire_sentinel_pct", 1.0, 6.0),
     ("knob_tube_pct", 0.5, 6.0), ("polybutylene_pct", 4.0, 16.0), ("near_duplicate_pct", 0.2, 1.0),
     ("data_vintage_pct", 9.0, 16.0), ("rcv_vintage_pct", 5.0, 12.0),
 ]
 INFO_METRICS = ["renewal_pct", "three_way_pct", "slope_mean", "rain_mean", "roof_age_mean",
-                "credit_p10", "credit_p50", "credit_p90", "roof_age_median"]
+                "credit_p10", "credit_p50", "credit_p90", "roof_age_median", "expected_lr",
+                *[f"band_pct_{b.lower().replace(' ', '_')}" for b in BAND_ORDER]]
 
 
 def book_report(book: DataFrame) -> DataFrame:
-    """~30 generation metrics with target range and pass flag (one wide aggregate).
+    """~40 generation metrics with target range and pass flag: one wide aggregate, and the rank
+    statistics (Gini, Kendall's tau over claimants).
     Shares and means of fixed-decimal columns are rounded exactly (integer arithmetic)."""
     tl = F.col("total_loss")
     shares = {
@@ -300,6 +303,7 @@ def book_report(book: DataFrame) -> DataFrame:
         "rcv_vintage_pct": F.col("rcv_vintage_flag") == 1, "renewal_pct": F.col("renewal_credit") == 1,
         "three_way_pct": (F.col("wildfire_zone") == "High") & (F.col("slope_steepness_pct") > 55)
         & (F.col("post_burn_rainfall_intensity") > 60),
+        **{f"band_pct_{b.lower().replace(' ', '_')}": F.col("risk_band") == b for b in BAND_ORDER},
     }
     means = {  # metric -> (column, decimals of the column)
         "avg_mu": (F.col("mu_true"), 0), "avg_severity": (F.when(tl > 0, tl), 2),
@@ -310,16 +314,18 @@ def book_report(book: DataFrame) -> DataFrame:
     parts = [p for k, c in shares.items() for p in share_parts(k, c)] + \
             [p for k, (c, d) in means.items() for p in mean_parts(k, c, d)]
     agg = book.agg(*parts, (F.sum(tl) / F.sum("indicated_premium")).alias("actual_lr"),
+                   (F.sum("expected_loss_true") / F.sum("indicated_premium")).alias("expected_lr"),
                    F.stddev_samp("M_true").alias("m_std"), F.max("M_true").alias("m_max"))
     agg = agg.select(*[exact_round(k, 0, 4, 100).alias(k) for k in shares],
-                     *[exact_round(k, d, 4).alias(k) for k, (_, d) in means.items()], "actual_lr", "m_std", "m_max")
+                     *[exact_round(k, d, 4).alias(k) for k, (_, d) in means.items()], "actual_lr", "expected_lr", "m_std", "m_max")
     # the quantiles of three columns in one set of passes (long form, grouped)
     long = book.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v"))
                                            for c in ("indicated_premium", "credit_score", "roof_age_yr")])).alias("s"))
     q = exact_quantiles(long.select("s.*"), "v", [0.1, 0.5, 0.9], by="c")
     extra = {"median_premium": q[("indicated_premium", 0.5)], "credit_p10": q[("credit_score", 0.1)],
              "credit_p50": q[("credit_score", 0.5)], "credit_p90": q[("credit_score", 0.9)],
-             "roof_age_median": q[("roof_age_yr", 0.5)]}
+             "roof_age_median": q[("roof_age_yr", 0.5)], "gini_oracle": gini_desc(book, "total_loss", "expected_loss_true"),
+             "kendall_tau": kendall_tau_b(book.where(tl > 0), "expected_loss_true", "total_loss")["tau_b"]}
     agg = agg.select("*", *[lit_d(v).alias(k) if v is not None else F.lit(None).cast("double").alias(k)
                             for k, v in extra.items()])
     targets = dict((m, (lo, hi)) for m, lo, hi in GENERATION_TARGETS)

@@ -6,7 +6,7 @@ per partition, then a merge of n rows per partition): the limit is the feature.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskbook.functions.columns import hash_uniform
@@ -55,6 +55,53 @@ def split_label(fracs: tuple[float, ...] = (0.6, 0.2, 0.2), names: tuple[str, ..
     return expr
 
 
+def split_exact(df: DataFrame, strata: list[str], fracs: tuple[float, ...] = (0.6, 0.2, 0.2), names: tuple[str, ...] = ("train", "val", "test"),
+                salt: str = SPLIT_SALT, key: str = "policy_id", narrow: int = 4096) -> DataFrame:
+    """``df`` with a column ``split`` whose shares are exact to one row in every stratum.
+
+    A stratum's rows are taken in order of a 60-bit hash of the key (ties by the key); the first
+    ``floor(n (f1 + .. + fj) + 0.5)`` of n rows belong to the first j parts. The last row of each part is
+    found by narrowing: rows are counted by stratum and hash range of 12 bits, the range with the wanted
+    row is cut into 4,096 again until no range holds more than ``narrow`` rows, and only those rows are
+    ranked. No stratum is gathered or sorted. Null strata are strata; rows need distinct keys.
+    """
+    from riskbook.operators.joins import join_checked
+    from riskbook.session import materialize
+    stratum = F.struct(*[F.col(c) for c in strata])
+    h = F.conv(F.substring(F.md5(F.concat(F.col(key).cast("string"), F.lit(salt))), 1, 15), 16, 10).cast("long")
+    rows = df.select(F.xxhash64(stratum).alias("g"), stratum.alias("s"), h.alias("h"), F.col(key).alias("k"))
+    sums = [sum(fracs[:j + 1]) for j in range(len(fracs) - 1)]
+    sizes = rows.groupBy("g", "s").agg(F.count(F.lit(1)).alias("n"))
+    wanted = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.floor(F.col("n") * lit_share + 0.5).cast("long").alias("rank")) for j, lit_share in ((j, F.lit(float(x))) for j, x in enumerate(sums))]))
+    bounds = materialize(sizes.select("g", "s", wanted.alias("w")).select("g", "s", "w.j", "w.rank", F.lit(0).cast("long").alias("prefix"), F.col("w.rank").alias("left")), "split")
+    open_, depth = bounds.where("rank > 0"), 0
+    near = rows.withColumn("prefix", F.lit(0).cast("long"))
+    on = ["g", "s", "prefix"]
+    while depth < 5:  # 5 x 12 bits are the whole hash
+        depth += 1
+        cut = F.shiftright("h", 60 - 12 * depth)
+        heads = open_.select(*on).distinct()
+        near = materialize(join_checked(near, heads, on).select("g", "s", "h", "k", cut.alias("prefix"), F.col("prefix").alias("above")), "split")
+        counts = near.groupBy("g", "s", "above", "prefix").agg(F.count(F.lit(1)).alias("n"))
+        upto = Window.partitionBy("g", "s", "above").orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)  # 4,096 ranges at most
+        counts = counts.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0)))
+        found = (open_.withColumnRenamed("prefix", "above").join(counts, ["g", "s", "above"])
+                 .where("left > before and left <= before + n"))
+        open_ = materialize(found.select("g", "s", "j", "rank", "prefix", (F.col("left") - F.col("before")).alias("left"), "n"), "split")
+        near = near.select("g", "s", "h", "k", "prefix")
+        if (open_.agg(F.max("n")).first()[0] or 0) <= narrow:
+            break
+    few = join_checked(near, open_.select(*on).distinct(), on)
+    ranked = few.withColumn("at", F.row_number().over(Window.partitionBy(*on).orderBy("h", "k")))
+    last = open_.withColumnRenamed("left", "at").join(ranked, [*on, "at"]).select("g", "s", "j", F.struct("h", "k").alias("last"))
+    pivot = last.groupBy("g", "s").agg(*[F.max(F.when(F.col("j") == j, F.col("last"))).alias(f"last{j}") for j in range(len(sums))])
+    name = F.lit(names[-1])
+    for j in range(len(sums) - 1, -1, -1):
+        name = F.when(F.struct(F.col("_h").alias("h"), F.col(key).alias("k")) <= F.col(f"last{j}"), names[j]).otherwise(name)
+    marked = join_checked(df.withColumns({"_h": h, "g": F.xxhash64(stratum), "s": stratum}), pivot, ["g", "s"], "left")
+    return marked.select(*df.columns, name.alias("split"))
+
+
 def split(df: DataFrame, fracs=(0.6, 0.2, 0.2), names=("train", "val", "test"), salt: str = SPLIT_SALT,
           key: str = "policy_id") -> dict:
     lab = df.withColumn("_split", split_label(fracs, names, salt, key))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskbook.functions.columns import lit_d, rnd
-from riskbook.plans.rating import PricingConfig
+from riskbook.plans.rating import EXPOSURES, PricingConfig
 
 # Display multipliers (overridable) of the interaction rules.
 DISPLAY_MULTIPLIERS = {
@@ -23,15 +23,13 @@ SEVERE, MODERATE, MILD, PROTECTIVE = "severe", "moderate", "mild", "protective"
 
 
 def _rule_groups(ov: dict) -> list[list[tuple[Column, str, float, str]]]:
-    """Groups of (condition, label, multiplier, class); first match within a group wins."""
+    """Groups of (condition, label, multiplier, class); first match within a group wins.
+    Fixed values: labels, limits and multipliers of the display rules, in the order of display."""
     c = F.col
-    wood = c("roof_material") == "Wood Shake"
+    wood, coast, old_r, frame = (EXPOSURES[x]() for x in ("wood roof", "coast", "aged roof", "frame"))
     metal = c("roof_material") == "Metal"
     wf, fl, eq = c("wildfire_zone"), c("flood_zone"), c("earthquake_zone")
-    coast = c("dist_to_coast_mi") < 5
-    old_r = c("roof_age_yr") > 20
     new_r = c("roof_age_yr") <= 5
-    frame = c("construction_type") == "Frame"
     sup = c("construction_type") == "Superior"
     hail, can = c("hail_zone"), c("vegetation_risk_composite")
     prior = c("prior_claims_3yr")

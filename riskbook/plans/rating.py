@@ -136,48 +136,54 @@ def severity_plan(df: DataFrame, out: str = "_mu") -> DataFrame:
 
 
 # ── R3 interaction multiplier ─────────────────────────────────────────────
-def _z(col: str, level: str) -> Column:
-    return F.col(col) == F.lit(level)
-
-
-def interaction_rules() -> list[tuple[Column, float]]:
-    """(predicate, factor) rules of the book's co-exposure multiplier, in order."""
-    wood = _z("roof_material", "Wood Shake")
-    wf_h, wf_m = _z("wildfire_zone", "High"), _z("wildfire_zone", "Moderate")
-    fl_h, fl_m = _z("flood_zone", "High"), _z("flood_zone", "Moderate")
-    near = F.col("dist_to_coast_mi") < 5
-    eq_h, eq_m = _z("earthquake_zone", "High"), _z("earthquake_zone", "Moderate")
-    old_r = F.col("roof_age_yr") > 20
-    frame = _z("construction_type", "Frame")
-    pc_hi = F.col("protection_class") >= 8
-    hi_can, mod_can = _z("vegetation_risk_composite", "High"), _z("vegetation_risk_composite", "Moderate")
-    hi_hail, mod_hail = _z("hail_zone", "High"), _z("hail_zone", "Moderate")
-    hi_cl = F.col("prior_claims_3yr") >= 2
-    ds_good = F.coalesce(F.col("defensible_space_score"), lit_d(50.0)) >= 70
-    slope_hi = F.col("slope_steepness_pct") > 55
-    pbr_hi = F.col("post_burn_rainfall_intensity") > 60
-    return [
-        (wood & wf_h, 3.50), (wood & wf_m, 2.10), (~wood & wf_h, 1.80), (wood & ~wf_h & ~wf_m, 1.40),
-        (fl_h & near, 2.20), (fl_h & ~near, 1.60), (fl_m, 1.20),
-        (eq_h, 1.50), (eq_m, 1.15),
-        (old_r & frame, 1.35), (old_r & ~frame, 1.15),
-        (frame & pc_hi, 1.18),
-        (hi_cl & hi_can, 1.55), (hi_cl & mod_can, 1.25), (~hi_cl & hi_can, 1.10),
-        (old_r & hi_hail, 1.45), (old_r & mod_hail, 1.20), (~old_r & hi_hail, 1.15),
-        (wf_h & ds_good, 0.72), (wf_m & ds_good, 0.82),
-        (None, "vintage"),
-        (wf_h & slope_hi & pbr_hi, 1.65), (wf_h & slope_hi & ~pbr_hi, 1.18),
-    ]
+def _zone(col: str) -> Column:
+    """High, Moderate or Low (any other value); null stays null."""
+    c = F.col(col)
+    return F.when(c.isin("High", "Moderate"), c).when(c.isNotNull(), F.lit("Low"))
+
+
+#: What a policy is exposed to: a level (text) or a yes / no, by name.
+EXPOSURES = {
+    "wildfire": lambda: _zone("wildfire_zone"), "flood": lambda: _zone("flood_zone"), "earthquake": lambda: _zone("earthquake_zone"),
+    "hail": lambda: _zone("hail_zone"), "vegetation": lambda: _zone("vegetation_risk_composite"),
+    "wood roof": lambda: F.col("roof_material") == "Wood Shake", "aged roof": lambda: F.col("roof_age_yr") > 20,
+    "frame": lambda: F.col("construction_type") == "Frame", "coast": lambda: F.col("dist_to_coast_mi") < 5,
+    "far from help": lambda: F.col("protection_class") >= 8, "claims": lambda: F.col("prior_claims_3yr") >= 2,
+    "cleared land": lambda: F.coalesce(F.col("defensible_space_score"), lit_d(50.0)) >= 70,
+    "steep": lambda: F.col("slope_steepness_pct") > 55, "heavy rain": lambda: F.col("post_burn_rainfall_intensity") > 60,
+}
+YES, NO, ANY = True, False, None
+#: Factor of the multiplier by the levels of exposures that meet; other levels count 1.
+CO_EXPOSURE = [
+    (("wildfire", "wood roof"), {("High", YES): 3.50, ("High", NO): 1.80, ("Moderate", YES): 2.10, ("Low", YES): 1.40}),
+    (("flood", "coast"), {("High", YES): 2.20, ("High", NO): 1.60, ("Moderate", ANY): 1.20}),
+    (("earthquake",), {("High",): 1.50, ("Moderate",): 1.15}),
+    (("aged roof", "frame"), {(YES, YES): 1.35, (YES, NO): 1.15}),
+    (("frame", "far from help"), {(YES, YES): 1.18}),
+    (("vegetation", "claims"), {("High", YES): 1.55, ("High", NO): 1.10, ("Moderate", YES): 1.25}),
+    (("hail", "aged roof"), {("High", YES): 1.45, ("High", NO): 1.15, ("Moderate", YES): 1.20}),
+    (("wildfire", "cleared land"), {("High", YES): 0.72, ("Moderate", YES): 0.82}),
+    (("wildfire", "steep", "heavy rain"), {("High", YES, YES): 1.65, ("High", YES, NO): 1.18}),
+]
+
+
+def co_exposure_factor(names: tuple[str, ...], table: dict[tuple, float]) -> Column:
+    """The table's factor for a policy's levels of the named exposures, 1 where none is given or known."""
+    levels = [EXPOSURES[n]() for n in names]
+    out = lit_d(1.0)
+    for wanted, factor in table.items():
+        fits = F.lit(True)
+        for level, w in zip(levels, wanted, strict=True):
+            fits = fits if w is ANY else fits & (level == F.lit(w))
+        out = F.when(fits, lit_d(factor)).otherwise(out)
+    return out
 
 
 def interaction_expr() -> Column:
     m = lit_d(1.0)
-    for pred, factor in interaction_rules():
-        if factor == "vintage":
-            m = m * F.col("vintage_cat_multiplier")
-        else:
-            # multiplying by 1.0 is exact, so this equals the sequential rule update
-            m = m * F.when(pred, lit_d(factor)).otherwise(lit_d(1.0))
+    for names, table in CO_EXPOSURE[:-1]:
+        m = m * co_exposure_factor(names, table)
+    m = m * F.col("vintage_cat_multiplier") * co_exposure_factor(*CO_EXPOSURE[-1])
     return clip(m, *M_CLIP)
 
 

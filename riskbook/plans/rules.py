@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from riskbook.functions.columns import lit_d, rnd
 from riskbook.plans.interactions import active_interactions
 
+# Texts, limits and factors of the rules below.
+
 
 def _money(c: Column) -> Column:
     """'1,234' for a whole-dollar amount (rounded half up first)."""

@@ -58,18 +58,32 @@ def read_policies(spark: SparkSession, path: str, fmt: str | None = None) -> Dat
     """Read a policy file into the fixed schema; None when the path is absent.
 
     Columns are taken by name, in any order; further columns are left out, and a missing one
-    raises. CSV fields are read as text and cast, so there is no inference pass.
+    raises. CSV fields are read as text and cast, so there is no inference pass; a field that can't be
+    read is null, its row stays (``bad_fields`` lists such fields).
     """
     if not path_exists(spark, path):
         return None
     fmt = fmt or ("csv" if path.endswith(".csv") else "parquet")
     if fmt != "csv":
         return spark.read.schema(POLICY_SCHEMA).parquet(path)
+    raw = _raw_csv(spark, path)
+    return raw.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in POLICY_SCHEMA.fields])
+
+
+def bad_fields(spark: SparkSession, path: str) -> DataFrame:
+    """(file, policy_id, column, text) of every CSV field under ``path`` that doesn't fit its type."""
+    typed = [f for f in POLICY_SCHEMA.fields if f.dataType != _STR]
+    bad = [F.when(F.col(f.name).isNotNull() & F.col(f.name).try_cast(f.dataType).isNull(), F.struct(F.lit(f.name).alias("column"), F.col(f.name).alias("text"))) for f in typed]
+    return (_raw_csv(spark, path).select(F.input_file_name().alias("file"), "policy_id", F.explode(F.array_compact(F.array(*bad))).alias("b"))
+            .select("file", "policy_id", "b.column", "b.text"))
+
+
+def _raw_csv(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.option("header", True).csv(path)
     missing = [f.name for f in POLICY_SCHEMA.fields if f.name not in raw.columns]
     if missing:
         raise ValueError(f"{path} lacks the columns {', '.join(missing)}")
-    return raw.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in POLICY_SCHEMA.fields])
+    return raw
 
 
 def write_policies(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None) -> str:
