@@ -39,16 +39,18 @@ def main() -> None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="riskbook-bench-"))
 
     from riskbook import catalog, catalog_ml  # noqa: F401
+    from riskbook.session import ensure_checkpoint_dir, lease, shared_bytes
     q = catalog.QUERIES
     times: dict = {}
 
     def run(name, fn, big=False):
         t0 = time.time()
-        df = fn()
-        if big:
-            df.write.format("noop").mode("overwrite").save()
-        else:
-            df.collect()
+        with lease(spark):  # the report's scratch folders go when it has been read
+            df = fn()
+            if big:
+                df.write.format("noop").mode("overwrite").save()
+            else:
+                df.collect()
         times[name] = round(time.time() - t0, 3)
 
     t0 = time.time()
@@ -68,17 +70,20 @@ def main() -> None:
         run(k, lambda k=k: q[k](spark, sf_dir), big=True)
 
     t0 = time.time()
-    catalog_ml.bundle(spark, sf_dir)
+    with lease(spark):
+        catalog_ml.bundle(spark, sf_dir)
     times["train_all"] = round(time.time() - t0, 3)
     t0 = time.time()
     from riskbook.ml.score import score_book
     score_book(bk, catalog_ml.bundle(spark, sf_dir)).write.format("noop").mode("overwrite").save()
     times["score_book_ml"] = round(time.time() - t0, 3)
 
+    catalog.release_books(spark)
+    left = shared_bytes(spark, ensure_checkpoint_dir(spark))
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     print(json.dumps({"metric": "total_wall_clock", "value": round(sum(times.values()), 3), "unit": "sec",
                       "queries": times, "sf": float(sf) if sf.replace(".", "", 1).isdigit() else sf,
-                      "policies": n, "cpus": int(cpus)}))
+                      "policies": n, "cpus": int(cpus), "scratch_bytes_left": left}))
     spark.stop()
 
 

@@ -165,6 +165,12 @@ def o_p8():
     return with_ctes(SPLIT_CTES, "SELECT col AS column, val AS value, code FROM enc")
 
 
+@oracle("label_encode_large")
+def o_p8_large():
+    return with_book("""SELECT policy_id AS key, dense_rank() OVER (ORDER BY policy_id) - 1 AS policy_code,
+  dense_rank() OVER (ORDER BY state) - 1 AS state_code FROM book""")
+
+
 @oracle("mean_impute")
 def o_p9():
     return with_ctes(SPLIT_CTES, f"""SELECT policy_id, {R("coalesce(defensible_space_score, (SELECT avg(defensible_space_score) FROM sp WHERE split = 'train'))", 8)} AS defensible_space_score

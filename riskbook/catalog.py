@@ -23,10 +23,11 @@ from riskbook.plans import rules as V
 from riskbook.sources import io as IO
 from riskbook.sources.book import build_book, release_cached, winsorize
 from riskbook.sources.fixture import state_dim
-from riskbook.session import materialize
+from riskbook.session import hold, release, scratch_folder
 
 QUERIES: dict = {}
 _BOOKS: dict = {}
+_FOLDERS: dict = {}
 
 
 def query(name: str):
@@ -43,12 +44,22 @@ def book(spark: SparkSession, sf_dir: str) -> DataFrame:
         # Parquet in the shared spark.checkpoint.dir: the lineage (hash features, joins, cap
         # passes) is cut, so a lost executor re-reads files instead of recomputing the book,
         # and a report reads its own columns only.
-        bk = materialize(build_book(spark, sf_dir), "book")
+        path = hold(scratch_folder(spark, "book"))  # outlives the lease of the report that asks first
+        built = build_book(spark, sf_dir)
+        built.write.parquet(path)
         release_cached()           # the pre-cap intermediate is no longer needed
-        _BOOKS[key] = bk
+        _BOOKS[key] = spark.read.schema(built.schema).parquet(path)
+        _FOLDERS[key] = path
     return _BOOKS[key]
 
 
+def release_books(spark: SparkSession) -> None:
+    """Delete the books' folders; reports build them anew."""
+    for key in [k for k in _FOLDERS if k[0] == spark.sparkContext.applicationId]:
+        _BOOKS.pop(key, None)
+        release(spark, _FOLDERS.pop(key))
+
+
 def pair(spark, sf_dir) -> DataFrame:
     return P.plan_score_pair(book(spark, sf_dir))
 
@@ -174,6 +185,15 @@ def q_p8(spark, sf_dir):
     return spark.createDataFrame(enc.to_rows(), "column string, value string, code int")
 
 
+@query("label_encode_large")
+def q_p8_large(spark, sf_dir):
+    """P8 on a column with a value a policy: codes from a dictionary table."""
+    bk = book(spark, sf_dir).select("policy_id", "state", "expected_loss_true")
+    dictionary = FE.fit_dictionary(bk, ["policy_id", "state"])
+    coded = FE.encode_by(bk.withColumn("key", F.col("policy_id")), dictionary, ["policy_id", "state"])
+    return coded.select("key", F.col("policy_id").alias("policy_code"), F.col("state").alias("state_code"))
+
+
 @query("mean_impute")
 def q_p9(spark, sf_dir):
     sp, _ = _fitted_split(spark, sf_dir)

@@ -19,7 +19,6 @@ def estimated_bytes(df: DataFrame) -> int | None:
 
 
 BROADCAST_MAX_ROWS = 1_000_000
-INLINE_SCENARIOS = 200
 
 
 def join_checked(left: DataFrame, right: DataFrame, on, how: str = "inner",
@@ -69,34 +68,19 @@ def align(base: DataFrame, full: DataFrame, key: str = "policy_id",
 
 def scenario_cross(df: DataFrame, scenarios: list[dict], override_cols: list[str],
                    label: str = "scenario") -> DataFrame:
-    """Every policy x every scenario override.
+    """Every policy x every scenario override; a missing override keeps the policy's value.
 
-    A short list (the 2x2 cards) is expanded with ``explode`` of a literal array, so there is
-    no join and no shuffle: each task multiplies its own rows by len(scenarios). A list too
-    long to stand in the plan becomes a table that every task joins (a broadcast of the list
-    itself, which is local to the driver already). A missing override keeps the policy's value.
+    The scenarios are a table by number; a policy's rows are numbered by ``explode``, and both meet in an
+    equi-join whose small side is bounded by the number of scenarios. No shuffle while that bound allows
+    a broadcast, a shuffle join beyond it.
     """
-    if len(scenarios) > INLINE_SCENARIOS:
-        kinds = ", ".join(f"_ov_{c} {df.schema[c].dataType.simpleString()}" for c in override_cols)
-        rows = [(str(s[label]), *[s.get(c) for c in override_cols]) for s in scenarios]
-        cards = df.sparkSession.createDataFrame(rows, f"{label} string, {kinds}")
-        joined = df.join(F.broadcast(cards))
-        return joined.select(*[c for c in df.columns if c not in override_cols], label,
-                             *[F.coalesce(F.col("_ov_" + c), F.col(c)).alias(c) for c in override_cols])
-    structs = []
-    for s in scenarios:
-        fields = [F.lit(s[label]).cast("string").alias(label)]
-        for c in override_cols:
-            v = s.get(c)
-            fields.append((F.lit(v) if v is not None else F.lit(None))
-                          .cast(df.schema[c].dataType).alias("_ov_" + c))
-        structs.append(F.struct(*fields))
-    exploded = df.select("*", F.explode(F.array(*structs)).alias("_sc"))
-    return exploded.select(
-        *[c for c in df.columns if c not in override_cols],
-        F.col("_sc." + label).alias(label),
-        *[F.coalesce(F.col("_sc._ov_" + c), F.col(c)).alias(c) for c in override_cols],
-    )
+    kinds = ", ".join(f"_ov_{c} {df.schema[c].dataType.simpleString()}" for c in override_cols)
+    rows = [(i, str(s[label]), *[s.get(c) for c in override_cols]) for i, s in enumerate(scenarios)]
+    cards = df.sparkSession.createDataFrame(rows, f"_no int, {label} string, {kinds}")
+    numbered = df.withColumn("_no", F.explode(F.sequence(F.lit(0), F.lit(len(scenarios) - 1)) if scenarios else F.array().cast("array<int>")))
+    joined = join_checked(numbered, cards, "_no", rows_bound=len(scenarios))
+    return joined.select(*[c for c in df.columns if c not in override_cols], label,
+                         *[F.coalesce(F.col("_ov_" + c), F.col(c)).alias(c) for c in override_cols])
 
 
 def with_overrides(df: DataFrame, changes: dict) -> DataFrame:

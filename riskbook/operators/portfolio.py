@@ -76,16 +76,6 @@ def state_top_peril(book: DataFrame) -> DataFrame:
     return agg.select("state", top.alias("top_peril"), exact.alias("top_share"))
 
 
-def _state_peril_long(book: DataFrame, m: str = "M_true") -> DataFrame:
-    """One pass: unpivot the four zones, keep High, aggregate per state x peril."""
-    ex = book.select("state", F.col(m).alias("m"), F.explode(F.array(*[
-        F.struct(F.lit(lbl + " High").alias("peril"), F.col(c).alias("zone")) for c, lbl in PERILS])).alias("p"))
-    g = (ex.where(F.col("p.zone") == "High")
-         .groupBy("state", F.col("p.peril").alias("peril"))
-         .agg(*mean_parts("m", F.col("m"), 4), F.count("*").alias("policies")))
-    return g.select("state", "peril", exact_round("m", 4, 6).alias("mean_m"), "policies")
-
-
 def state_peril_matrix(book: DataFrame, min_n: int = 20) -> DataFrame:
     """A5: mean M per state x peril-High (NULL below ``min_n`` policies), wide form, one row for
     every state of the book (count 0 without High zones); states ordered by their row maximum
@@ -104,7 +94,10 @@ def state_peril_matrix(book: DataFrame, min_n: int = 20) -> DataFrame:
 
 def hottest_cell(book: DataFrame, min_n: int = 20) -> DataFrame:
     """The credible state x peril cell with the largest mean M."""
-    long = _state_peril_long(book).where(F.col("policies") >= min_n)
+    wide = state_peril_matrix(book, min_n)
+    cells = F.array(*[F.struct(F.lit(f"{lbl} High").alias("peril"), F.col(f"{lbl.lower()}_high_m").alias("mean_m"),
+                               F.col(f"{lbl.lower()}_high_n").alias("policies")) for _, lbl in PERILS])
+    long = wide.select("state", F.explode(cells).alias("c")).select("state", "c.*").where(F.col("mean_m").isNotNull())  # a row a state and peril
     return (long.orderBy(F.col("mean_m").desc(), "state", "peril").limit(1)
             .select("state", "peril", "mean_m", "policies"))
 

@@ -126,6 +126,27 @@ class Encoder:
         return [(c, v, i) for c, vals in self.classes.items() for i, v in enumerate(vals)]
 
 
+def fit_dictionary(df: DataFrame, cols: list[str]) -> DataFrame:
+    """P8 for columns of any cardinality: (column, value, code) with the alphabetical codes of
+    ``Encoder``, as a table; values are ordered by ranges and never come to the driver."""
+    from riskbook.operators.curves import ordered_positions
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.coalesce(F.col(c).cast("string"), F.lit("None")).alias("value")) for c in cols]))
+    placed = ordered_positions(df.select(each.alias("s")).select("s.*").distinct(), [("column", False), ("value", False)])
+    first = placed.groupBy("column").agg(F.min("_pos").alias("first"))  # one row a column
+    return placed.join(F.broadcast(first), "column").select("column", "value", (F.col("_pos") - F.col("first")).alias("code"))
+
+
+def encode_by(df: DataFrame, dictionary: DataFrame, cols: list[str]) -> DataFrame:
+    """``df`` with ``cols`` replaced by their codes, unseen values by 0; a column's part of the dictionary
+    is broadcast only behind a check of its size."""
+    from riskbook.operators.joins import join_checked
+    for c in cols:
+        codes = dictionary.where(F.col("column") == c).select(F.col("value").alias("_value"), F.col("code").alias("_code"))
+        joined = join_checked(df.withColumn("_value", F.coalesce(F.col(c).cast("string"), F.lit("None"))), codes, "_value", "left")
+        df = joined.select(*[F.coalesce("_code", F.lit(0)).alias(x) if x == c else F.col(x) for x in df.columns])
+    return df
+
+
 @dataclass
 class Imputer:
     """Train means of nullable float columns; text that does not parse counts as missing."""

@@ -6,9 +6,11 @@ temporary folder only when it is unset on a local master (tests and benchmarks).
 """
 from __future__ import annotations
 
+import contextlib
 import os
 import re
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,9 +58,48 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+_OPEN = threading.local()  # leases that are open in this thread, the innermost last
+_HOLDERS: dict[str, int] = {}
+
+
+@contextlib.contextmanager
+def lease(spark: SparkSession):
+    """Scratch folders made inside are deleted through their file system at the end, but for those that
+    something else holds (``hold``). What is read from them must be used inside. Gives the folders."""
+    mine: list[str] = []
+    stack = _OPEN.__dict__.setdefault("stack", [])
+    stack.append(mine)
+    try:
+        yield mine
+    finally:
+        stack.remove(mine)
+        for path in mine:
+            release(spark, path)
+
+
+def hold(path: str) -> str:
+    """One more holder of a scratch folder; it is deleted when its last holder releases it."""
+    _HOLDERS[path] = _HOLDERS.get(path, 0) + 1
+    return path
+
+
+def release(spark: SparkSession, path: str) -> None:
+    _HOLDERS[path] = _HOLDERS.get(path, 1) - 1
+    if _HOLDERS[path] <= 0:
+        del _HOLDERS[path]
+        drop_folder(spark, path)
+
+
+def leased(path: str) -> str:
+    """Note a scratch folder with the innermost open lease, if there is one."""
+    if stack := _OPEN.__dict__.get("stack"):
+        stack[-1].append(hold(path))
+    return path
+
+
 def scratch_folder(spark: SparkSession, prefix: str) -> str:
     """A new folder name below the shared checkpoint folder (not created yet)."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{prefix}-{uuid.uuid4().hex}"
+    return leased(f"{ensure_checkpoint_dir(spark).rstrip('/')}/{prefix}-{uuid.uuid4().hex}")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -80,3 +121,13 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     """Delete a scratch folder of this library through the Hadoop file system that holds it."""
     hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     hpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hpath, True)
+
+
+def shared_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of the files of this library's scratch folders below ``path``; Spark's checkpoints don't count."""
+    hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(hpath):
+        return 0
+    found = [(s.getPath().getName(), s.getPath()) for s in fs.listStatus(hpath)]
+    return sum(fs.getContentSummary(p).getLength() for name, p in found if not re.fullmatch(r"rdd-\d+|[0-9a-f-]{36}", name))

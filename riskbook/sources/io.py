@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskbook.session import ensure_checkpoint_dir
+from riskbook.session import ensure_checkpoint_dir, leased
 
 _INT = T.IntegerType()
 _LONG = T.LongType()
@@ -44,7 +44,7 @@ POLICY_SCHEMA = T.StructType([T.StructField(n, t, True) for n, t in [
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint directory."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/riskbook-io/{name}-{uuid.uuid4().hex[:12]}"
+    return leased(f"{base}/riskbook-io/{name}-{uuid.uuid4().hex[:12]}")
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:

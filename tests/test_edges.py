@@ -117,7 +117,7 @@ def test_state_without_high_zone_keeps_its_row(spark, book):
 
 def test_long_scenario_list_equals_short_ones(spark, book):
     from riskbook.operators import joins as J
-    cards = [{"scenario": f"s{i}", "roof_age_yr": i % 40} for i in range(J.INLINE_SCENARIOS + 5)]
+    cards = [{"scenario": f"s{i}", "roof_age_yr": i % 40} for i in range(205)]
     some = book.select("policy_id", "roof_age_yr").limit(7)
     long = J.scenario_cross(some, cards, ["roof_age_yr"])
     short = J.scenario_cross(some, cards[:9], ["roof_age_yr"])
