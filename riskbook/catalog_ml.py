@@ -10,18 +10,20 @@ from riskbook.catalog import book, query
 from riskbook.functions.columns import rnd
 from riskbook.ml import attribution as AT
 from riskbook.ml import glm as G
-from riskbook.ml.ensemble import tree_importances
+from riskbook.ml.ensemble import EnsembleParams, tree_importances
 from riskbook.ml.score import evaluate, ml_pair, score_book, test_split, train_all
 from riskbook.operators.sampling import split
 from riskbook.sources import io as IO
 
 _BUNDLES: dict = {}
+#: Sizes of the ensemble that ``bundle`` fits; tests set small ones.
+PARAMS = EnsembleParams()
 
 
 def bundle(spark, sf_dir):
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _BUNDLES:
-        _BUNDLES[key] = train_all(book(spark, sf_dir))
+        _BUNDLES[key] = train_all(book(spark, sf_dir), PARAMS)
     return _BUNDLES[key]
 
 

@@ -30,11 +30,18 @@ def book(spark):
     return cached_book(spark, SF_SMALL)
 
 
+@pytest.fixture(scope="session", autouse=True)
+def small_ensemble():
+    """Registered model queries fit a small ensemble in tests."""
+    from riskbook import catalog_ml
+    from riskbook.ml.ensemble import EnsembleParams
+    catalog_ml.PARAMS = EnsembleParams(rf_trees=8, gbt_iter=5, et_trees=8, oof_rf_trees=4, oof_gbt_iter=3, oof_et_trees=4,
+                                       display_iter=4, max_bins=16, forest_bins=16)
+    return catalog_ml.PARAMS
+
+
 @pytest.fixture(scope="session")
-def bundle(book):
+def bundle(book, small_ensemble):
     """One small fitted model bundle shared by the model and API tests."""
-    from riskbook.ml.ensemble import EnsembleParams
     from riskbook.ml.score import train_all
-    small = EnsembleParams(rf_trees=8, gbt_iter=5, et_trees=8, oof_rf_trees=4, oof_gbt_iter=3, oof_et_trees=4,
-                           display_iter=4, max_bins=16, forest_bins=16)
-    return train_all(book, small)
+    return train_all(book, small_ensemble)
