@@ -42,7 +42,7 @@ from riskbook.session import materialize
 _U = np.uint64
 _NONE = np.empty(0, dtype=np.uint64)
 #: Characters handled at once: bounds the memory of a task.
-SLICE = 1_500_000
+SLICE = 500_000
 #: Signatures that a worker holds before it counts them: 8 bytes each, and as much again to sort them.
 HELD = 1_500_000
 

@@ -22,6 +22,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,8 +35,8 @@ BUCKETS = 1 << 16
 WORD_LIMIT, SWITCH = 8.0, 12.0
 #: Distinct trigrams from which on a language's training texts can tell that a word isn't of it.
 LEAST_SEEN = 1_000
-#: Characters handled at once: bounds the memory of a task.
-SLICE = 1_500_000
+#: Characters handled at once: bounds the memory of a task (some 200 bytes a character).
+SLICE = 400_000
 #: First code points of the ranges of scripts; letters outside all are "other".
 SCRIPTS = (
     (0x0041, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"),
@@ -237,14 +239,15 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     docs = keyed_text(df, id_col, text_col)
     id_type = docs.schema["id"].dataType.simpleString()
     span_type = "array<struct<start:int,end:int,lang:string>>"
+    span_arrow = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         langs = np.array([*model.langs, UNKNOWN], dtype=object)
         n_langs = len(model.langs)
-        for frame in frames:
-            for i, j in slices(frame["text"].str.len(), SLICE):
-                texts = frame["text"].iloc[i:j].tolist()
+        for batch in batches:  # ids, which may be whole rows, stay Arrow columns
+            for i, j in slices(pc.utf8_length(batch.column("text")).to_pylist(), SLICE):
+                texts = batch.column("text").slice(i, j - i).to_pylist()
                 words = Words.of(texts)
                 pred, share, unfit = np.full(len(texts), n_langs), np.zeros(len(texts)), np.ones(len(texts))
                 n_spans, labels = np.zeros(len(texts), dtype=np.int64), np.zeros(len(words.starts), dtype=np.int64)
@@ -262,12 +265,13 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                     unfit = np.where(total > 0, strange / np.maximum(total, 1), 1.0)
                     change = np.concatenate([[True], (row[1:] != row[:-1]) | (labels[1:] != labels[:-1])])
                     n_spans = np.bincount(row, weights=change, minlength=len(texts)).astype(np.int64)
-                out = pd.DataFrame({"id": frame["id"].iloc[i:j].to_numpy(), "lang_pred": langs[pred], "score": share, "n_spans": n_spans})
-                out["spans"] = _spans(texts, words.sizes, labels, langs, n_spans) if with_spans else None
-                out["unfit"] = unfit
-                yield out
+                spans = _spans(texts, words.sizes, labels, langs, n_spans) if with_spans else [None] * len(texts)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("id").slice(i, j - i), pa.array(langs[pred], pa.string()), pa.array(share, pa.float64()),
+                     pa.array(n_spans, pa.int64()), pa.array(spans, span_arrow), pa.array(unfit, pa.float64())],
+                    ["id", "lang_pred", "score", "n_spans", "spans", "unfit"])
 
-    return docs.mapInPandas(run, f"id {id_type}, lang_pred string, score double, n_spans long, spans {span_type}, unfit double")
+    return docs.mapInArrow(run, f"id {id_type}, lang_pred string, score double, n_spans long, spans {span_type}, unfit double")
 
 
 def _spans(texts, sizes, labels, langs, n_spans) -> list[list[tuple[int, int, str]]]:

@@ -82,3 +82,17 @@ def test_spans_keep_their_places_where_lower_case_is_longer(spark):
     cut = text.index("the house")
     assert [(s["start"], s["end"], s["lang"]) for s in row["spans"]][0] == (0, cut - 1, "tr") and row["spans"][1]["start"] == cut
     assert row["spans"][-1]["end"] == len(text)
+
+
+def test_whole_rows_as_ids_never_become_python_objects(spark):
+    """Pipeline: ids that are whole rows stay Arrow columns, so a worker holds the texts of one slice."""
+    rows = [(1, "the house is big", None), (2, None, [1.5]), (None, "das haus ist gross", [])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, more array<double>")
+    model = langid.fit(spark.createDataFrame([(1, "the house is big and old", "en"), (2, "das haus ist gross und alt", "de")], "doc_id long, text string, lang string"),
+                       F.lit(True))
+    out = langid.identify(docs.select(F.struct(*docs.columns).alias("row")), model, id_col="row", text_col="row.text")
+    plan = out._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "MapInPandas" not in plan
+    got = sorted(out.select("id.*", "lang_pred", "spans").collect(), key=lambda r: str(r["doc_id"]))
+    assert [(r["doc_id"], r["text"], r["more"], r["lang_pred"]) for r in got] == [(1, rows[0][1], None, "en"), (2, None, [1.5], "und"), (None, rows[2][1], [], "de")]
+    assert [[tuple(s) for s in r["spans"]] for r in got] == [[(0, 16, "en")], [], [(0, 18, "de")]]
