@@ -87,8 +87,12 @@ def _raw_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_policies(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None) -> str:
-    """S3: write (overwrite) a policy book, optionally partitioned (e.g. by state)."""
-    w = df.write.mode("overwrite")
+    """S3: write (overwrite) a policy book, optionally partitioned (e.g. by state).
+
+    A partitioned write sorts each task's rows by partition. Rebalanced, a task holds rows of about
+    ``spark.sql.adaptive.advisoryPartitionSizeInBytes`` (a large state becomes several), however large the
+    book or its input splits are."""
+    w = (df.hint("rebalance", *partition_by) if partition_by else df).write.mode("overwrite")
     if partition_by:
         w = w.partitionBy(*partition_by)
     if fmt == "csv":
