@@ -10,12 +10,14 @@ signatures, two such sets even share one among the first H + 1 of each, so only
 also makes them for sets of the band below that can have a partner in it.
 
 The order puts rare signatures first. Signatures that repeat within an input split are counted, and
-the ``heavy`` most frequent ones of all come last, by count; the order decides the work, never the
-result. A set with too few partitions for the argument also makes one signature an element: two such
+the ``heavy`` most frequent ones of all come last, by count; among the others those of more elements
+come first, since fewer sets share them by chance. The order decides the work, never the result. A
+partition has about MEAN elements of a band's largest sets. A set with too few partitions for the argument also makes one signature an element: two such
 sets share an element.
 
 Texts with equal sets are one class first. Signature groups link their members to one of them; after
-that, only members of different components are compared, each such pair once. Before texts are fetched
+that, only members of different components are compared, a pair not again where one of the last
+EARLIER groups of either has both. Before texts are fetched
 for a pair, the bitmaps of its sets bound what they can have in common; then the sets are compared
 exactly. No link between different components can be missed.
 
@@ -45,6 +47,11 @@ _NONE = np.empty(0, dtype=np.uint64)
 SLICE = 500_000
 #: Signatures that a worker holds before it counts them: 8 bytes each, and as much again to sort them.
 HELD = 1_500_000
+#: Elements in a partition of a band's largest sets. Beyond 1 / (2 (1 - t) / (1 + t)), 3.5 for t = 0.75, such a set
+#: has no more partitions than may differ, and needs a signature an element.
+MEAN = 3
+#: Groups before a group in which a pair is looked for.
+EARLIER = 4
 
 
 def _mix(h: np.ndarray, seed: int) -> np.ndarray:
@@ -160,17 +167,18 @@ class Signatures:
             band[live] += 1
         return out
 
-    def all_of(self, rows: np.ndarray, h: np.ndarray, band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(text, signature) of every partition with elements; ``band`` of each element's text."""
-        parts = np.maximum(256, 8 << (2 * band)).astype(np.uint64)
+    def all_of(self, rows: np.ndarray, h: np.ndarray, band: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, signature, elements) of every partition with elements; ``band`` of each element's text."""
+        parts = np.maximum(2, (4 << (2 * band)) // MEAN).astype(np.uint64)
         place = _mix(h, 4) % parts
         order = np.lexsort((place, rows))
         rows, place, content, band = rows[order], place[order], _mix(h, 5)[order], band[order]
         first = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]) | (place[1:] != place[:-1])])[:len(rows)])
         if not len(first):
-            return rows, content
+            return rows, content, np.empty(0, dtype=np.int64)
         sums = np.add.reduceat(content, first)
-        return rows[first], _mix(sums ^ _mix(place[first] * _U(64) + band[first].astype(np.uint64), 6), 7)
+        return (rows[first], _mix(sums ^ _mix(place[first] * _U(64) + band[first].astype(np.uint64), 6), 7),
+                np.diff(np.append(first, len(rows))))
 
     def each(self, rows: np.ndarray, h: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(text, signature, rank) that two similar enough sets are sure to share one of, by instance.
@@ -183,12 +191,12 @@ class Signatures:
             of[texts] = np.arange(len(texts))
             mine = of[rows] >= 0
             r, e = of[rows[mine]], h[mine]
-            row, sig = self.all_of(r, e, band[r])
+            row, sig, elements = self.all_of(r, e, band[r])
             often = np.zeros(len(sig), dtype=np.int64)
             if len(self.heavy):
                 at = np.minimum(np.searchsorted(self.heavy, sig), len(self.heavy) - 1)
                 often = np.where(self.heavy[at] == sig, self.counts[at], 0)
-            order = np.lexsort((sig, often, row))
+            order = np.lexsort((sig, -elements, often, row))
             row, sig = row[order], sig[order]
             count = np.bincount(row, minlength=len(texts))
             rank = np.arange(len(row)) - (np.cumsum(count) - count)[row]
@@ -275,12 +283,14 @@ def jaccard_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(node[texts]), pa.array(size[texts].astype(np.int32)),
                                                       pa.array(rank.astype(np.int32))], ["sig", "node", "n", "rank"])
 
-    # groups of signatures with two different sets, each set once
+    # groups of signatures with two different sets, each set once, next to the least of them
     signatures = docs.where("id is not null").mapInArrow(signed, "sig long, node long, n int, rank int")
     group = Window.partitionBy("sig")
     members = materialize(
-        signatures.withColumns({"lead": F.min("node").over(group), "last": F.max("node").over(group)})
-        .where("lead != last").select("sig", "node", "n", "rank", "lead").distinct(), "jac")
+        signatures.withColumns({"lead": F.min(F.struct("node", "n", "rank")).over(group), "last": F.max("node").over(group)})
+        .where("lead.node != last")
+        .select("sig", "node", "n", "rank", F.col("lead.node").alias("a"), F.col("lead.n").alias("m"), F.col("lead.rank").alias("other"))
+        .distinct(), "jac")
     shared.destroy()
     return _linked(docs, rows, good, classes, members, t, k, id_type)
 
@@ -289,20 +299,12 @@ def _linked(docs, rows, good, classes, members, t, k, id_type) -> DataFrame:
     """Components of the classes from the signature groups ``members``, for each row."""
     fits = (f"least(n, m) * {t.denominator} >= greatest(n, m) * {t.numerator} and "
             f"(n + m) * {t.denominator - t.numerator} >= greatest(rank, other) * {t.denominator + t.numerator}")
-    leads = members.where("node = lead").select("sig", F.col("n").alias("m"), F.col("rank").alias("other"), F.col("node").alias("a"))
-    star = materialize(members.where("node != lead").join(leads, "sig").where(fits)
-                       .select("a", F.col("node").alias("b")).distinct(), "jac")
+    star = materialize(members.where("node != a").where(fits).select("a", F.col("node").alias("b")).distinct(), "jac")
     first = verified(star, docs, classes, t, k, id_type)
     graph = connected(first.select("a", "b"))
     node = classes.select(F.col("h1").alias("node"), "rep").join(graph.withColumnRenamed("node", "rep"), "rep", "left")
     place = node.select("node", F.coalesce("component", "rep").alias("c")).groupBy("node").agg(F.min("c").alias("c"))
-    open_ = members.select("sig", "node", "n", "rank").join(place, "node")
-    mixed = open_.groupBy("sig").agg(F.min("c").alias("p"), F.max("c").alias("q")).where("p != q").select("sig")
-    open_ = materialize(open_.join(mixed, "sig"), "jac")
-    x = open_.select("sig", F.col("node").alias("a"), "n", "rank", F.col("c").alias("ca"))
-    y = open_.select("sig", F.col("node").alias("b"), F.col("n").alias("m"), F.col("rank").alias("other"), F.col("c").alias("cb"))
-    rest = (x.join(y, "sig").where("a < b and ca != cb").where(fits).select("a", "b").distinct()
-            .join(star, ["a", "b"], "left_anti"))
+    rest = open_pairs(members, place, fits).join(star, ["a", "b"], "left_anti")
     second = verified(rest, docs, classes, t, k, id_type)
     # rows that share an id tie the classes they are in together
     split = good.groupBy("id").agg(F.min(F.struct("h1", "h2")).alias("p"), F.max(F.struct("h1", "h2")).alias("q")).where("p != q").select("id")
@@ -315,6 +317,22 @@ def _linked(docs, rows, good, classes, members, t, k, id_type) -> DataFrame:
             .select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component")))
 
 
+def open_pairs(members: DataFrame, place: DataFrame, fits: str) -> DataFrame:
+    """(a, b) of the sets in one signature group and in different components (``place``: node, c), each pair once.
+
+    A pair is left to an earlier group where one of the EARLIER groups before this one, by rank and signature,
+    is the same in both sets. The first group that a pair has in common never leaves it, and there the ranks are least.
+    """
+    group, before = Window.partitionBy("sig"), Window.partitionBy("node").orderBy("rank", "sig")
+    mixed = (members.select("sig", "node", "n", "rank").join(place, "node")
+             .withColumns({"p": F.min("c").over(group), "q": F.max("c").over(group)}).where("p != q").drop("p", "q"))
+    # null where there is no earlier group
+    mixed = materialize(mixed.withColumn("past", F.array_compact(F.array(*[F.lag("sig", i).over(before) for i in range(1, EARLIER + 1)]))), "jac")
+    x = mixed.select("sig", F.col("node").alias("a"), "n", "rank", F.col("c").alias("ca"), F.col("past").alias("pa"))
+    y = mixed.select("sig", F.col("node").alias("b"), F.col("n").alias("m"), F.col("rank").alias("other"), F.col("c").alias("cb"), F.col("past").alias("pb"))
+    return x.join(y, "sig").where("a < b and ca != cb").where(fits).where("not arrays_overlap(pa, pb)").select("a", "b").distinct()
+
+
 def _among(ids: DataFrame, bits: int = 1 << 22):
     """A column function (may the value be one of ``ids``?) and its broadcast. A Bloom filter of a fixed size (512 KB) with
     two probes, so that a scan drops most other rows before they are shuffled; beyond some million ids
@@ -348,23 +366,25 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, t: Fraction,
     joined = pairs.join(side("a").withColumnRenamed("h1_a", "a"), "a").join(side("b").withColumnRenamed("h1_b", "b"), "b")
     num, den = t.numerator, t.denominator
 
-    def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            lengths = frame["text_a"].str.len() + frame["text_b"].str.len()
-            for i, j in slices(lengths, SLICE):
-                part = frame.iloc[i:j]
-                m = len(part)
-                rows, h = shingle_sets([*part["text_a"], *part["text_b"]], k)
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths = pc.add(pc.binary_length(batch.column("text_a")), pc.binary_length(batch.column("text_b")))
+            for i, j in slices(lengths.to_pylist(), SLICE):
+                part = batch.slice(i, j - i)
+                m = part.num_rows
+                rows, h = shingle_sets([*part.column("text_a").to_pylist(), *part.column("text_b").to_pylist()], k)
                 found = set_hashes(rows, h, 2 * m)
-                right = ((found[:m] == part[["a", "h2_a"]].to_numpy()) & (found[m:] == part[["b", "h2_b"]].to_numpy())).all(axis=1)
+                want = lambda *names: np.stack([part.column(n).to_numpy() for n in names], axis=1)
+                right = ((found[:m] == want("a", "h2_a")) & (found[m:] == want("b", "h2_b"))).all(axis=1)
                 size = np.bincount(rows, minlength=2 * m)
                 pair = rows % m  # both sets of a pair next to each other: common elements follow themselves
                 order = np.lexsort((h, pair))
                 pair, h = pair[order], h[order]
                 common = np.bincount(pair[1:][(pair[1:] == pair[:-1]) & (h[1:] == h[:-1])], minlength=m)
                 near = den * common >= num * (size[:m] + size[m:] - common)
-                yield part.loc[right & near, ["id_a", "id_b"]].set_axis(["a", "b"], axis=1)
+                kept = part.filter(pa.array(right & near))
+                yield pa.RecordBatch.from_arrays([kept.column("id_a"), kept.column("id_b")], ["a", "b"])
 
-    links = materialize(joined.mapInPandas(check, f"a {id_type}, b {id_type}"), "jac")
+    links = materialize(joined.mapInArrow(check, f"a {id_type}, b {id_type}"), "jac")
     shared.destroy()
     return links

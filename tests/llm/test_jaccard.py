@@ -102,3 +102,38 @@ def test_bitmaps_never_rule_out_a_similar_pair(spark):
 
 def test_empty_table(spark):
     assert result(spark, []) == []
+
+
+def test_signatures_of_wide_sets_have_several_elements():
+    """Sets that share some elements by chance rarely share a signature."""
+    rng = np.random.default_rng(5)
+    shared = rng.integers(0, 1 << 63, size=120, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([shared, rng.integers(0, 1 << 63, size=280, dtype=np.uint64)])) for _ in range(20)]
+    rows = np.repeat(np.arange(20), [len(s) for s in sets])
+    seen = [set() for _ in sets]
+    for r, s, _ in jaccard.Signatures(Fraction(3, 4)).each(rows, np.concatenate(sets), 20):
+        for k in range(20):
+            seen[k] |= set(s[r == k].tolist())
+    common = [len(seen[i] & seen[j]) for i in range(20) for j in range(i)]
+    assert sum(common) / len(common) < 10
+
+
+def test_pair_is_found_at_any_of_its_groups(spark):
+    """Two sets with 40 groups in common, and one that meets them in a group each, at other ranks."""
+    rows = [(s, node, 300, s) for s in range(40) for node in (1, 2)] + [(7, 3, 300, 0), (30, 3, 300, 1), (50, 3, 300, 2), (50, 4, 300, 90)]
+    members = spark.createDataFrame(rows, "sig long, node long, n int, rank int")
+    place = spark.createDataFrame([(k, str(k)) for k in (1, 2, 3, 4)], "node long, c string")
+    fits = "(n + m) * 1 >= greatest(rank, other) * 7"
+    pairs = jaccard.open_pairs(members, place, fits)
+    assert sorted(map(tuple, pairs.collect())) == [(1, 2), (1, 3), (2, 3)]  # 90 is over 600 / 7
+
+
+def test_pairs_of_groups_are_those_of_a_plain_join(spark):
+    rng = random.Random(9)
+    own = {node: rng.sample(range(60), 15) for node in range(25)}  # in an order of its own
+    rows = [(s, node, 40, r) for node, sigs in own.items() for r, s in enumerate(sorted(sigs, key=lambda s: (s * 37) % 61))]
+    comp = {node: str(rng.randrange(8)) for node in own}
+    got = jaccard.open_pairs(spark.createDataFrame(rows, "sig long, node long, n int, rank int"),
+                             spark.createDataFrame(list(comp.items()), "node long, c string"), "n + m >= 7 * greatest(rank, other)").collect()
+    want = {(a, b) for s, a, _, i in rows for t, b, _, j in rows if s == t and a < b and comp[a] != comp[b] and 80 >= 7 * max(i, j)}
+    assert sorted(map(tuple, got)) == sorted(want)
