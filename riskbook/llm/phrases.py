@@ -11,8 +11,10 @@ with them before the next length. Every word of a frequent phrase is frequent, a
 nothing is lost.
 
 Block-local work is NumPy; groups are pre-counted in a task, then summed by Spark. The frequent groups
-reach the blocks as a broadcast table if there are at most ``most_broadcast`` of them, else by a join of
-each block's distinct groups with the table of frequent ones: the same result by either way.
+reach the blocks as a broadcast table if there are at most ``most_broadcast`` of them, else by a join: the
+distinct groups of some blocks (a chunk) are dealt to buckets by their hash, a packed row for each bucket,
+looked up there among the bucket's frequent groups, and go back to their chunk as ids in the same order.
+The same result by either way.
 
 A candidate's score is 2,000,000 a / (l + r), rounded down, for the cut into two parts that gives the
 least; a, l, r are the counts of the phrase and of its parts, as exact decimals.
@@ -23,11 +25,15 @@ rows; other columns are ignored.
 """
 from __future__ import annotations
 
+import itertools
+import zlib
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +44,10 @@ from riskbook.session import drop_folder, materialize, scratch_folder
 PIECE_END, WORD_END = b".,;:!?\x0a\x0b\x0c\x0d", b"\x20\x09"
 #: Words of a block, and groups that a task counts before it hands them on.
 BLOCK, HELD = 1 << 10, 1 << 17
+#: Words of a chunk, frequent groups of a bucket, and buckets at least (Arrow reads thousands of rows at once, so
+#: that a chunk's groups of one bucket are few).
+CHUNK, BUCKET, BUCKETS = 1 << 15, 1 << 16, 64
+_DEALT = "chunk long, bucket int, data binary"
 _FOLD = bytes.maketrans(PIECE_END + b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t", b"." * len(PIECE_END) + b"abcdefghijklmnopqrstuvwxyz ")
 
 
@@ -89,7 +99,7 @@ def _blocks(lookup, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if len(words) >= HELD or k == len(frame):
                 for one in [lang] if k < len(frame) else list(held):
                     words = held.pop(one)
-                    yield lookup(one, words, _ends(np.flatnonzero(np.fromiter((w == b"." for w in words), bool, len(words)))))
+                    yield lookup(one, words, _ends(np.flatnonzero(np.fromiter(map(b".".__eq__, words), bool, len(words)))))
 
 
 def _pairs(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -98,31 +108,40 @@ def _pairs(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return at, entries[at], entries[at + 1]
 
 
-def _distinct(a: np.ndarray, b: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs and how often each is there (or its sum of weights)."""
-    if not len(a):
-        return a, b, np.empty(0, dtype=np.int64)
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-    n = np.diff(np.append(first, len(a))) if weights is None else np.add.reduceat(weights[order], first)
-    return a[first], b[first], n.astype(np.int64)
+def _distinct(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and how often each is there (or its sum of weights)."""
+    if not len(keys):
+        return keys, np.empty(0, dtype=np.int64)
+    if weights is None:
+        keys = np.sort(keys)
+    else:
+        order = np.argsort(keys)
+        keys, weights = keys[order], weights[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    n = np.diff(np.append(first, len(keys))) if weights is None else np.add.reduceat(weights, first)
+    return keys[first], n.astype(np.int64)
+
 
+def _count_pairs(shorter: int, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``shorter``: the entries are below it, so a pair is one number."""
+    def rows(keys: np.ndarray, n: np.ndarray) -> pd.DataFrame:
+        a = keys // max(shorter, 1)
+        return pd.DataFrame({"a": a, "b": keys - a * shorter, "n": n})
 
-def _count_pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     held, size = [], 0
     for frame in frames:
         for i, j in slices(frame["entries"].map(len), 8 * HELD):
-            held.append(_distinct(*_pairs(_joined(frame["entries"].iloc[i:j]))[1:]))
+            _, x, y = _pairs(_joined(frame["entries"].iloc[i:j]))
+            held.append(_distinct(x * shorter + y))
             size += len(held[-1][0])
             if size > 4 * HELD:
                 held = [_distinct(*map(np.concatenate, zip(*held, strict=True)))]
                 size = len(held[0][0])
                 if size > 2 * HELD:
-                    yield pd.DataFrame(dict(zip("abn", held.pop(), strict=True)))
+                    yield rows(*held.pop())
                     size = 0
     if held:
-        yield pd.DataFrame(dict(zip("abn", _distinct(*map(np.concatenate, zip(*held, strict=True))), strict=True)))
+        yield rows(*_distinct(*map(np.concatenate, zip(*held, strict=True))))
 
 
 def _joined(blocks: Iterable[bytes]) -> np.ndarray:
@@ -161,25 +180,61 @@ def _first_relation(texts: DataFrame, words: DataFrame, small: bool, made: list[
 
         def lookup(lang, found, ends):
             get = shared.value.get(lang, {}).get
-            return pd.DataFrame({"entries": _cut(np.fromiter((get(w, -1) for w in found), np.int64, len(found)), ends)})
+            return pd.DataFrame({"entries": _cut(np.fromiter(map(get, found, itertools.repeat(-1)), np.int64, len(found)), ends)})
 
         return texts.mapInPandas(lambda frames: _blocks(lookup, frames), "entries binary")
 
-    def local(lang, found, ends):
-        rows = []
-        for start, end in zip([0, *ends], ends, strict=False):
-            kinds = {w: k for k, w in enumerate(dict.fromkeys(found[start:end]))}
-            rows.append((lang, [w.decode("utf-8") for w in kinds], np.array([kinds[w] for w in found[start:end]], dtype=np.int64).tobytes()))
-        return pd.DataFrame(rows, columns=["lang", "kinds", "entries"])
+    buckets = _buckets(words)
+
+    def local(chunk, lang, found, ends):
+        kinds = dict.fromkeys(found)
+        kinds.pop(b".", None)
+        dealt: list[list[bytes]] = [[] for _ in range(buckets)]
+        for w in kinds:
+            dealt[zlib.crc32(w) % buckets].append(w)
+        place = {w: k for k, w in enumerate(itertools.chain.from_iterable(dealt))}
+        place[b"."] = -1
+        head = lang.encode("utf-8").hex().encode()
+        parts = [(b, b" ".join([head, *own])) for b, own in enumerate(dealt) if own]
+        entries = np.fromiter(map(place.__getitem__, found), np.int32, len(found))
+        return _chunk(chunk, buckets, parts, np.split(entries, ends[:-1]))
+
+    def numbered(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        numbers = itertools.count(TaskContext.get().partitionId() << 33)
+        return _blocks(lambda *found: local(next(numbers), *found), frames)
+
+    def packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            frame = frame.assign(bucket=[zlib.crc32(w.encode("utf-8")) % buckets for w in frame["phrase"]])
+            rows = [(b, np.append(len(own), own["id"].to_numpy(dtype=np.int64)).tobytes()
+                     + b" ".join([lang.encode("utf-8").hex().encode(), *(w.encode("utf-8") for w in own["phrase"])]))
+                    for (b, lang), own in frame.groupby(["bucket", "lang"], sort=False)]
+            yield pd.DataFrame({"chunk": -1, "bucket": [b for b, _ in rows], "data": [x for _, x in rows]})
+
+    def finder(held: list[bytes]) -> Callable:
+        known: dict[bytes, dict[bytes, int]] = {}
+        for data in held:
+            n = int(np.frombuffer(data, dtype=np.int64, count=1)[0])
+            lang, *found = data[8 * (n + 1):].split(b" ")
+            known.setdefault(lang, {}).update(zip(found, np.frombuffer(data, dtype=np.int64, count=n, offset=8).tolist(), strict=True))
+
+        def find(asked: list[bytes]) -> list[bytes]:
+            out = []
+            for data in asked:
+                lang, *found = data.split(b" ")
+                get = known.get(lang, {}).get
+                out.append(np.fromiter(map(get, found, itertools.repeat(-1)), np.int64, len(found)).tobytes())
+            return out
+
+        return find
 
-    blocks = _written(texts.mapInPandas(lambda frames: _blocks(local, frames), "lang string, kinds array<string>, entries binary")
-                      .withColumn("block", F.monotonically_increasing_id()), made)
-    found = blocks.select("block", "lang", F.posexplode("kinds").alias("k", "phrase")).join(words, ["lang", "phrase"])
-    return _renamed(blocks, found)
+    rows = _written(texts.mapInPandas(numbered, _DEALT), made)
+    return _joined_back(rows, words.select("lang", "phrase", "id").mapInPandas(packed, _DEALT), buckets, finder)
 
 
-def _next_relation(blocks: DataFrame, groups: DataFrame, small: bool, made: list[str]) -> DataFrame:
-    """(entries): occurrences one word longer, adjacent ones joined; those of frequent groups alone."""
+def _next_relation(blocks: DataFrame, groups: DataFrame, small: bool, made: list[str], shorter: int) -> DataFrame:
+    """(entries): occurrences one word longer, adjacent ones joined; those of frequent groups alone.
+    ``shorter``: the blocks' entries are below it."""
     if small:
         rows = groups.select("a", "b", "id").toPandas().sort_values(["a", "b"])
         shared = blocks.sparkSession.sparkContext.broadcast(tuple(rows[c].to_numpy(dtype=np.int64) for c in ("a", "b", "id")))
@@ -205,41 +260,105 @@ def _next_relation(blocks: DataFrame, groups: DataFrame, small: bool, made: list
 
         return blocks.mapInPandas(run, "entries binary")
 
-    def local(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    buckets = _buckets(groups)
+
+    def numbered(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        numbers = itertools.count(TaskContext.get().partitionId() << 33)
         for frame in frames:
-            out = []
-            for block in frame["entries"]:
-                entries = np.frombuffer(block, dtype=np.int64)
+            for i, j in slices(frame["entries"].map(len), 8 * CHUNK):
+                part = frame["entries"].iloc[i:j]
+                entries = _joined(part)
                 at, x, y = _pairs(entries)
-                a, b, _ = _distinct(x, y)
-                found = np.full(len(entries), -1, dtype=np.int64)
-                found[at] = pd.MultiIndex.from_arrays([a, b]).get_indexer(pd.MultiIndex.from_arrays([x, y]))
-                out.append((found.tobytes(), a, b))
-            yield pd.DataFrame(out, columns=["entries", "a", "b"])
+                keys, place = np.unique(x * shorter + y, return_inverse=True)
+                order, cuts = _dealt(keys, buckets)
+                rank = np.empty(len(keys), dtype=np.int32)
+                rank[order] = np.arange(len(keys))
+                local = np.full(len(entries), -1, dtype=np.int32)
+                local[at] = rank[place]
+                parts = [(b, own.tobytes()) for b, own in enumerate(np.split(keys[order], cuts)) if len(own)]
+                yield _chunk(next(numbers), buckets, parts, np.split(local, (np.cumsum(part.map(len)) // 8).to_numpy()[:-1]))
+
+    def packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            keys = frame["a"].to_numpy(dtype=np.int64) * shorter + frame["b"].to_numpy(dtype=np.int64)
+            order, cuts = _dealt(keys, buckets)
+            rows = [(b, np.concatenate(own).tobytes()) for b, own in enumerate(zip(
+                np.split(keys[order], cuts), np.split(frame["id"].to_numpy(dtype=np.int64)[order], cuts), strict=True)) if len(own[0])]
+            yield pd.DataFrame({"chunk": -1, "bucket": [b for b, _ in rows], "data": [x for _, x in rows]})
 
-    numbered = _written(blocks.mapInPandas(local, "entries binary, a array<long>, b array<long>")
-                        .withColumn("block", F.monotonically_increasing_id()), made)
-    found = numbered.select("block", F.posexplode(F.arrays_zip("a", "b")).alias("k", "g")).select("block", "k", "g.a", "g.b").join(groups, ["a", "b"])
-    return _renamed(numbered, found)
+    def finder(held: list[bytes]) -> Callable:
+        pairs = [np.frombuffer(x, dtype=np.int64).reshape(2, -1) for x in held]
+        keys, ids = np.concatenate([np.empty((2, 0), dtype=np.int64), *pairs], axis=1)
+        order = np.argsort(keys)
+        keys, ids = np.append(keys[order], -1), np.append(ids[order], -1)  # no key is below 0
 
+        def find(asked: list[bytes]) -> list[bytes]:
+            x = _joined(asked)
+            place = np.searchsorted(keys[:-1], x)
+            return _cut(np.where(keys[place] == x, ids[place], -1), np.cumsum([len(a) // 8 for a in asked]))
 
-def _renamed(blocks: DataFrame, found: DataFrame) -> DataFrame:
-    """The blocks with ids of frequent groups; before, their entries number the block's own groups."""
-    of = found.groupBy("block").agg(F.collect_list(F.struct("k", "id")).alias("kinds")).select(
-        "block", F.col("kinds.k").alias("ks"), F.col("kinds.id").alias("ids"))  # at most one for each entry of the block
+        return find
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for entries, ks, ids in zip(frame["entries"], frame["ks"], frame["ids"], strict=True):
-                local = np.frombuffer(entries, dtype=np.int64)
-                names = np.full(int(local.max(initial=-1)) + 2, -1, dtype=np.int64)  # the last: no group
-                if ks is not None:
-                    names[np.asarray(ks, dtype=np.int64)] = np.asarray(ids, dtype=np.int64)
-                out.append(names[local].tobytes())
-            yield pd.DataFrame({"entries": out})
+    rows = _written(blocks.mapInPandas(numbered, _DEALT), made)
+    return _joined_back(rows, groups.select("a", "b", "id").mapInPandas(packed, _DEALT), buckets, finder)
 
-    return blocks.select("block", "entries").join(of, "block", "left").mapInPandas(run, "entries binary")
+
+def _buckets(groups: DataFrame) -> int:
+    return max(BUCKETS, -(-groups.count() // BUCKET))
+
+
+def _dealt(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the keys by bucket, and where a bucket after the first begins in it."""
+    z = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    z = (z ^ (z >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    of = (z >> np.uint64(33)).astype(np.int64) % buckets
+    order = np.argsort(of, kind="stable")
+    return order, np.searchsorted(of[order], np.arange(1, buckets))
+
+
+def _chunk(chunk: int, buckets: int, parts: list[tuple[int, bytes]], blocks: list[np.ndarray]) -> pd.DataFrame:
+    """Rows of a chunk: its groups by bucket, and its blocks, whose entries number the groups in that order."""
+    return pd.DataFrame({"chunk": chunk, "bucket": [b for b, _ in parts] + [buckets] * len(blocks),
+                         "data": [x for _, x in parts] + [x.tobytes() for x in blocks]})
+
+
+def _joined_back(rows: DataFrame, table: DataFrame, buckets: int, finder) -> DataFrame:
+    """(entries): the blocks of ``rows`` (``_chunk``) with ids of frequent groups, which ``table`` holds by bucket.
+    ``finder`` takes the table's rows of a bucket and gives a function from rows of groups to rows of ids."""
+    def look_up(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bucket, held, find = None, [], None
+        for frame in frames:
+            for b, own in frame.groupby("bucket", sort=False):  # in order: the table's rows of a bucket come first
+                if b != bucket:
+                    bucket, held, find = b, [], None
+                held += own["data"][own["chunk"] < 0].tolist()
+                asked = own[own["chunk"] >= 0]
+                if find is None and len(asked):
+                    find, held = finder(held), []
+                for i, j in slices(asked["data"].map(len), 8 * HELD):
+                    part = asked.iloc[i:j]
+                    yield pd.DataFrame({"chunk": part["chunk"].to_numpy(), "bucket": b, "data": find(part["data"].tolist())})
+
+    def renamed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        chunk, held, ids = None, [], None
+        for frame in frames:
+            for i, j in slices(frame["data"].map(len), 8 * HELD):
+                out, part = [], frame.iloc[i:j]
+                for c, b, data in zip(part["chunk"].tolist(), part["bucket"].tolist(), part["data"], strict=True):
+                    if c != chunk:
+                        chunk, held, ids = c, [], None
+                    if b < buckets:
+                        held.append(data)
+                        continue
+                    if ids is None:
+                        ids = np.append(_joined(held), -1)  # the last: no group
+                    out.append(ids[np.frombuffer(data, dtype=np.int32)].tobytes())
+                yield pd.DataFrame({"entries": out})
+
+    found = (rows.where(F.col("bucket") < buckets).unionByName(table).repartition(buckets, "bucket")
+             .sortWithinPartitions("bucket", "chunk").mapInPandas(look_up, _DEALT))
+    return (rows.where(F.col("bucket") == buckets).unionByName(found).repartition("chunk")
+            .sortWithinPartitions("chunk", "bucket").mapInPandas(renamed, "entries binary"))
 
 
 def frequent_phrases(df: DataFrame, text_col: str = "text", lang_col: str = "lang", longest: int = 4, least: int = 30,
@@ -252,13 +371,13 @@ def frequent_phrases(df: DataFrame, text_col: str = "text", lang_col: str = "lan
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
     tables.append(_with_ids(words.where(F.col("f") >= least).coalesce(64)))
     count = tables[0].count()
-    groups = blocks = None
+    groups = blocks = entries = None
     for length in range(2, longest + 1):
         small, old = count <= most_broadcast, made
         made = []
-        relation = _first_relation(texts, tables[0], small, made) if length == 2 else _next_relation(blocks, groups, small, made)
-        blocks = _written(relation, made)
-        counted = (blocks.mapInPandas(_count_pairs, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("f"))
+        relation = _first_relation(texts, tables[0], small, made) if length == 2 else _next_relation(blocks, groups, small, made, entries)
+        blocks, entries = _written(relation, made), count
+        counted = (blocks.mapInPandas(partial(_count_pairs, entries), "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("f"))
                    .where(F.col("f") >= least))
         shorter = tables[-1]
         named = (counted.join(shorter.select(F.col("id").alias("a"), "lang", F.col("phrase").alias("head")), "a")
@@ -268,6 +387,7 @@ def frequent_phrases(df: DataFrame, text_col: str = "text", lang_col: str = "lan
         count = groups.count()
         for path in old:
             drop_folder(df.sparkSession, path)
+        df.sparkSession._jvm.System.gc()  # what this length shuffled stays on the disks until the driver collects its garbage
     for path in made:
         drop_folder(df.sparkSession, path)
     return tables, totals
