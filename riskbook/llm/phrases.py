@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskbook.llm.common import slices
-from riskbook.session import drop_folder, materialize, scratch_folder
+from riskbook.session import collect_garbage, drop_folder, materialize, scratch_folder
 
 #: The bytes that end a piece, and those between words.
 PIECE_END, WORD_END = b".,;:!?\x0a\x0b\x0c\x0d", b"\x20\x09"
@@ -387,7 +387,7 @@ def frequent_phrases(df: DataFrame, text_col: str = "text", lang_col: str = "lan
         count = groups.count()
         for path in old:
             drop_folder(df.sparkSession, path)
-        df.sparkSession._jvm.System.gc()  # what this length shuffled stays on the disks until the driver collects its garbage
+        collect_garbage(df.sparkSession)  # what this length shuffled stays on the disks until the driver collects its garbage
     for path in made:
         drop_folder(df.sparkSession, path)
     return tables, totals
